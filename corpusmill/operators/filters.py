@@ -91,13 +91,17 @@ def metadata_keys(df: DataFrame, metadata: str = "metadata") -> DataFrame:
     return df.select(F.explode(F.map_keys(metadata)).alias("key")).distinct()
 
 
+def _any_key(metadata: str, pattern: str) -> Column:
+    return F.exists(F.map_keys(metadata), lambda k: k.rlike(pattern))
+
+
 def check_metadata_rules(df: DataFrame, rules: str | Sequence[str], metadata: str = "metadata") -> None:
     """Refuse a key rule that matches no key anywhere; one aggregate, one row back."""
     keys = sorted({r.key for r in parse_metadata_rules(rules) if r.key})
     if not keys:
         return
     seen = df.agg(*[
-        F.max(F.exists(F.map_keys(metadata), lambda k, p=smart_case(key, True): k.rlike(p))).alias(f"k{i}")
+        F.max(_any_key(metadata, smart_case(key, True))).alias(f"k{i}")
         for i, key in enumerate(keys)]).first()
     unused = [key for i, key in enumerate(keys) if not seen[f"k{i}"]]
     if unused:

@@ -6,7 +6,7 @@ import importlib
 
 from corpusmill import registry
 
-MODULES = ("text",)
+MODULES = ("text", "vectors")
 
 
 def load():

@@ -340,10 +340,10 @@ def segments_to_vtt(spark, sf):
 
 @query("timecode_decimate", "WITH RECURSIVE " + SEGMENTS_SQL + """,
 kept AS (
-  SELECT doc_id, st, list_filter(st, lambda s: s >= 14)[1] AS at FROM timed
+  SELECT doc_id, st, list_filter(st, lambda s: s >= 14)[1] AS t0 FROM timed
   UNION ALL
-  SELECT doc_id, st, list_filter(st, lambda s: s >= at + 15)[1] FROM kept WHERE at IS NOT NULL)
-SELECT doc_id, count(at) AS n_codes, coalesce(string_agg(""" + CODE_SQL.format(s="at") + """, ',' ORDER BY at), '') AS codes
+  SELECT doc_id, st, list_filter(st, lambda s: s >= t0 + 15)[1] FROM kept WHERE t0 IS NOT NULL)
+SELECT doc_id, count(t0) AS n_codes, coalesce(string_agg(""" + CODE_SQL.format(s="t0") + """, ',' ORDER BY t0), '') AS codes
 FROM kept GROUP BY doc_id""")
 def timecode_decimate(spark, sf):
     captions = table(spark, sf, "documents").select(

@@ -181,5 +181,5 @@ def minmax_hits(corpus: DataFrame, questions: DataFrame, k: int, threshold: floa
     high = top.filter(F.col("rank") == 1).select("query_id", (1 - F.col("distance")).alias("high"))
     low = nearest(unit_c, negated, 1, "cosine").select("query_id", (F.col("distance") - 1).alias("low"))
     scored = (top.join(high, "query_id").join(low, "query_id")
-              .withColumn("score", (1 - F.col("distance") - F.col("low")) / (F.col("high") - F.col("low"))))
+              .withColumn("score", (1 - F.col("distance") - F.col("low")) / (F.col("high") - F.col("low") + SCORE_GUARD)))
     return scored.filter(F.round("score", 9) >= threshold).select("query_id", "chunk_id", "rank", "score")

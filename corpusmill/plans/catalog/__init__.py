@@ -6,7 +6,7 @@ import importlib
 
 from corpusmill import registry
 
-MODULES = ("text", "vectors")
+MODULES = ("text", "vectors", "filters", "aggregates", "chunks")
 
 
 def load():

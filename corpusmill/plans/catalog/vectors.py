@@ -217,7 +217,7 @@ def mmr(spark, sf):
 @query("svm_retrieve")
 def svm_retrieve(spark, sf):
     one = retrieval.mean_vectors(table(spark, sf, "embeddings").withColumn("query_id", F.lit(0)), ["query_id"])
-    return rounded(retrieval.svm_hits(corpus(spark, sf), one, 50, threshold=0.5), "score")
+    return rounded(retrieval.svm_hits(corpus(spark, sf), one, 50, threshold=0.1), "score")
 
 
 @query("hit_lookup", "WITH " + COS_SQL + """

@@ -57,9 +57,9 @@ class MetadataRule:
 
 def parse_metadata_rules(rules: str | Sequence[str]) -> list[MetadataRule]:
     parsed = [MetadataRule.parse(r) for r in _listed(rules)]
-    keys = [(r.wanted, r.key) for r in parsed if r.kind == "k"]
+    keys = [(r.wanted, r.key) for r in parsed if r.kind == "b"]
     if len(keys) != len(set(keys)):
-        raise ValueError("a key rule appears twice")
+        raise ValueError("several b rules name the same key; use one wider regex")
     return parsed
 
 

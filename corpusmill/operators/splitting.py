@@ -62,7 +62,12 @@ def chunk_bounds(sizes: Column, limit: int, overlap: int) -> Column:
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def run(series: pd.Series) -> pd.Series:
-        return series.map(lambda s: [{"start": a, "end": b} for a, b in _cuts(np.asarray(s, dtype=np.int64), limit, overlap)])
+        def one(s):
+            if s is None:
+                return None
+            return [{"start": a, "end": b} for a, b in _cuts(np.asarray(s, dtype=np.int64), limit, overlap)]
+
+        return series.map(one)
 
     return run(sizes)
 

@@ -6,7 +6,7 @@ import importlib
 
 from corpusmill import registry
 
-MODULES = ("text", "vectors", "filters", "aggregates", "chunks")
+MODULES = ("text", "sources", "filters", "vectors", "chunks", "aggregates", "evaluation", "tasks")
 
 
 def load():

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app: str = "corpusmill") -> SparkSession:
+                  app: str = "corpusmill", driver_memory: str | None = None) -> SparkSession:
     """Return a session with adaptive execution on.
 
     On a cluster leave ``master`` and ``shuffle_partitions`` unset: the cluster
@@ -23,6 +23,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     )
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

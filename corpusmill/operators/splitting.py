@@ -59,6 +59,8 @@ def _cuts(sizes: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]]:
 
 def chunk_bounds(sizes: Column, limit: int, overlap: int) -> Column:
     """Array of (start, end) unit positions. Only the sizes travel to Python; the text does not."""
+    if not 0 <= overlap < limit:
+        raise ValueError(f"the overlap ({overlap}) must be smaller than the chunk size ({limit})")
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def run(series: pd.Series) -> pd.Series:

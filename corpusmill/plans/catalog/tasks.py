@@ -67,14 +67,14 @@ def summary_header(spark, sf):
 @query("summarise_chunks")
 def summarise_chunks(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    done = Z.summarize(docs, models.first_words_summary, context=512)
+    done = Z.summarize(docs, models.first_words_summary, context=2048)
     return done.select("doc_id", "n_chunk", "summary", "sum_tkn_length", F.round("sum_reading_length", 6).alias("sum_reading_length"))
 
 
 @query("recursive_summary")
 def recursive_summary(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    done = Z.summarize(docs, models.first_words_summary, context=512, n_recursion=2)
+    done = Z.summarize(docs, models.first_words_summary, context=2048, n_recursion=2)
     return done.select("doc_id", "n_chunk", F.size("recursive_summaries").alias("n_passes"), "summary", "sum_tkn_length")
 
 

@@ -23,9 +23,10 @@ NODES = (
 
 
 def _decode(text: Column) -> Column:
+    decoded = text
     for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
 def html_to_text(html: Column, remove_image: bool = False) -> Column:
@@ -34,6 +35,8 @@ def html_to_text(html: Column, remove_image: bool = False) -> Column:
     Script, style, comment and doctype contents count as text nodes, and image
     tags stay in place unless ``remove_image`` is set.
     """
+    plain = F.regexp_replace(strip(_decode(html)), "\n{2,}", "\n")
+    tagged = F.contains(html, F.lit("<"))
     for seam in ("</li><li>", "</ul><ul>"):
         html = F.replace(html, F.lit(seam), F.lit("<br>"))
     for line_break in ("<br>", "</br>"):
@@ -52,7 +55,7 @@ def html_to_text(html: Column, remove_image: bool = False) -> Column:
 
     nodes = F.transform(F.regexp_extract_all(html, F.lit(NODES), F.lit(0)), shown)
     joined = F.array_join(F.filter(nodes, lambda n: n != ""), " ")
-    return F.regexp_replace(joined, "\n{2,}", "\n")
+    return F.when(tagged, F.regexp_replace(joined, "\n{2,}", "\n")).otherwise(plain)
 
 
 def visible_text(html: Column) -> Column:

@@ -33,8 +33,20 @@ def letters(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
 
 
+# The characters counted as white space at the ends of a text.
+SPACES = " \t\n\r\x0b\x0c"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+    return F.btrim(text, F.lit(SPACES))
+
+
+def lstrip(text: Column) -> Column:
+    return F.ltrim(text, F.lit(SPACES))
+
+
+def rstrip(text: Column) -> Column:
+    return F.rtrim(text, F.lit(SPACES))
 
 
 def repair_double_encoding(text: Column) -> Column:
@@ -139,7 +151,7 @@ def wrap_source(position: Column, answer: Column, prefix: str) -> Column:
 
 def collate_line(answer: Column) -> Column:
     fixed = F.replace(F.replace(answer, F.lit("- • "), F.lit("- ")), F.lit("• "), F.lit("- "))
-    return F.regexp_replace(fixed, r"\A\s+", "")
+    return lstrip(fixed)
 
 
 def citation_links(text: Column, template: str, default_source: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.html import clean_if_html, page_title
+from corpusmill.functions.let import let
 from corpusmill.functions.text import content_hash, doc_reading_time, est_tokens
 
 MIN_TOKENS = 20
@@ -91,16 +92,16 @@ def language_probability(text: Column) -> Column:
         "de": "der die das und in den von zu mit ist nicht auf ein eine dem es",
         "es": "el la los de que y en un una por con para las del se es no su",
     }
-    tokens = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda t: t != "")
     gain = 5.0
 
-    def share(found: Column, listed: str) -> Column:
-        known = F.array(*[F.lit(w) for w in listed.split()])
-        hits = F.filter(found, lambda t: F.array_contains(known, t))
-        return F.size(hits) / F.greatest(F.size(found), F.lit(1))
+    def hits(low: Column, listed: str) -> Column:
+        return F.regexp_count(low, F.lit(r"(?<!\p{L})(?:" + listed.replace(" ", "|") + r")(?!\p{L})"))
 
-    best = F.transform(F.array(tokens), lambda ts: F.greatest(*[share(ts, v) for v in words.values()]))[0]
-    return F.least(F.lit(1.0), best * gain)
+    def share(low: Column) -> Column:
+        best = F.greatest(*[hits(low, listed) for listed in words.values()])
+        return best / F.greatest(F.lit(1), F.regexp_count(low, F.lit(r"\p{L}+")))
+
+    return F.least(F.lit(1.0), let(F.lower(text), share) * gain)
 
 
 def gate(chunks: DataFrame, keys: list[str], min_tokens: int = MIN_TOKENS, max_tokens: int = MAX_TOKENS,

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.let import let
 from corpusmill.functions.text import CHARS_PER_TOKEN
 
 ANSWER_TOKENS = 4_000
@@ -69,14 +70,16 @@ def overlap_votes(question: Column, text: Column, n_votes: int = 3) -> Column:
 
     The n-th vote only looks at words longer than n letters, so votes differ.
     """
-    asked, found = F.array_distinct(words(question)), F.array_distinct(words(text))
+    asked = F.array_distinct(words(question))
 
-    def vote(n: int) -> Column:
-        chosen = F.filter(asked, lambda w: F.length(w) > n)
-        hits = F.size(F.array_intersect(chosen, found))
-        return F.when(F.size(chosen) > 0, F.floor(10 * hits / F.size(chosen)).cast("int"))
+    def longer(listed: Column, n: int) -> Column:
+        return F.size(F.filter(listed, lambda w: F.length(w) > n))
 
-    return F.array(*[vote(n) for n in range(1, n_votes + 1)])
+    def votes(hits: Column) -> Column:
+        return F.array(*[F.when(longer(asked, n) > 0, F.floor(10 * longer(hits, n) / longer(asked, n)).cast("int"))
+                         for n in range(1, n_votes + 1)])
+
+    return let(F.array_intersect(asked, words(text)), votes)
 
 
 def first_sentence_answer(question: Column, text: Column) -> Column:

@@ -219,12 +219,23 @@ def reading_gate(spark, sf):
     return gated.filter(F.col("load_error").isNull()).select("source", "lang", "n_chunks", F.round("minutes", 3).alias("minutes"))
 
 
-@query("lang_prob")
+LANGUAGE_SQL = r"""
+w AS (SELECT doc_id, source, list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, source, least(1.0, 5.0 * greatest(
+  len(list_filter(ws, lambda x: list_contains(string_split('the of and to in is it that was for on are as with be by this', ' '), x))),
+  len(list_filter(ws, lambda x: list_contains(string_split('le la les de des et en un une est que qui dans pour au du pas avec', ' '), x))),
+  len(list_filter(ws, lambda x: list_contains(string_split('der die das und in den von zu mit ist nicht auf ein eine dem es', ' '), x))),
+  len(list_filter(ws, lambda x: list_contains(string_split('el la los de que y en un una por con para las del se es no su', ' '), x)))
+  ) / greatest(1, len(ws)))::DOUBLE AS prob FROM w)"""
+
+
+@query("lang_prob", "WITH " + LANGUAGE_SQL + "SELECT doc_id, round(prob, 6) AS prob FROM p")
 def lang_prob(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(documents.language_probability(F.col("text")), 6).alias("prob"))
 
 
-@query("lang_gate")
+@query("lang_gate", "WITH " + LANGUAGE_SQL + """
+SELECT source, count(*) AS n_chunks, round(avg(prob), 6) AS language, CASE WHEN avg(prob) <= 0.5 THEN 'unlikely language' END AS load_error FROM p GROUP BY source""")
 def lang_gate(spark, sf):
     gated = documents.gate(chunked(spark, sf), ["source"], min_language=documents.MIN_LANGUAGE_PROBABILITY)
     return gated.select("source", "n_chunks", F.round("language", 6).alias("language"), "load_error")

@@ -157,7 +157,7 @@ def distinct_texts(spark, sf):
 
 @query("arg_intersect", "SELECT lang AS name FROM documents INTERSECT SELECT unnest(['fr', 'de', 'zz'])")
 def arg_intersect(spark, sf):
-    forbidden = spark.createDataFrame([("fr",), ("de",), ("zz",)], "name string")
+    forbidden = spark.range(1).select(F.explode(F.array(F.lit("fr"), F.lit("de"), F.lit("zz"))).alias("name"))
     return table(spark, sf, "documents").select(F.col("lang").alias("name")).intersect(forbidden)
 
 

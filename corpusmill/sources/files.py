@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.html import html_to_text, visible_text
+from corpusmill.functions.let import let
 from corpusmill.functions.text import content_hash, est_tokens, markdown_images_to_mark
 from corpusmill.operators.documents import metadata_map
 from corpusmill.operators.splitting import chunk_bounds, units
@@ -119,8 +120,23 @@ def outline_chunks(pages: DataFrame, limit: int, overlap: int, text: str = "text
             F.trim(F.regexp_extract(p, prop, 2)).alias("value")))))
     out = out.withColumn("_props", F.filter(props, lambda p: p["value"] != ""))
 
+    # all chunks in one string, once with a mark between them and once without
+    out = out.withColumn("_marked", F.array_join("_chunks", "\u0001")).withColumn("_bare", F.array_join("_chunks", ""))
+
     def home(line: Column) -> Column:
         text_of = F.trim(line)
+        at = F.call_function("locate", text_of, F.col("_marked"))
+
+        def settle(p: Column) -> Column:
+            before = F.substring(F.col("_marked"), F.lit(1), p - 1)
+            chunk = F.length(before) - F.length(F.replace(before, F.lit("\u0001"), F.lit("")))
+            # the same first place in both strings: no chunk border makes an earlier match
+            return let(chunk, lambda i: F.when(
+                (p > 0) & (F.call_function("locate", text_of, F.col("_bare")) == p - i), i).otherwise(search(text_of)))
+
+        return let(at, settle)
+
+    def search(text_of: Column) -> Column:
         spots = F.transform("_chunks", lambda c, i: F.when(
             F.contains(c, text_of) | (~F.contains(F.coalesce(F.get("_chunks", i + 1), F.lit("")), text_of)
                                       & F.contains(F.concat(c, F.coalesce(F.get("_chunks", i + 1), F.lit(""))), text_of)), i))

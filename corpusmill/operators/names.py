@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators.bounded import fits
@@ -13,14 +13,34 @@ MAX_NAMES = 20_000
 def closest_names(wanted: DataFrame, known: DataFrame) -> DataFrame:
     """Each wanted name with the known one it means: exact, else a unique prefix, else the closest.
 
-    ``known`` is a catalogue of names (column ``name``) and must be small; it is
-    carried as one array, so the wanted side is never shuffled or multiplied.
+    ``known`` is a catalogue of distinct names (column ``name``). A small one is
+    carried as one array, so the wanted side is never shuffled or multiplied; a
+    larger one is cut into blocks of that size.
     """
-    if not fits(known, MAX_NAMES):
-        raise ValueError(f"a catalogue holds at most {MAX_NAMES} names")
-    names = F.lit([r["name"] for r in known.sort("name").collect()])
+    if fits(known, MAX_NAMES):
+        listed = F.lit([r["name"] for r in known.sort("name").collect()])
+        return wanted.withColumn("_m", _match(listed)).withColumn("name", _settle(F.array("_m"))).drop("_m")
+    blocks = -(-known.count() // MAX_NAMES)
+    cut = (known.withColumn("_b", F.pmod(F.xxhash64("name"), F.lit(blocks)))
+           .groupBy("_b").agg(F.collect_list("name").alias("_names")))
+    keys = wanted.columns
+    asked = wanted.distinct().withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+    matched = asked.join(cut, "_b").select(*keys, _match(F.col("_names")).alias("_m"))
+    # one row per block and wanted name meets here
+    best = matched.groupBy(*keys).agg(F.collect_list("_m").alias("_all"))
+    return wanted.join(best.select(*keys, _settle(F.col("_all")).alias("name")), keys)
+
+
+def _match(names: Column) -> Column:
+    """What one block of names offers: an exact hit, its prefix hits, and its closest name."""
     starts = F.filter(names, lambda n: n.startswith(F.col("wanted")))
-    rated = F.array_min(F.transform(names, lambda n: F.struct(F.levenshtein(n, "wanted").alias("far"), n.alias("name"))))
-    chosen = (F.when(F.array_contains(names, F.col("wanted")), F.col("wanted"))
-              .when(F.size(starts) == 1, F.get(starts, F.lit(0))).otherwise(rated["name"]))
-    return wanted.withColumn("name", chosen)
+    rated = F.transform(names, lambda n: F.struct(F.levenshtein(n, "wanted").alias("far"), n.alias("name")))
+    return F.struct(F.array_contains(names, F.col("wanted")).alias("exact"), F.size(starts).alias("n_starts"),
+                    F.get(starts, F.lit(0)).alias("start"), F.array_min(rated).alias("closest"))
+
+
+def _settle(offers: Column) -> Column:
+    n_starts = F.aggregate(offers, F.lit(0), lambda a, m: a + m["n_starts"])
+    start = F.array_max(F.transform(offers, lambda m: m["start"]))
+    return (F.when(F.exists(offers, lambda m: m["exact"]), F.col("wanted")).when(n_starts == 1, start)
+            .otherwise(F.array_min(F.transform(offers, lambda m: m["closest"]))["name"]))

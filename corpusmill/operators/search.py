@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.vectors import binarise, hamming_score, l2_normalise
-from corpusmill.operators.bounded import fits
 from corpusmill.operators.topk import top_k
 
 # Question sets up to this size travel with the task; larger ones are joined block by block.
 MAX_SHIPPED_QUESTIONS = 2_000
 BLOCK_ROWS = 20_000
+MAX_SHIPPED_HITS = 500_000
 # Fixed value: keeps a spread of scores from dividing by zero.
 SCORE_GUARD = 1e-6
 
@@ -81,9 +81,9 @@ def nearest(corpus: DataFrame, questions: DataFrame, k: int, kind: str = "cosine
     asked = questions.select("query_id", F.col(vector).alias("_v"))
     stored = corpus.select(F.col(id_col).alias("chunk_id"), F.col(vector).alias("_v"))
     schema = _schema(corpus, id_col, questions)
-    if fits(asked, MAX_SHIPPED_QUESTIONS):
-        local = asked.toPandas().sort_values("query_id", ignore_index=True)
-        candidates = _scan(stored, local, k, kind, schema)
+    local = asked.limit(MAX_SHIPPED_QUESTIONS + 1).toPandas()
+    if len(local) <= MAX_SHIPPED_QUESTIONS:
+        candidates = _scan(stored, local.sort_values("query_id", ignore_index=True), k, kind, schema)
     else:
         candidates = _blocks(stored, asked, k, kind, schema)
     return top_k(candidates, ["query_id"], [F.col("distance"), F.col("chunk_id")], k, salt_on="chunk_id")
@@ -143,6 +143,17 @@ def with_score(hits: DataFrame, kind: str = "cosine", n_bits: int | None = None)
     return hits.withColumn("score", score)
 
 
+def hits_with(hits: DataFrame, table: DataFrame, on: str) -> DataFrame:
+    """Columns of a large table for the hits of a search, which must be stored already.
+
+    Their number is read back: below the bound they are shipped to the table's
+    partitions, so the table is filtered where it lies; above it, the join is
+    left to the optimizer.
+    """
+    small = hits.count() <= MAX_SHIPPED_HITS
+    return table.join(F.broadcast(hits) if small else hits, on)
+
+
 def search(corpus: DataFrame, questions: DataFrame, k: int, threshold: float | None = -0.5,
            id_col: str = "chunk_id") -> DataFrame:
     """Cosine search with the threshold applied after the cut to k, where it costs k rows per question."""

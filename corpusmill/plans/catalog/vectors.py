@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import vectors as V
-from corpusmill.operators import retrieval, similar, store
+from corpusmill.operators import batching, retrieval, similar, store
 from corpusmill.operators import search as S
-from corpusmill.operators.topk import top_k
 from corpusmill.registry import query, table
 
 MEANS_SQL = """
@@ -60,10 +59,12 @@ def score_threshold(spark, sf):
     return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.round(F.min("score"), 6).alias("worst"))
 
 
-@query("knn_small", "WITH " + COS_SQL + "SELECT query_id, count(*) AS n_hits, max(rank) AS last_rank FROM ranked GROUP BY query_id")
+@query("knn_small", "WITH " + MEANS_SQL + """
+SELECT query_id, (SELECT count(*) FROM q) AS n_hits, (SELECT count(*) FROM q) AS last_rank FROM q""")
 def knn_small(spark, sf):
-    stored = corpus(spark, sf)
-    hits = S.search(stored, questions(spark, sf), stored.count() + 50, threshold=None)
+    # the topics searched among themselves: fewer rows than asked for
+    asked = questions(spark, sf)
+    hits = S.search(asked.withColumnRenamed("query_id", "chunk_id"), asked, 500, threshold=None)
     return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.max("rank").cast("bigint").alias("last_rank"))
 
 
@@ -196,17 +197,17 @@ def redundant_filter(spark, sf):
     return similar.drop_redundant(everything, keys=("label",)).select("chunk_id", "label")
 
 
-@query("nearest_other", """
-WITH s AS (SELECT a.vec_id, b.vec_id AS other, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cos
-  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
-SELECT vec_id AS chunk_id, arg_max(other, cos) AS other_id, round(max(cos), 6) AS cosine FROM s GROUP BY vec_id""")
+@query("nearest_other", "WITH " + COS_SQL + """,
+g AS (SELECT query_id, chunk_id, embedding FROM ranked JOIN embeddings ON vec_id = chunk_id WHERE rank <= 100 AND cos >= 0),
+p AS (SELECT a.query_id, a.chunk_id, b.chunk_id AS other, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d
+  FROM g a JOIN g b ON a.query_id = b.query_id AND a.chunk_id <> b.chunk_id)
+SELECT query_id, chunk_id, arg_min(other, d) AS other_id, round(min(d), 6) AS nearest FROM p GROUP BY query_id, chunk_id""")
 def nearest_other(spark, sf):
-    stored = store.build(corpus(spark, sf))
-    asked = stored.select(F.col("chunk_id").alias("query_id"), "embedding")
-    two = S.nearest(stored, asked, 2).filter(F.col("query_id") != F.col("chunk_id"))
-    other = top_k(two, ["query_id"], [F.col("distance"), F.col("chunk_id")], 1, rank="place")
-    return other.select(F.col("query_id").alias("chunk_id"), F.col("chunk_id").alias("other_id"),
-                        F.round(1 - F.col("distance"), 6).alias("cosine"))
+    # among the hits of one question, whose number top-k bounds
+    stored = corpus(spark, sf)
+    hits = S.search(stored, questions(spark, sf), 100).select("query_id", "chunk_id")
+    found = batching.group_distances(hits.join(stored, "chunk_id"), ["query_id"], "chunk_id")
+    return rounded(found.select("query_id", "chunk_id", "other_id", "nearest"), "nearest")
 
 
 @query("mmr")

@@ -11,7 +11,7 @@ from corpusmill.functions.answers import is_relevant, keeps
 from corpusmill.functions.text import collate_line, est_tokens, source_replace, wrap_source
 from corpusmill.operators.batching import semantic_batches
 from corpusmill.operators.lineage import checkpointed
-from corpusmill.operators.search import search
+from corpusmill.operators.search import hits_with, search
 
 # Growth of top-k.
 GROWTH = 1.5
@@ -68,9 +68,14 @@ def search_docs(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, eva
     ``evaluate(question, chunk columns)`` gives the votes.
     """
     largest = top_k_steps(top_k)[-1]
-    hits = search(vectors, questions, largest, threshold)
-    with_text = hits.join(chunks, "chunk_id").join(questions.drop("embedding"), "query_id")
+    # both stored: the vectors are scanned once, and no vote is asked for twice
+    hits = checkpointed(search(vectors, questions, largest, threshold))
+    with_text = hits_with(hits, chunks, "chunk_id")
+    facts = questions.drop("embedding")
+    if len(facts.columns) > 1:
+        with_text = with_text.join(facts, "query_id")
     judged = with_text.withColumn("votes", evaluate(with_text)).withColumn("keep", keeps(F.col("votes")))
+    judged = checkpointed(judged)
     cut = adaptive_cut(judged, top_k)
     return judged.join(cut, "query_id").filter(F.col("keep") & (F.col("rank") <= F.col("top_k")))
 

@@ -24,7 +24,7 @@ def closest_names(wanted: DataFrame, known: DataFrame) -> DataFrame:
     cut = (known.withColumn("_b", F.pmod(F.xxhash64("name"), F.lit(blocks)))
            .groupBy("_b").agg(F.collect_list("name").alias("_names")))
     keys = wanted.columns
-    asked = wanted.distinct().withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+    asked = wanted.distinct().withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     matched = asked.join(cut, "_b").select(*keys, _match(F.col("_names")).alias("_m"))
     # one row per block and wanted name meets here
     best = matched.groupBy(*keys).agg(F.collect_list("_m").alias("_all"))

@@ -117,7 +117,7 @@ def _blocks(stored: DataFrame, asked: DataFrame, k: int, kind: str, schema: str)
     left = (stored.withColumn("cb", F.pmod(F.xxhash64("chunk_id"), F.lit(n_stored)))
             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)))))
     right = (asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_asked)).cast("int"))
-             .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_stored - 1))).cast("bigint")))
+             .withColumn("cb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_stored - 1).cast("bigint")))))
 
     def run(chunks: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
         if chunks.empty or questions.empty:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.html import html_to_text, visible_text
 from corpusmill.functions.let import let
-from corpusmill.functions.text import content_hash, est_tokens, markdown_images_to_mark
+from corpusmill.functions.text import content_hash, est_tokens, markdown_images_to_mark, strip
 from corpusmill.operators.documents import metadata_map
 from corpusmill.operators.splitting import chunk_bounds, units
 
@@ -184,7 +184,7 @@ def _zip_loader(spark: SparkSession, path: str, filetype: str, members: str, tag
     files = spark.read.format("binaryFile").load(path).select("path", read("content").alias("raw"), content_hash(F.col("content")).alias("file_hash"))
     text = html_to_text(F.col("raw")) if not tags else F.regexp_replace(F.col("raw"), "\n{2,}", "\n")
     decoded = F.replace(F.replace(F.replace(text, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
-    return files.select("path", F.trim(decoded).alias("page_content"), F.lit(filetype).alias("filetype"), "file_hash",
+    return files.select("path", strip(decoded).alias("page_content"), F.lit(filetype).alias("filetype"), "file_hash",
                         F.expr("cast(map() as map<string,string>)").alias("metadata"))
 
 

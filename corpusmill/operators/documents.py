@@ -95,13 +95,13 @@ def language_probability(text: Column) -> Column:
     gain = 5.0
 
     def hits(low: Column, listed: str) -> Column:
-        return F.regexp_count(low, F.lit(r"(?<!\p{L})(?:" + listed.replace(" ", "|") + r")(?!\p{L})"))
+        return F.regexp_count(low, F.lit(r"[^\p{L}](?:" + listed.replace(" ", "|") + r")(?=[^\p{L}])"))
 
     def share(low: Column) -> Column:
         best = F.greatest(*[hits(low, listed) for listed in words.values()])
         return best / F.greatest(F.lit(1), F.regexp_count(low, F.lit(r"\p{L}+")))
 
-    return F.least(F.lit(1.0), let(F.lower(text), share) * gain)
+    return F.least(F.lit(1.0), let(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), share) * gain)
 
 
 def gate(chunks: DataFrame, keys: list[str], min_tokens: int = MIN_TOKENS, max_tokens: int = MAX_TOKENS,

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.vectors import l2_normalise
 from corpusmill.operators.bounded import take_bounded
-from corpusmill.operators.search import SCORE_GUARD, nearest, search
+from corpusmill.operators.lineage import checkpointed
+from corpusmill.operators.search import SCORE_GUARD, hits_with, nearest, search
 from corpusmill.operators.topk import top_k
 
 
@@ -37,7 +38,7 @@ def multi_query(corpus: DataFrame, rephrasings: DataFrame, k: int, threshold: fl
 
 def parents_of(hits: DataFrame, children: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """Parents of the chunks found, each once per question at its best rank. ``children``: id, parent_id."""
-    found = hits.join(children.select(F.col(id_col).alias("chunk_id"), "parent_id"), "chunk_id")
+    found = hits_with(checkpointed(hits), children.select(F.col(id_col).alias("chunk_id"), "parent_id"), "chunk_id")
     return found.groupBy("query_id", "parent_id").agg(F.min("rank").alias("best_rank"),
                                                       F.count(F.lit(1)).alias("n_children"))
 
@@ -66,7 +67,7 @@ def diverse(corpus: DataFrame, questions: DataFrame, k: int, fetch_k: int, weigh
     """
     unit = corpus.select(F.col(id_col).alias("chunk_id"), l2_normalise(F.col("embedding")).alias("embedding"))
     asked = questions.select("query_id", l2_normalise(F.col("embedding")).alias("embedding"))
-    candidates = nearest(unit, asked, fetch_k, "cosine").join(unit, "chunk_id")
+    candidates = hits_with(checkpointed(nearest(unit, asked, fetch_k, "cosine")), unit, "chunk_id")
     id_type = candidates.schema["chunk_id"].dataType.simpleString()
     q_type = candidates.schema["query_id"].dataType.simpleString()
 

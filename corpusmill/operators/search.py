@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.vectors import binarise, hamming_score, l2_normalise
+from corpusmill.operators.lineage import checkpointed
 from corpusmill.operators.topk import top_k
 
 # Question sets up to this size travel with the task; larger ones are joined block by block.
@@ -174,9 +175,9 @@ def search_bits(corpus: DataFrame, questions: DataFrame, k: int, n_bits: int, ma
 
 def search_filtered(corpus: DataFrame, questions: DataFrame, allowed: DataFrame, k: int, fetch_k: int,
                     id_col: str = "chunk_id") -> DataFrame:
-    """Search ``fetch_k``, keep the hits that ``allowed`` lists, cut to ``k``."""
-    hits = search(corpus, questions, fetch_k, threshold=None, id_col=id_col).drop("rank")
-    kept = hits.join(allowed.select(F.col(id_col).alias("chunk_id")), "chunk_id", "left_semi")
+    """Search ``fetch_k``, keep the hits that ``allowed`` lists (each id once), cut to ``k``."""
+    hits = checkpointed(search(corpus, questions, fetch_k, threshold=None, id_col=id_col).drop("rank"))
+    kept = hits_with(hits, allowed.select(F.col(id_col).alias("chunk_id")), "chunk_id")
     return top_k(kept, ["query_id"], [F.col("distance"), F.col("chunk_id")], k)
 
 

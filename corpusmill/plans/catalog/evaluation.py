@@ -8,6 +8,7 @@ from corpusmill.functions import text
 from corpusmill.functions.answers import keeps, mean_vote
 from corpusmill.operators import batching, models
 from corpusmill.operators import search as S
+from corpusmill.operators.lineage import checkpointed
 from corpusmill.plans import query as Q
 from corpusmill.plans.catalog.vectors import COS_SQL, corpus, questions, rounded
 from corpusmill.registry import query, table
@@ -109,7 +110,7 @@ def answer_each(spark, sf):
     hits = S.search(corpus(spark, sf), questions(spark, sf), 30)
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    with_text = hits.join(docs, "chunk_id").join(asked, "query_id")
+    with_text = S.hits_with(checkpointed(hits), docs, "chunk_id").join(asked, "query_id")
     return with_text.select("query_id", "chunk_id", models.first_sentence_answer(F.col("question"), F.col("text")).alias("answer"))
 
 
@@ -130,8 +131,9 @@ def groups(spark, sf, k):
     """The nearest documents of each question, with their size and vector."""
     stored = corpus(spark, sf)
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), text.est_tokens(F.col("text")).alias("tokens"))
-    hits = S.search(stored, questions(spark, sf), k).select("query_id", "chunk_id")
-    return hits.join(stored.select("chunk_id", "embedding"), "chunk_id").join(docs, "chunk_id")
+    hits = checkpointed(S.search(stored, questions(spark, sf), k).select("query_id", "chunk_id"))
+    sized = checkpointed(S.hits_with(hits, docs, "chunk_id"))
+    return S.hits_with(sized, stored.select("chunk_id", "embedding"), "chunk_id")
 
 
 @query("semantic_batches")

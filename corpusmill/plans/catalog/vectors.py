@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import vectors as V
 from corpusmill.operators import batching, retrieval, similar, store
 from corpusmill.operators import search as S
+from corpusmill.operators.lineage import checkpointed
 from corpusmill.registry import query, table
 
 MEANS_SQL = """
@@ -206,7 +207,7 @@ def nearest_other(spark, sf):
     # among the hits of one question, whose number top-k bounds
     stored = corpus(spark, sf)
     hits = S.search(stored, questions(spark, sf), 100).select("query_id", "chunk_id")
-    found = batching.group_distances(hits.join(stored, "chunk_id"), ["query_id"], "chunk_id")
+    found = batching.group_distances(S.hits_with(checkpointed(hits), stored, "chunk_id"), ["query_id"], "chunk_id")
     return rounded(found.select("query_id", "chunk_id", "other_id", "nearest"), "nearest")
 
 
@@ -226,7 +227,8 @@ SELECT query_id, rank, chunk_id, label FROM ranked JOIN embeddings ON vec_id = c
 def hit_lookup(spark, sf):
     stored = corpus(spark, sf)
     hits = S.search(stored, questions(spark, sf), 100)
-    return hits.join(stored.select("chunk_id", "label"), "chunk_id").select("query_id", "rank", "chunk_id", "label")
+    found = S.hits_with(checkpointed(hits), stored.select("chunk_id", "label"), "chunk_id")
+    return found.select("query_id", "rank", "chunk_id", "label")
 
 
 @query("index_roundtrip", """
@@ -263,3 +265,12 @@ def index_append(spark, sf):
 def delete_ids(spark, sf):
     bad = table(spark, sf, "labels").filter("quality = 0").select(F.col("doc_id").alias("chunk_id"))
     return store.delete(corpus(spark, sf), bad).select("chunk_id", "label")
+
+
+@query("pca_reduce")
+def pca_reduce(spark, sf):
+    from corpusmill.operators.reduction import reduce_dimensions
+
+    reduced = reduce_dimensions(table(spark, sf, "embeddings"), 48)
+    size = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    return reduced.select("vec_id", F.size("embedding").alias("width"), F.round(size, 6).alias("energy"))

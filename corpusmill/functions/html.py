@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusmill.functions.let import let
 from corpusmill.functions.text import strip
 
 # The entities decoded here; the ampersand comes last on purpose.
@@ -111,11 +112,18 @@ def take_media(content: Column, images: bool = True, links: bool = True, sounds:
                      F.expr("cast(array() as array<struct<mark:string,media:string>>)").alias("media"))
     for wanted, pattern, label in ((images, IMAGE, "IMAGE"), (sounds, SOUND, "SOUND"), (links, LINK, "LINK")):
         if wanted:
-            found = F.array_distinct(F.regexp_extract_all(state["content"], F.lit(pattern), F.lit(0)))
-            state = _swap(state, found, label)
+            state = let(state, _swapper(pattern, label))
     return state
 
 
+def _swapper(pattern: str, label: str):
+    def run(state: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(state["content"], F.lit(pattern), F.lit(0)))
+        return _swap(F.struct(state["content"].alias("content"), state["media"].alias("media")), found, label)
+
+    return run
+
+
 def put_media_back(state: Column) -> Column:
     return F.aggregate(F.reverse(state["media"]), state["content"],
                        lambda acc, pair: F.replace(acc, pair["mark"], pair["media"]))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.html import clean_if_html, page_title
-from corpusmill.functions.let import let
 from corpusmill.functions.text import content_hash, doc_reading_time, est_tokens
 
 MIN_TOKENS = 20
@@ -80,28 +83,40 @@ def from_pages(pages: DataFrame) -> DataFrame:
         F.col("html").alias("page_content"), metadata_map({"url": F.col("url")}).alias("metadata"))
 
 
+# Frequent words per language.
+FREQUENT_WORDS = {
+    "en": "the of and to in is it that was for on are as with be by this",
+    "fr": "le la les de des et en un une est que qui dans pour au du pas avec",
+    "de": "der die das und in den von zu mit ist nicht auf ein eine dem es",
+    "es": "el la los de que y en un una por con para las del se es no su",
+}
+LANGUAGE_GAIN = 5.0
+
+
 def language_probability(text: Column) -> Column:
-    """Share of words that are common function words of the likeliest language, times a fixed gain.
+    """Share of words that are frequent in the likeliest language, times a fixed gain, at most 1.
 
     A stand-in for a language detector: 1.0 for ordinary prose, near 0 for debris.
+    One pass over the words in Arrow batches; a pattern per language would read
+    every text several times.
     """
-    # Frequent words per language.
-    words = {
-        "en": "the of and to in is it that was for on are as with be by this",
-        "fr": "le la les de des et en un une est que qui dans pour au du pas avec",
-        "de": "der die das und in den von zu mit ist nicht auf ein eine dem es",
-        "es": "el la los de que y en un una por con para las del se es no su",
-    }
-    gain = 5.0
+    listed = [frozenset(words.split()) for words in FREQUENT_WORDS.values()]
+    known = frozenset().union(*listed)
+    word = re.compile(r"[^\W\d_]+")
 
-    def hits(low: Column, listed: str) -> Column:
-        return F.regexp_count(low, F.lit(r"[^\p{L}](?:" + listed.replace(" ", "|") + r")(?=[^\p{L}])"))
+    @F.pandas_udf("double")
+    def rate(texts: pd.Series) -> pd.Series:
+        def one(body: str | None) -> float | None:
+            if body is None:
+                return None
+            found = word.findall(body.lower())
+            counts = Counter(w for w in found if w in known)
+            best = max(sum(n for w, n in counts.items() if w in words) for words in listed)
+            return min(1.0, LANGUAGE_GAIN * best / max(1, len(found)))
 
-    def share(low: Column) -> Column:
-        best = F.greatest(*[hits(low, listed) for listed in words.values()])
-        return best / F.greatest(F.lit(1), F.regexp_count(low, F.lit(r"\p{L}+")))
+        return texts.map(one)
 
-    return F.least(F.lit(1.0), let(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), share) * gain)
+    return rate(text)
 
 
 def gate(chunks: DataFrame, keys: list[str], min_tokens: int = MIN_TOKENS, max_tokens: int = MAX_TOKENS,
@@ -110,10 +125,12 @@ def gate(chunks: DataFrame, keys: list[str], min_tokens: int = MIN_TOKENS, max_t
 
     Totals are combined on the map side, so a file with many chunks costs no more.
     """
+    if min_language is not None:
+        chunks = chunks.withColumn("_p", language_probability(F.col("page_content")))
     parts = [F.sum("tkn_length").alias("tokens"), F.sum("doc_reading_time").alias("minutes"),
              F.count(F.lit(1)).alias("n_chunks")]
     if min_language is not None:
-        parts.append(F.avg(language_probability(F.col("page_content"))).alias("language"))
+        parts.append(F.avg("_p").alias("language"))
     totals = chunks.groupBy(*keys).agg(*parts)
     error = (F.when(F.col("tokens") <= min_tokens, "too few tokens")
              .when(F.col("tokens") >= max_tokens, "too many tokens"))

@@ -94,7 +94,7 @@ def first_words_summary(chunk: Column, previous: Column) -> Column:
     """Stand-in summariser: a bullet per sentence with its first words, unless the last chunk said so already."""
     sentences = F.filter(F.split(chunk, r"(?<=[.!?])\s+|\n"), lambda s: s.rlike(r"\p{L}"))
     bullets = F.transform(sentences, lambda s: F.concat(
-        F.lit("- "), F.array_join(F.slice(F.split(F.trim(s), r"\s+"), 1, 6), " ")))
+        F.lit("- "), F.array_join(F.slice(F.split(F.trim(s), r"\s+", 7), 1, 6), " ")))
     return F.array_join(F.filter(F.array_distinct(bullets), lambda b: ~F.array_contains(previous, b)), "\n")
 
 

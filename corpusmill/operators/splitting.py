@@ -42,8 +42,9 @@ def explode_units(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*kept, F.posexplode(units(F.col(text))).alias("pos", "unit"))
 
 
-def _cuts(sizes: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]]:
+def cuts(sizes, limit: int, overlap: int) -> list[tuple[int, int]]:
     """(start, end) of each chunk over the units: greedy, with whole units of overlap."""
+    sizes = np.asarray(sizes, dtype=np.int64)
     total = np.concatenate([[0], np.cumsum(sizes)])
     n, start, first_new, out = len(sizes), 0, 0, []
     while first_new < n:
@@ -57,17 +58,21 @@ def _cuts(sizes: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]]:
     return out
 
 
-def chunk_bounds(sizes: Column, limit: int, overlap: int) -> Column:
-    """Array of (start, end) unit positions. Only the sizes travel to Python; the text does not."""
+def check_overlap(limit: int, overlap: int) -> None:
     if not 0 <= overlap < limit:
         raise ValueError(f"the overlap ({overlap}) must be smaller than the chunk size ({limit})")
 
+
+def chunk_bounds(sizes: Column, limit: int, overlap: int) -> Column:
+    """Array of (start, end) unit positions. Only the sizes travel to Python; the text does not."""
+    check_overlap(limit, overlap)
+
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def run(series: pd.Series) -> pd.Series:
         def one(s):
             if s is None:
                 return None
-            return [{"start": a, "end": b} for a, b in _cuts(np.asarray(s, dtype=np.int64), limit, overlap)]
+            return [{"start": a, "end": b} for a, b in cuts(s, limit, overlap)]
 
         return series.map(one)
 

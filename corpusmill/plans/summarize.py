@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.let import let
 from corpusmill.functions.outline import cite_fallback, good_lines, strip_intro, strip_recursion_marks
 from corpusmill.functions.text import est_tokens, letters, reading_minutes
 from corpusmill.operators.documents import MIN_TOKENS
@@ -22,6 +23,12 @@ def chunk_array(text: Column, limit: int, overlap: int) -> Column:
         F.slice(found, b["start"] + 1, b["end"] - b["start"]), " "))
 
 
+def without_intro(reply: Column) -> Column:
+    """The reply without stock preambles; only replies that mention one are taken apart."""
+    return F.when(reply.rlike("(?i)breath|i'll summarize"),
+                  F.array_join(strip_intro(F.split(reply, "\n")), "\n")).otherwise(reply)
+
+
 def fold_chunks(chunks: Column, model, page: Column | None = None, label: Column | None = None) -> Column:
     """Summaries of the chunks in order; each call sees the last lines of the summary before it."""
     page = F.lit(None).cast("bigint") if page is None else page
@@ -30,8 +37,7 @@ def fold_chunks(chunks: Column, model, page: Column | None = None, label: Column
                      F.expr("cast(array() as array<string>)").alias("summaries"))
 
     def step(state: Column, chunk: Column) -> Column:
-        lines = cite_fallback(good_lines(F.array_join(strip_intro(F.split(
-            model(chunk, state["previous"]), "\n")), "\n")), page, label)
+        lines = cite_fallback(good_lines(let(model(chunk, state["previous"]), without_intro)), page, label)
 
         def remember(ls: Column) -> Column:
             tail = F.slice(ls, F.greatest(F.size(ls) - CARRIED_LINES + 1, F.lit(1)), F.lit(CARRIED_LINES))

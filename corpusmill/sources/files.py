@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import io
+import math
 import re
 import zipfile
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions.html import html_to_text, visible_text
-from corpusmill.functions.let import let
-from corpusmill.functions.text import content_hash, est_tokens, markdown_images_to_mark, strip
+from corpusmill.functions.text import CHARS_PER_TOKEN, content_hash, markdown_images_to_mark, strip
 from corpusmill.operators.documents import metadata_map
-from corpusmill.operators.splitting import chunk_bounds, units
+from corpusmill.operators.splitting import check_overlap, cuts
 
 LOADERS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -93,63 +96,76 @@ def load_json_dict(spark: SparkSession, path: str, template: str = "{key}: {valu
     return _typed(json_dict_docs(_read(spark, path), "page_content", template, exclude), "json_dict")
 
 
+def _home(block: str, chunks: list[str], starts: list[int], marked: str, bare: str) -> int | None:
+    """First chunk that holds the block, or that holds it together with the next one."""
+    at = marked.find(block)
+    if at >= 0:
+        chunk = bisect_right(starts, at) - 1
+        # the same first place without the marks: no border between chunks makes an earlier match
+        if bare.find(block, 0, at - chunk + len(block)) == at - chunk:
+            return chunk
+    for i, body in enumerate(chunks):
+        after = chunks[i + 1] if i + 1 < len(chunks) else ""
+        if block in body or (block not in after and block in body + after):
+            return i
+    return None
+
+
+# A line that sets a property of the block above it.
+PROPERTY = re.compile(r"\s*-?\s*([A-Za-z0-9_-]+)::[ \t]*(.*)")
+
+
+def _page_chunks(text: str, limit: int, overlap: int) -> tuple[list[tuple[str, dict]], float]:
+    """(text, properties) of each chunk of one page, and the share of blocks no chunk holds."""
+    blocks: list[str] = []
+    props: list[tuple[int, str, str]] = []
+    for line in text.split("\n"):
+        found = PROPERTY.match(line)
+        if found and found[2].strip():
+            props.append((len(blocks), found[1], found[2].strip()))
+        elif line.strip() and not found:
+            blocks.append(line)
+    bounds = cuts([math.ceil(len(b) / CHARS_PER_TOKEN) for b in blocks], limit, overlap)
+    held = [" ".join(blocks[i:j]) for i, j in bounds]
+    starts = list(accumulate((len(c) + 1 for c in held), initial=0))[:-1]
+    marked, bare = "\x01".join(held), "".join(held)
+    homes = [_home(b.strip(), held, starts, marked, bare) for b in blocks]
+    merged: list[dict[str, set]] = [{} for _ in held]
+    for number, key, value in props:
+        # number 0 is the page itself, whose properties every chunk has
+        for spot in range(len(held)) if number == 0 else [homes[number - 1]]:
+            if spot is not None:
+                merged[spot].setdefault(key, set()).add(value)
+    facts = [{k: ",".join(sorted(v)) for k, v in sorted(m.items())} for m in merged]
+    return list(zip(held, facts, strict=True)), sum(h is None for h in homes) / len(homes) if homes else 0.0
+
+
 def outline_chunks(pages: DataFrame, limit: int, overlap: int, text: str = "text") -> DataFrame:
     """Outline pages to chunks that carry the properties of the blocks inside them.
 
     A block is a line; ``key:: value`` lines after it are its properties, those
     before the first block the page's. A block belongs to the first chunk that
-    holds it, or that holds it together with the next. Everything happens inside
-    the page's row. ``unmatched`` tells the share of blocks no chunk holds.
+    holds it, or that holds it together with the next. A page is one row, so
+    pages run in parallel without an exchange. ``unmatched`` tells the share of
+    blocks no chunk holds.
     """
-    kept = [c for c in pages.columns if c != text]
+    check_overlap(limit, overlap)
+    kept = [f for f in pages.schema.fields if f.name != text]
+    names = [f.name for f in kept]
     clean = markdown_images_to_mark(F.replace(text, F.lit("\t"), F.lit("    ")))
-    prop = r"\s*-?\s*([A-Za-z0-9_-]+)::[ \t]*(.*)"
-    # a line break that no property line follows ends a block with all its properties
-    blocks = F.filter(F.split(clean, r"\n(?!\s*-?\s*[A-Za-z0-9_-]+::)"), lambda e: F.trim(e) != "")
-    out = pages.select(*kept, blocks.alias("_e"))
-    page_first = F.coalesce(F.get("_e", F.lit(0)).rlike("^" + prop), F.lit(False)).cast("int")
-    out = out.withColumn("_shift", 1 - page_first)
-    out = out.withColumn("_units", F.transform(F.filter("_e", lambda e: ~e.rlike("^" + prop)),
-                                               lambda e: F.split_part(e, F.lit("\n"), F.lit(1))))
-    out = out.withColumn("_b", chunk_bounds(F.transform("_units", lambda u: est_tokens(u)), limit, overlap))
-    out = out.withColumn("_chunks", F.transform("_b", lambda b: F.array_join(
-        F.slice("_units", b["start"] + 1, b["end"] - b["start"]), " ")))
-    props = F.flatten(F.transform("_e", lambda e, i: F.transform(
-        F.regexp_extract_all(e, F.lit("(?m)^" + prop + "$"), F.lit(0)), lambda p: F.struct(
-            (i + F.col("_shift")).alias("block"), F.regexp_extract(p, prop, 1).alias("key"),
-            F.trim(F.regexp_extract(p, prop, 2)).alias("value")))))
-    out = out.withColumn("_props", F.filter(props, lambda p: p["value"] != ""))
-
-    # all chunks in one string, once with a mark between them and once without
-    out = out.withColumn("_marked", F.array_join("_chunks", "\u0001")).withColumn("_bare", F.array_join("_chunks", ""))
-
-    def home(line: Column) -> Column:
-        text_of = F.trim(line)
-        at = F.call_function("locate", text_of, F.col("_marked"))
-
-        def settle(p: Column) -> Column:
-            before = F.substring(F.col("_marked"), F.lit(1), p - 1)
-            chunk = F.length(before) - F.length(F.replace(before, F.lit("\u0001"), F.lit("")))
-            # the same first place in both strings: no chunk border makes an earlier match
-            return let(chunk, lambda i: F.when(
-                (p > 0) & (F.call_function("locate", text_of, F.col("_bare")) == p - i), i).otherwise(search(text_of)))
-
-        return let(at, settle)
-
-    def search(text_of: Column) -> Column:
-        spots = F.transform("_chunks", lambda c, i: F.when(
-            F.contains(c, text_of) | (~F.contains(F.coalesce(F.get("_chunks", i + 1), F.lit("")), text_of)
-                                      & F.contains(F.concat(c, F.coalesce(F.get("_chunks", i + 1), F.lit(""))), text_of)), i))
-        return F.array_min(F.filter(spots, lambda s: s.isNotNull()))
-
-    out = out.withColumn("_homes", F.transform("_units", home))
-    out = out.withColumn("unmatched", F.when(F.size("_units") > 0, F.size(F.filter("_homes", lambda h: h.isNull())) / F.size("_units")).otherwise(0.0))
-    rows = out.select(*kept, "unmatched", "_props", "_homes", F.posexplode("_chunks").alias("chunk_no", "page_content"))
-    here = F.filter("_props", lambda p: (p["block"] == 0) | (F.get("_homes", p["block"] - 1) == F.col("chunk_no")))
-    names = F.array_sort(F.array_distinct(F.transform(here, lambda p: p["key"])))
-    merged = F.map_from_arrays(names, F.transform(names, lambda k: F.array_join(F.array_sort(F.array_distinct(
-        F.transform(F.filter(here, lambda p: p["key"] == k), lambda p: p["value"]))), ",")))
-    return rows.select(*kept, "chunk_no", "page_content", merged.alias("metadata"), "unmatched")
+    schema = T.StructType([*kept, T.StructField("chunk_no", T.IntegerType()), T.StructField("page_content", T.StringType()),
+                           T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
+                           T.StructField("unmatched", T.DoubleType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for *own, body in batch[[*names, "_text"]].itertuples(index=False, name=None):
+                chunks, unmatched = _page_chunks(body or "", limit, overlap)
+                rows += [(*own, i, content, facts, unmatched) for i, (content, facts) in enumerate(chunks)]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return pages.select(*names, clean.alias("_text")).mapInPandas(run, schema)
 
 
 @loader("logseq_markdown")
@@ -266,9 +282,13 @@ def load_pdf(spark: SparkSession, path: str, parsers: list[str] | None = None) -
         raise ValueError(f"no such pdf parser: {unknown}; available: {sorted(PDF_PARSERS)}")
     files = spark.read.format("binaryFile").load(path)
     tried = files.select("path", content_hash(F.col("content")).alias("file_hash"), parse_candidates(F.col("content"), names).alias("_c"))
-    rated = F.transform("_c", lambda c: F.struct(c["name"].alias("name"), c["content"].alias("content"),
-                                                 language_probability(c["content"]).alias("prob")))
-    best = tried.withColumn("_b", pick_best(rated))
+    rated = tried.select("path", "file_hash", F.posexplode_outer("_c").alias("_i", "_p")).withColumn(
+        "prob", language_probability(F.col("_p.content")))
+    # one row per parser and file, and there are only so many parsers
+    candidate = F.struct(F.coalesce("_i", F.lit(0)).alias("i"), F.col("_p.name").alias("name"),
+                         F.col("_p.content").alias("content"), F.coalesce("prob", F.lit(0.0)).alias("prob"))
+    best = rated.groupBy("path", "file_hash").agg(F.array_sort(F.collect_list(candidate)).alias("_c")).withColumn(
+        "_b", pick_best(F.col("_c")))
     return best.select("path", F.col("_b.content").alias("page_content"), F.lit("pdf").alias("filetype"), "file_hash",
                        F.create_map(F.lit("pdf_loader_name"), F.col("_b.name")).alias("metadata"),
                        F.when(F.col("_b").isNull(), "no parser succeeded").alias("load_error"))

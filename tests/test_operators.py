@@ -95,7 +95,7 @@ def test_cuts(sizes, limit, overlap):
             held = kept
         held = [*held, i]
     want.append((held[0], held[-1] + 1))
-    got = splitting._cuts(np.array(sizes), limit, overlap)
+    got = splitting.cuts(np.array(sizes), limit, overlap)
     assert got == want
     assert {i for a, b in got for i in range(a, b)} == set(range(len(sizes)))
 

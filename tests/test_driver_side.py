@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from corpusmill import interact
 from corpusmill.config import Config

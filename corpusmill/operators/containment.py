@@ -52,11 +52,12 @@ def _scanned(blocks: DataFrame, texts: DataFrame, block_id: str, text_id: str) -
               f"{text_id} {texts.schema[text_id].dataType.simpleString()}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = _automaton(patterns) if patterns else None
         for batch in batches:
             out = []
             for key, text in zip(batch[text_id], batch["text"], strict=True):
-                if patterns and text:
-                    hits = {i for _, i in _automaton(patterns).iter(text)}
+                if found is not None and text:
+                    hits = {i for _, i in found.iter(text)}
                     out += [(owner, key) for i in hits for owner in owners[i]]
             yield pd.DataFrame(out, columns=[block_id, text_id])
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import packing, token_files
+from corpusmill.llm import language, packing, token_files, toxicity
+from corpusmill.llm.sampling import fold_of
 from corpusmill.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,5 +43,25 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op8_language")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, learned outside fold 1 of 3."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(fold_of("doc_id", 3) != 1))
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(fold_of("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred",
+        F.col("lang_score").alias("score"))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned outside fold 0 of 5."""
+    docs = table(spark, sf_dir, "documents")
+    grammar = toxicity.train(toxicity.training_rows(docs, table(spark, sf_dir, "labels"), 5, 0))
+    return toxicity.score(docs.select("doc_id", "text"), grammar).select(
+        "doc_id", F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def load():
     return QUERIES, ORACLES

@@ -27,7 +27,7 @@ class Encoder:
     ``max_words`` bounds the memory, not the result.
     """
 
-    def __init__(self, vocabulary: str, dtype: str = "<u2", max_words: int = 600_000):
+    def __init__(self, vocabulary: str, dtype: str = "<u2", max_words: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import language, packing, token_files, toxicity
+from corpusmill.llm import jaccard, language, mixing, packing, sharding, token_files, toxicity
 from corpusmill.llm.sampling import fold_of
 from corpusmill.registry import table
 
@@ -27,6 +27,12 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op3_sharding")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of equal counts, equal texts together."""
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=40)
+
+
 @query("op4_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens, one row per piece."""
@@ -43,6 +49,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op6_jaccard")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 5-word shingles have a Jaccard of 0.75 or more."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op7_mixing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by the weights 5, 2, 1 of their sources."""
+    return mixing.mix(table(spark, sf_dir, "documents"), cycle=(5, 2, 1)).select(
+        "doc_id", *(F.col(f"mix_{c}").alias(c) for c in ("size", "source_size", "target", "taken")))
+
+
 @query("op8_language")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document, learned outside fold 1 of 3."""

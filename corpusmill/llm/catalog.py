@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import jaccard, language, mixing, packing, sharding, token_files, toxicity
+from corpusmill.llm import ann, covertree, jaccard, language, mixing, packing, sharding, token_files, toxicity
 from corpusmill.llm.sampling import fold_of
 from corpusmill.registry import table
 
@@ -27,6 +27,12 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_ann")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every 50th vector."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @query("op3_sharding")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of equal counts, equal texts together."""
@@ -72,6 +78,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang_score").alias("score"))
 
 
+@query("op9_near_vectors")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of vectors of a label whose cosine is 0.93 or more."""
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 @query("op10_toxicity")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learned outside fold 0 of 5."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import ann, covertree, jaccard, language, mixing, packing, sharding, token_files, toxicity
+from corpusmill.llm import ann, covertree, jaccard, language, licenses, mixing, packing, sharding, token_files, toxicity
 from corpusmill.llm.sampling import fold_of
 from corpusmill.registry import table
 
@@ -33,6 +33,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+@query("op2_licenses")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license passage of every document."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @query("op3_sharding")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of equal counts, equal texts together."""

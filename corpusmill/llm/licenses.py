@@ -138,15 +138,19 @@ class Scanner:
 
     def _passages(self, number: int, places: list[tuple[int, int]], ids: np.ndarray) -> list[tuple]:
         template, out, used = self.templates[number], [], -1
-        # candidates from left to right: hits that one alignment can hold
-        places.sort(key=lambda pq: (pq[0] - pq[1], pq[0]))
-        groups: list[list[tuple[int, int]]] = []
-        for p, q in places:
-            if groups and (p - q) - (groups[-1][0][0] - groups[-1][0][1]) <= self.band:
-                groups[-1].append((p, q))
+        # chains of hits that one alignment can hold: both positions rise, near one diagonal
+        chains: list[list[tuple[int, int]]] = []
+        open_: list[list[tuple[int, int]]] = []
+        for p, q in sorted(places):
+            open_ = [c for c in open_ if p - c[0][0] <= len(template) + self.band]
+            fits = [c for c in open_ if q > c[-1][1] and p > c[-1][0]
+                    and abs((p - q) - (c[0][0] - c[0][1])) <= self.band]
+            if fits:
+                max(fits, key=lambda c: c[-1][0]).append((p, q))
             else:
-                groups.append([(p, q)])
-        shifts = [int(np.median([p - q for p, q in g])) for g in groups if len(g) >= self.least[number]]
+                open_.append([(p, q)])
+                chains.append(open_[-1])
+        shifts = [int(np.median([p - q for p, q in c])) for c in chains if len(c) >= self.least[number]]
         for shift in shifts:
             match = align(template.tolist(), ids, shift, self.band)
             if len(match) >= self.coverage * len(template) and match[0][1] > used:

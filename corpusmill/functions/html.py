@@ -103,11 +103,14 @@ def _swap(state: Column, found: Column, label: str) -> Column:
     return F.aggregate(pairs, state, step)
 
 
+# a space before or after the colon and slashes of an address
+BROKEN_ADDRESS = r"(?<=\bhttps?) (?=://)|(?<=://) "
+
+
 def take_media(content: Column, images: bool = True, links: bool = True, sounds: bool = True) -> Column:
     """Swap media for placeholders: struct of ``content`` and the ``media`` pairs taken out."""
     if links:
-        for wrong, right in ((":// ", "://"), ("http ://", "http://"), ("https ://", "http://")):
-            content = F.replace(content, F.lit(wrong), F.lit(right))
+        content = F.regexp_replace(content, BROKEN_ADDRESS, "")
     state = F.struct(content.alias("content"),
                      F.expr("cast(array() as array<struct<mark:string,media:string>>)").alias("media"))
     for wanted, pattern, label in ((images, IMAGE, "IMAGE"), (sounds, SOUND, "SOUND"), (links, LINK, "LINK")):

@@ -167,7 +167,7 @@ WITH d AS (SELECT doc_id, doc_id % 8 AS k, text, source, rtrim(text) AS rt FROM
 SELECT doc_id,
   CASE WHEN k IN (1, 2, 3, 4) THEN source ELSE '' END AS thinking,
   CASE k WHEN 0 THEN text WHEN 1 THEN rt WHEN 2 THEN rt WHEN 3 THEN chr(10) || rt WHEN 4 THEN rt WHEN 5 THEN rt
-    ELSE '<note>' || chr(10) || 'The following LLM answer might have had a problem during parsing' || chr(10) ||
+    ELSE '<note>' || chr(10) || 'The tags of this reply do not add up, so it is given as it came' || chr(10) ||
          '</note>' || chr(10) || '<output>' || chr(10) ||
          CASE k WHEN 6 THEN '<think>' || source || text ELSE text || '</answer>' END || chr(10) || '</output>' END AS answer,
   k < 6 AS ok FROM d""")
@@ -342,15 +342,25 @@ def segments_to_vtt(spark, sf):
 kept AS (
   SELECT doc_id, st, list_filter(st, lambda s: s >= 14)[1] AS t0 FROM timed
   UNION ALL
-  SELECT doc_id, st, list_filter(st, lambda s: s >= t0 + 15)[1] FROM kept WHERE t0 IS NOT NULL)
-SELECT doc_id, count(t0) AS n_codes, coalesce(string_agg(""" + CODE_SQL.format(s="t0") + """, ',' ORDER BY t0), '') AS codes
-FROM kept GROUP BY doc_id""")
+  SELECT doc_id, st, list_filter(st, lambda s: s >= t0 + 15)[1] FROM kept WHERE t0 IS NOT NULL),
+spans AS (
+  SELECT k.doc_id, t0, lead(t0) OVER (PARTITION BY k.doc_id ORDER BY t0) AS t1, timed.li, timed.st AS s
+  FROM kept k JOIN timed ON timed.doc_id = k.doc_id WHERE t0 IS NOT NULL),
+texts AS (
+  SELECT doc_id, t0, list_filter(list_transform(list_filter(range(1, len(li) + 1),
+      lambda i: s[i] >= t0 AND (t1 IS NULL OR s[i] < t1)), lambda i: regexp_replace(li[i], '^\\s+|\\s+$', '', 'g')),
+      lambda x: x <> '') AS said FROM spans),
+lines AS (
+  SELECT doc_id, t0, list_reduce(list_prepend(""" + CODE_SQL.format(s="t0") + """ || coalesce(' ' || said[1], ''), said[2:]),
+      lambda a, x: CASE WHEN contains(a, x) THEN a ELSE a || ' ' || x END) AS line FROM texts)
+SELECT d.doc_id, count(t0) AS n_codes, coalesce(string_agg(line, chr(10) ORDER BY t0), '') AS transcript
+FROM timed d LEFT JOIN lines ON lines.doc_id = d.doc_id GROUP BY d.doc_id""")
 def timecode_decimate(spark, sf):
     captions = table(spark, sf, "documents").select(
         "doc_id", timecode.segments_to_vtt(caption_segments()).alias("vtt"))
-    lines = captions.select("doc_id", timecode.compact_transcript(F.col("vtt"), drop_hour=False).alias("t"))
-    codes = F.regexp_extract_all("t", F.lit(r"(?m)^\d\d:\d\d:\d\d"), F.lit(0))
-    return lines.select("doc_id", F.size(codes).cast("bigint").alias("n_codes"), F.array_join(codes, ",").alias("codes"))
+    lines = captions.select("doc_id", timecode.compact_transcript(F.col("vtt"), drop_hour=False).alias("transcript"))
+    codes = F.regexp_count("transcript", F.lit(r"(?m)^\d\d:\d\d:\d\d"))
+    return lines.select("doc_id", codes.cast("bigint").alias("n_codes"), "transcript")
 
 
 @query("selector_a", """

@@ -125,6 +125,15 @@ def test_intro_and_marks(one):
     assert one(outline.strip_recursion_marks(L(marked))) == "- a\n- b"
 
 
+def test_outline_guard(one):
+    assert one(outline.guard_outline_lines(L("- > quote\n> q\n1. first\nplain"))) == "- \\> quote\n\\> q\n- 1. first\nplain"
+
+
+def test_broken_addresses(one):
+    got = one(html.take_media(L("https ://a.org http:// b.org ftp:// c.org x :// y")))
+    assert [m["media"] for m in got["media"]] == ["https://a.org", "http://b.org", "ftp://c.org"]
+
+
 def test_citation_fallback(one):
     lines = F.array(L("- a"), L("  - b"), L("- c [p.3]"))
     assert one(outline.cite_fallback(lines, L(9), L(None).cast("string"))) == ["- a [p.9]", "  - b", "- c [p.3]"]
@@ -145,6 +154,14 @@ def test_compact_transcript(one):
     assert one(timecode.compact_transcript(L(vtt), drop_hour=False)) == "00:00:16 new words\n00:00:40 end"
 
 
+def test_caption_that_looks_like_its_code(one):
+    vtt = "00:00:15.000 --> 00:00:17.000\n15\n\n00:00:17.000 --> 00:00:19.000\n00:00\n\n00:00:31.000 --> 00:00:33.000\n\n" \
+          "00:00:47.000 --> 00:00:48.000\nlast\n00:00:50\nown code"
+    assert one(timecode.compact_transcript(L(vtt), drop_hour=False)) == (
+        "00:00:15 15\n00:00:31 last\n00:00:50 own code")
+    assert one(timecode.compact_transcript(L(""))) == "" and one(timecode.compact_transcript(L(None).cast("string"))) is None
+
+
 @pytest.mark.parametrize("asked, want", [
     ("library", ("library", [])), ("ALL", ("library", [])), ("tag:a, b", ("tag", ["a", "b"])), ("key:K1", ("items", ["K1"])),
     ("saved_search:My", ("search", ["My"])), ("col:A/B", ("collection", ["A/B"])), ("A/B", ("collection", ["A/B"])),

@@ -97,7 +97,7 @@ def markdown_links_to_text(text: Column) -> Column:
 def reader_title(text: Column) -> Column:
     """Title line of a reader-service reply, NULL when the first line is none."""
     first = F.split_part(text, F.lit("\n"), F.lit(1))
-    return F.when(first.startswith("Title: "), F.substring(first, 8, 1_000_000))
+    return F.when(first.startswith("Title: "), first.substr(F.lit(8), F.length(first)))
 
 
 def reader_body(text: Column) -> Column:

@@ -10,7 +10,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-MAX_GROUP = 500
 BUCKET_TOKENS = 2_000
 MIN_VARIANCE = 0.75
 MAX_DIMENSIONS = 100
@@ -212,13 +211,12 @@ def batches(vectors: np.ndarray, sizes: np.ndarray, cap: int = BUCKET_TOKENS) ->
 
 
 def semantic_batches(answers: DataFrame, keys: list[str], id_col: str, cap: int = BUCKET_TOKENS) -> DataFrame:
-    """Add (batch, pos) to each answer. ``answers``: keys, id, tokens, embedding, at most ``MAX_GROUP`` per key."""
+    """Add (batch, pos) to each answer. ``answers``: keys, id, tokens, embedding; a key
+    holds the answers of one question, so its number is the top-k that the question asked for."""
     fields = {f.name: f.dataType.simpleString() for f in answers.schema.fields}
     schema = ", ".join([f"{c} {fields[c]}" for c in (*keys, id_col)] + ["batch int", "pos int"])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) > MAX_GROUP:
-            raise ValueError(f"a group of answers is bounded by top-k; got {len(group)}")
         group = group.sort_values(id_col, ignore_index=True)
         found = batches(np.vstack(group["embedding"].to_numpy()).astype(float), group["tokens"].to_numpy(), cap)
         rows = [(i, b, p) for b, members in enumerate(found) for p, i in enumerate(members)]
@@ -235,8 +233,6 @@ def group_distances(answers: DataFrame, keys: list[str], id_col: str) -> DataFra
                        + [f"other_id {fields[id_col]}", "nearest double", "mean_distance double", "leaf_rank int"])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) > MAX_GROUP:
-            raise ValueError(f"a group of answers is bounded by top-k; got {len(group)}")
         group = group.sort_values(id_col, ignore_index=True)
         dist = distances(np.vstack(group["embedding"].to_numpy()).astype(float))
         ids = group[id_col].to_numpy()

@@ -2,97 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
-
-import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators.bounded import fits
-
-# Block sets up to this size are looked for in one pass over each text.
-MAX_SCANNED_BLOCKS = 50_000
-MAX_SCANNED_CHARS = 50_000_000
-# Beyond that, windows of this many characters tie a block to the texts that may hold it.
-PIECE = 12
+# Windows of PIECE characters are hashed; of each SPAN consecutive ones the smallest hash is kept.
+PIECE, SPAN = 12, 8
+KEPT_FROM = PIECE + SPAN - 1
 
 
-def contained_in(blocks: DataFrame, texts: DataFrame, block_id: str, text_id: str) -> DataFrame:
-    """Pairs (block, text) where the text holds the block word for word. Both have a ``text`` column.
-
-    A block set whose size is checked to be small travels with the tasks and every
-    text is read once, with no exchange at all. A larger one is joined on windows.
-    """
-    if fits(blocks, MAX_SCANNED_BLOCKS):
-        chars = blocks.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-        if chars <= MAX_SCANNED_CHARS:
-            return _scanned(blocks, texts, block_id, text_id)
-    return _joined(blocks, texts, block_id, text_id)
-
+def _kept_hashes(text: str) -> list[int]:
+    """The smallest hash of each run of windows: what a text shares with every block of KEPT_FROM characters in it."""
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype("u8")
+    if len(codes) < KEPT_FROM:
+        return []
+    hashes = np.zeros(len(codes) - PIECE + 1, "u8")
+    for i in range(PIECE):
+        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + codes[i:i + len(hashes)]
+    hashes ^= hashes >> np.uint64(29)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, SPAN).min(axis=1)).view("i8").tolist()
 
-@lru_cache(maxsize=4)
-def _automaton(patterns: tuple[str, ...]):
-    found = ahocorasick.Automaton()
-    for i, pattern in enumerate(patterns):
-        found.add_word(pattern, i)
-    found.make_automaton()
-    return found
 
+def _kept(text: str) -> Column:
+    @F.pandas_udf("array<long>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(_kept_hashes)
 
-def _scanned(blocks: DataFrame, texts: DataFrame, block_id: str, text_id: str) -> DataFrame:
-    rows = blocks.filter(F.col("text") != "").select(block_id, "text").collect()
-    ids: dict[str, list] = {}
-    for row in rows:
-        ids.setdefault(row["text"], []).append(row[block_id])
-    patterns = tuple(sorted(ids))
-    owners = [ids[p] for p in patterns]
-    schema = (f"{block_id} {blocks.schema[block_id].dataType.simpleString()}, "
-              f"{text_id} {texts.schema[text_id].dataType.simpleString()}")
+    return run(F.col(text))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = _automaton(patterns) if patterns else None
-        for batch in batches:
-            out = []
-            for key, text in zip(batch[text_id], batch["text"], strict=True):
-                if found is not None and text:
-                    hits = {i for _, i in found.iter(text)}
-                    out += [(owner, key) for i in hits for owner in owners[i]]
-            yield pd.DataFrame(out, columns=[block_id, text_id])
 
-    return texts.select(text_id, "text").mapInPandas(run, schema)
-
-
-def _pieces(text: Column) -> Column:
-    """Hashes of all windows of ``PIECE`` characters, read in one pass by a lookahead."""
-    windows = F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{%d}))" % PIECE), F.lit(1))
-    return F.array_distinct(F.transform(windows, lambda w: F.xxhash64(w)))
-
-
-def _joined(blocks: DataFrame, texts: DataFrame, block_id: str, text_id: str) -> DataFrame:
-    """Each block is looked up by its rarest window, so common phrases make no hot key.
+def contained_in(blocks: DataFrame, texts: DataFrame, block_id: str, text_id: str) -> DataFrame:
+    """Pairs (block, text) where the text holds the block word for word. Both have a ``text`` column.
 
-    Blocks shorter than a window are matched against the substrings of their lengths.
+    A long block is looked up by the rarest of its kept hashes, so common phrases make
+    no hot key; short ones are matched against the substrings of their lengths.
+    Empty and null blocks match nothing. Ids may repeat with other texts.
     """
-    b = blocks.select(block_id, F.col("text").alias("_block"))
-    long_blocks, short_blocks = b.filter(F.length("_block") >= PIECE), b.filter(F.length("_block") < PIECE)
-    windows = texts.filter(F.length("text") >= PIECE).select(text_id, F.explode(_pieces(F.col("text"))).alias("_h"))
-    asked = long_blocks.select(block_id, F.explode(_pieces(F.col("_block"))).alias("_h"))
+    size = F.length("_block")
+    found = blocks.filter(F.length("text") > 0).select(block_id, F.col("text").alias("_block"))
+    found = found.distinct().withColumn("_key", F.xxhash64("_block"))
+    bodies = texts.filter(F.length("text") > 0).select(text_id, "text")
+    asked = found.filter(size >= KEPT_FROM).select("_block", "_key").distinct().select("_key", F.explode(_kept("_block")).alias("_h"))
+    windows = bodies.select(text_id, F.explode(_kept("text")).alias("_h"))
     usable = windows.join(asked.select("_h").distinct(), "_h", "left_semi")
     spread = usable.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
-    # a window no text has rules its block out, and is the cheapest of all
+    # a hash no text has rules its block out, and is the cheapest of all
     rated = asked.join(spread, "_h", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    rarest = rated.groupBy(block_id).agg(F.min_by("_h", F.struct("_n", "_h")).alias("_h"))
-    pairs = rarest.join(usable, "_h").select(block_id, text_id)
-    checked = (pairs.join(b, block_id).join(texts.select(text_id, "text"), text_id)
-               .filter(F.contains("text", F.col("_block"))).select(block_id, text_id))
-    sized = short_blocks.filter(F.length("_block") > 0).withColumn("_len", F.length("_block"))
-    parts = [texts.select(text_id, F.explode(F.array_distinct(F.regexp_extract_all(
-        "text", F.lit(r"(?s)(?=(.{%d}))" % n), F.lit(1)))).alias("_block")) for n in range(1, PIECE)]
-    for n, part in enumerate(parts, start=1):
-        checked = checked.unionByName(sized.filter(F.col("_len") == n).join(part, "_block").select(block_id, text_id))
-    return checked
+    rarest = rated.groupBy("_key").agg(F.min_by("_h", F.struct("_n", "_h")).alias("_h"))
+    pairs = rarest.join(usable, "_h").select("_key", text_id).join(found, "_key").join(bodies, text_id)
+    matched = pairs.filter(F.contains("text", F.col("_block"))).select(block_id, text_id)
+    short = found.filter(size < KEPT_FROM)
+    for row in sorted(short.select(size.alias("n")).distinct().collect()):  # KEPT_FROM lengths at most
+        parts = bodies.select(text_id, F.explode(F.array_distinct(F.regexp_extract_all(
+            "text", F.lit(r"(?s)(?=(.{%d}))" % row["n"]), F.lit(1)))).alias("_block"))
+        matched = matched.unionByName(short.filter(size == row["n"]).join(parts, "_block").select(block_id, text_id))
+    return matched.distinct()
 
 
 def mark_subtags(tags: DataFrame) -> DataFrame:

@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators.bounded import fits
-
-MAX_NAMES = 20_000
+BLOCK_NAMES = 20_000
 
 
 def closest_names(wanted: DataFrame, known: DataFrame) -> DataFrame:
     """Each wanted name with the known one it means: exact, else a unique prefix, else the closest.
 
-    ``known`` is a catalogue of distinct names (column ``name``). A small one is
-    carried as one array, so the wanted side is never shuffled or multiplied; a
-    larger one is cut into blocks of that size.
+    ``known`` is a catalogue of distinct names (column ``name``), which is cut into
+    blocks. A null name wanted, or an empty catalogue, gives a null name. Each distinct name
+    wanted meets each block once.
     """
-    if fits(known, MAX_NAMES):
-        listed = F.lit([r["name"] for r in known.sort("name").collect()])
-        return wanted.withColumn("_m", _match(listed)).withColumn("name", _settle(F.array("_m"))).drop("_m")
-    blocks = -(-known.count() // MAX_NAMES)
+    known = known.filter(F.col("name").isNotNull())
+    blocks = max(1, -(-known.count() // BLOCK_NAMES))
     cut = (known.withColumn("_b", F.pmod(F.xxhash64("name"), F.lit(blocks)))
            .groupBy("_b").agg(F.collect_list("name").alias("_names")))
     keys = wanted.columns
@@ -28,7 +26,9 @@ def closest_names(wanted: DataFrame, known: DataFrame) -> DataFrame:
     matched = asked.join(cut, "_b").select(*keys, _match(F.col("_names")).alias("_m"))
     # one row per block and wanted name meets here
     best = matched.groupBy(*keys).agg(F.collect_list("_m").alias("_all"))
-    return wanted.join(best.select(*keys, _settle(F.col("_all")).alias("name")), keys)
+    found = best.select(*(F.col(k).alias(f"_{k}") for k in keys), F.when(F.col("wanted").isNotNull(), _settle(F.col("_all"))).alias("name"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    return wanted.join(found, same, "left").select(*keys, "name")
 
 
 def _match(names: Column) -> Column:

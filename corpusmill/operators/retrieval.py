@@ -116,23 +116,34 @@ def _active_sums(unit: DataFrame, weights: np.ndarray, cost: float) -> tuple[np.
     return grid[:, :width], grid[:, width]
 
 
-def exemplar_direction(unit: DataFrame, question: np.ndarray, n: int, cost: float = 0.1,
-                       max_steps: int = 30) -> np.ndarray:
+def exemplar_direction(unit: DataFrame, question: np.ndarray, n: int, cost: float = 0.1) -> np.ndarray:
     """Weights of a linear SVM with squared hinge loss: the question against all chunks, classes balanced.
 
-    Newton's method; every step is one pass over the chunks.
+    Newton's method; every step is one pass over the chunks. The loss is piecewise quadratic, so
+    full steps end on the minimum; one that does not lower the slope is halved.
     """
     x = np.append(question, 1.0)
     own, others = cost * (n + 1) / 2.0, cost * (n + 1) / (2.0 * n)
-    weights = np.zeros(len(x))
-    for _ in range(max_steps):
+
+    def at(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         matrix, vector = _active_sums(unit, weights, others)
         if 1.0 - x @ weights > 0.0:
             matrix, vector = matrix + own * np.outer(x, x), vector + own * x
-        solved = np.linalg.solve(np.eye(len(x)) + 2.0 * matrix, 2.0 * vector)
-        if np.max(np.abs(solved - weights)) < 1e-9:
-            return solved
-        weights = solved
+        return matrix, vector, weights + 2.0 * (matrix @ weights - vector)
+
+    weights = np.zeros(len(x))
+    matrix, vector, slope = at(weights)
+    while np.abs(slope).max() > 1e-9 * (1.0 + np.abs(weights).max()):
+        step, share = np.linalg.solve(np.eye(len(x)) + 2.0 * matrix, 2.0 * vector) - weights, 1.0
+        while True:
+            tried = weights + share * step
+            matrix, vector, after = at(tried)
+            if np.linalg.norm(after) < np.linalg.norm(slope):
+                break
+            share /= 2.0
+            if share < 1e-6:
+                raise RuntimeError("the exemplar's weights do not settle")
+        weights, slope = tried, after
     return weights
 
 

@@ -7,25 +7,28 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators.lineage import checkpointed
 
-MAX_DEPTH = 100
-
 
 def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, key, depth) of every node below each root, the root itself at depth 0.
 
     ``edges``: key, parent. ``roots``: key. A level is joined to the edges at a
-    time and stored; a cycle ends the walk with an error instead of a loop.
+    time and stored, each node with the way that leads to it; a node on its own way is
+    a cycle, which is an error. There is no limit to the depth.
     """
-    level = checkpointed(roots.select(F.col("key").alias("root"), "key", F.lit(0).alias("depth")))
-    found = level
-    for depth in range(1, MAX_DEPTH + 1):
-        step = (edges.join(level.select("root", F.col("key").alias("parent")), "parent")
-                .select("root", "key", F.lit(depth).alias("depth")))
-        level = checkpointed(step)
-        if level.isEmpty():
+    level = checkpointed(roots.select(F.col("key").alias("root"), "key", F.array("key").alias("way")))
+    found, depth = level.select("root", "key", F.lit(0).alias("depth")), 0
+    while True:
+        depth += 1
+        above = level.select("root", F.col("key").alias("parent"), "way")
+        level = checkpointed(edges.select("key", "parent").join(above, "parent").select(
+            "root", "key", F.array_contains("way", F.col("key")).alias("again"),
+            F.concat("way", F.array("key")).alias("way")))
+        state = level.agg(F.count("*").alias("n"), F.max("again").alias("again")).first()
+        if state["again"]:
+            raise ValueError("the tree holds a cycle")
+        if state["n"] == 0:
             return found
-        found = found.unionByName(level)
-    raise ValueError("the tree is too deep or holds a cycle")
+        found = found.unionByName(level.select("root", "key", F.lit(depth).alias("depth")))
 
 
 def resolve_path(collections: DataFrame, parts: list[str]) -> str:

@@ -16,9 +16,7 @@ from corpusmill.operators.search import hits_with, search
 # Growth of top-k.
 GROWTH = 1.5
 GROW_FROM_SHARE = 0.9
-MAX_TRIES = 10
 DEFAULT_TOP_K = "auto_200_500"
-MAX_ROUNDS = 12
 
 
 def parse_top_k(top_k: int | str) -> tuple[int, int | None]:
@@ -37,8 +35,8 @@ def top_k_steps(top_k: int | str) -> list[int]:
     """The sizes that would be tried in turn."""
     k, limit = parse_top_k(top_k)
     steps = [k]
-    while limit and steps[-1] < limit and len(steps) <= MAX_TRIES:
-        steps.append(min(int(steps[-1] * GROWTH), limit))
+    while limit and steps[-1] < limit:
+        steps.append(min(max(steps[-1] + 1, int(steps[-1] * GROWTH)), limit))
     return steps
 
 
@@ -104,11 +102,16 @@ def reduce_answers(answers: DataFrame, embed: Callable[[Column], Column],
     """
     first_of = answers.groupBy("query_id", "answer").agg(F.min("part").alias("part"))
     state = checkpointed(first_of.withColumn("rounds", F.lit(0)))
-    for _ in range(MAX_ROUNDS):
+    before = None
+    while True:
         sizes = state.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
         open_ids = sizes.filter("n > 1").select("query_id")
+        left = sizes.agg(F.sum("n")).first()[0]
         if open_ids.isEmpty():
             return state.select("query_id", "answer", "rounds")
+        if left == before:
+            raise RuntimeError("a round combined nothing")
+        before = left
         active = state.join(open_ids, "query_id", "left_semi")
         done = state.join(open_ids, "query_id", "left_anti")
         placed = semantic_batches(
@@ -121,8 +124,6 @@ def reduce_answers(answers: DataFrame, embed: Callable[[Column], Column],
                                   (F.col("rounds") + 1).alias("rounds"))
         state = checkpointed(done.unionByName(combined.withColumn("part", F.col("part").cast(
             state.schema["part"].dataType)).select(*done.columns)))
-    raise RuntimeError("the answers did not come down to one")
-
 
 def answer_questions(kept: DataFrame, answer: Column, embed, combine=join_answers, prefix: str = "DOC_") -> DataFrame:
     """One sourced answer per question.

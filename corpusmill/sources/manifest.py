@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tomllib
 from collections.abc import Callable
 from pathlib import Path
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.filetypes import infer_filetype
-from corpusmill.functions.text import content_hash
+from corpusmill.functions.text import content_hash, strip
 from corpusmill.operators.filters import path_predicate, useless_path_rules
 from corpusmill.operators.lineage import checkpointed
 
@@ -29,7 +30,6 @@ ENTRY_FIELDS = {
     "youtube_language": str, "youtube_translation": str, "deepgram_kwargs": dict, "pattern": str,
     "recursed_filetype": str, "include": list, "exclude": list,
 }
-MAX_ROUNDS = 50
 
 
 def check_entry(entry: dict, mode: str = "warn") -> tuple[dict, list[str]]:
@@ -56,8 +56,7 @@ def check_entry(entry: dict, mode: str = "warn") -> tuple[dict, list[str]]:
 
 
 def _without_dash(line: Column) -> Column:
-    stripped = F.trim(line)
-    return F.trim(F.when(stripped.startswith("-"), F.substring(stripped, 2, 1_000_000_000)).otherwise(stripped))
+    return strip(F.regexp_replace(strip(line), r"\A-", ""))
 
 
 def json_lines(lines: DataFrame, line: str, defaults: dict[str, str] | None = None) -> DataFrame:
@@ -96,8 +95,14 @@ def recursive_paths(spark: SparkSession, folder: str, pattern: str = "*", recurs
     """Files below a folder. Spark lists them in parallel and reads no content here."""
     if recursed_filetype in NOT_RECURSED:
         raise ValueError(f"a folder cannot hold {recursed_filetype!r} entries")
+    below, last = pattern.rpartition("/")[::2]
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", pattern.rsplit("/", 1)[-1]).load(folder).select("path"))
+             .option("pathGlobFilter", last or "*").load(folder).select("path"))
+    if below.strip("/"):  # the directory part of the pattern: * stays within a folder, ** does not
+        start = re.escape(re.sub(r"^[a-z0-9]+:/*", "", folder).strip("/"))
+        inner = "".join({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(p, re.escape(p))
+                        for p in re.split(r"(\*\*/|\*\*|\*|\?)", f"{below.strip('/')}/"))
+        files = files.filter(F.col("path").rlike(f"(?:^|/){start}/{inner}[^/]*$"))
     useless = useless_path_rules(files, "path", include or (), exclude or ())
     if useless and on_useless == "crash":
         raise ValueError(f"these rules filter nothing: {useless}")
@@ -116,24 +121,25 @@ def expand(manifest: DataFrame, children_of: Callable[[DataFrame], DataFrame], r
 
     ``manifest``: path, filetype. ``children_of`` turns the open entries into
     (path, filetype) rows. A round works on all open entries at once and is
-    stored. Coming back to a state seen before is an error.
+    stored. A chain of entries without a cycle is no longer than the distinct entries met,
+    so more rounds than these are an error.
     """
     state = manifest.select("path", "filetype", F.lit(0).alias("round"))
-    done, seen = None, set()
-    for number in range(1, MAX_ROUNDS + 1):
+    done, met, number = None, None, 0
+    while True:
+        number += 1
         state = checkpointed(state)
         is_open = F.col("filetype").isin(*recursive)
         settled = state.filter(~is_open)
         done = settled if done is None else done.unionByName(settled)
         pending = state.filter(is_open)
-        mark = pending.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(path, filetype))").alias("h")).first()
-        if mark["n"] == 0:
+        if pending.isEmpty():
             return done
-        if (mark["n"], mark["h"]) in seen:
+        here = pending.select("path", "filetype")
+        met = checkpointed((here if met is None else met.unionByName(here)).distinct())
+        if number > met.count():
             raise ValueError("the manifest keeps expanding into itself")
-        seen.add((mark["n"], mark["h"]))
         state = children_of(pending).select("path", "filetype", F.lit(number).alias("round"))
-    raise ValueError("the manifest does not settle")
 
 
 def unique_entries(manifest: DataFrame) -> DataFrame:

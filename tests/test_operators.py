@@ -219,31 +219,30 @@ def test_store(spark, tmp_path):
 
 # containment, names, labels, trees
 
-def test_containment_ways_agree(spark, monkeypatch):
+def test_containment(spark):
     texts = ["the quick brown fox jumps over the lazy dog", "lorem ipsum dolor sit amet consectetur", "a fox", "quick brown", "", "xx fox xx"]
     blocks = ["quick brown fox jumps", "fox", "ipsum dolor sit amet", "nothing of this sort at all", "a fox", "fox"]
+    blocks += ["the quick brown fox jumps over the lazy", "sit amet consectetur", "consectetur adipiscing elit"]
     b = spark.createDataFrame(list(enumerate(blocks)), "block_id int, text string")
     t = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     want = sorted((i, j) for i, j in itertools.product(range(len(blocks)), range(len(texts))) if blocks[i] in texts[j])
 
-    def run():
-        return sorted((r["block_id"], r["doc_id"]) for r in containment.contained_in(b, t, "block_id", "doc_id").collect())
-
-    assert run() == want
-    monkeypatch.setattr(containment, "MAX_SCANNED_BLOCKS", 2)
-    assert run() == want
+    assert sorted(tuple(r) for r in containment.contained_in(b, t, "block_id", "doc_id").collect()) == want
+    twice = b.withColumn("block_id", F.lit(1)).unionByName(spark.createDataFrame([(1, None), (1, "")], "block_id int, text string"))
+    assert sorted(tuple(r) for r in containment.contained_in(twice, t, "block_id", "doc_id").collect()) == sorted({(1, j) for _, j in want})
 
 
 def test_names_block_by_block(spark, monkeypatch):
     known = spark.createDataFrame([(n,) for n in ("alpha", "alphabet", "beta", "gamma", "delta")], "name string")
-    wanted = spark.createDataFrame([(w,) for w in ("alpha", "bet", "gamna", "del", "zeta")], "wanted string")
+    known = known.unionByName(spark.createDataFrame([(None,)], "name string"))
+    wanted = spark.createDataFrame([(w,) for w in ("alpha", "bet", "gamna", "del", "zeta", None)], "wanted string")
 
     def run():
         return {r["wanted"]: r["name"] for r in names.closest_names(wanted, known).collect()}
 
     first = run()
-    assert first["alpha"] == "alpha" and first["bet"] == "beta" and first["gamna"] == "gamma" and first["del"] == "delta" and first["zeta"] == "beta"
-    monkeypatch.setattr(names, "MAX_NAMES", 2)
+    assert first["alpha"] == "alpha" and first["bet"] == "beta" and first["gamna"] == "gamma" and first["del"] == "delta" and first["zeta"] == "beta" and first[None] is None
+    monkeypatch.setattr(names, "BLOCK_NAMES", 2)
     assert run() == first
 
 
@@ -258,6 +257,11 @@ def test_tree(spark):
     roots = spark.createDataFrame([("a",), ("b",)], "key string")
     got = sorted(tuple(r) for r in tree.descendants(edges, roots).collect())
     assert got == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("b", "b", 0), ("b", "c", 1)]
+    chain = spark.createDataFrame([(str(i + 1), str(i)) for i in range(12)], "key string, parent string")
+    assert tree.descendants(chain, spark.createDataFrame([("0",)], "key string")).count() == 13
+    with pytest.raises(ValueError):
+        tree.descendants(chain.unionByName(spark.createDataFrame([("0", "12")], chain.schema)),
+                         spark.createDataFrame([("0",)], "key string"))
     cols = spark.createDataFrame([("1", "A", None), ("2", "B", "1")], "key string, name string, parent string")
     assert tree.resolve_path(cols, ["A", "B"]) == "2"
     with pytest.raises(ValueError):

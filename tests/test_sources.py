@@ -141,6 +141,10 @@ def test_recursive_paths(spark, tmp_path):
         (tmp_path / name).write_text("t")
     got = manifest.recursive_paths(spark, str(tmp_path), "*.txt", include=["txt"], exclude=["/b/"])
     assert [r["path"].rsplit("/", 1)[1] for r in got.collect()] == ["x.txt"]
+    sub = manifest.recursive_paths(spark, str(tmp_path), "a/b/*.txt").collect()
+    assert sub and all("/b/" in r["path"] for r in sub)
+    assert {r["path"] for r in manifest.recursive_paths(spark, str(tmp_path), "**/*.txt").collect()} == {
+        r["path"] for r in manifest.recursive_paths(spark, str(tmp_path), "*.txt").collect()}
     with pytest.raises(ValueError):
         manifest.recursive_paths(spark, str(tmp_path), "*.txt", include=["."], on_useless="crash")
     with pytest.raises(ValueError):
@@ -153,6 +157,15 @@ def test_expand_stops_on_a_loop(spark):
     start = spark.createDataFrame([("m", "json_entries")], "path string, filetype string")
     with pytest.raises(ValueError):
         manifest.expand(start, lambda pending: pending)
+    # one manifest reached twice, by ways of different length, is no loop
+    below = {"m": ["n", "o"], "n": ["o"], "o": ["f"]}
+    kids = spark.createDataFrame([(a, b) for a, bs in below.items() for b in bs], "above string, path string")
+
+    def children(pending):
+        return pending.select(F.col("path").alias("above")).join(kids, "above").select(
+            "path", F.when(F.col("path") == "f", "txt").otherwise("json_entries").alias("filetype"))
+
+    assert [r["path"] for r in manifest.expand(start, children).collect()] == ["f", "f"]
     done = manifest.expand(start, lambda pending: pending.select("path", F.lit("txt").alias("filetype")))
     assert [tuple(r) for r in done.collect()] == [("m", "txt", 1)]
 
@@ -321,6 +334,7 @@ def test_outline_page(one, tmp_path):
 
 def test_top_k_steps():
     assert Q.top_k_steps("auto_200_500") == [200, 300, 450, 500] and Q.top_k_steps(50) == [50]
+    assert Q.top_k_steps("auto_2_500")[-1] == 500 and Q.top_k_steps("auto_1_5") == [1, 2, 3, 4, 5]
     for bad in ("auto_5_2", 0):
         with pytest.raises(ValueError):
             Q.top_k_steps(bad)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusmill.functions.let import let
 from corpusmill.functions.text import strip
 
-# The entities decoded here; the ampersand comes last on purpose.
+# The commonest entities, and those HTML 4 names besides.
 ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
     ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
@@ -23,10 +25,28 @@ NODES = (
 )
 
 
+NAMED = {**{name: chr(code) for name, code in name2codepoint.items()}, **{e[1:-1]: c for e, c in ENTITIES if e[1] != "#"}}
+ENTITY = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
+
+
 def _decode(text: Column) -> Column:
-    decoded = text
-    for entity, char in ENTITIES:
-        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+    """Named and numeric entities as characters; unknown ones stay. The ampersand comes last on purpose."""
+    names = F.create_map(*[F.lit(x) for pair in sorted(NAMED.items()) for x in pair])
+
+    def char(entity: Column) -> Column:
+        body = F.substring(entity, 2, 9)
+        number = F.when(body.startswith("#x") | body.startswith("#X"), F.conv(F.regexp_extract(body, "[0-9a-fA-F]+", 0), 16, 10))
+        code = number.otherwise(F.regexp_extract(body, r"\d+", 0)).try_cast("int")
+        valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+        one = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(body.startswith("#"), F.when(valid, one)).otherwise(F.try_element_at(names, F.regexp_replace(body, ";", "")))
+
+    def put(acc: Column, entity: Column) -> Column:
+        return let(char(entity), lambda c: F.when(c.isNull(), acc).otherwise(F.replace(acc, entity, c)))
+
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
+    last = F.filter(found, lambda e: e == "&amp;")
+    decoded = F.aggregate(F.concat(F.filter(found, lambda e: e != "&amp;"), last), text, put)
     return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 

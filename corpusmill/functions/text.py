@@ -49,8 +49,14 @@ def rstrip(text: Column) -> Column:
     return F.rtrim(text, F.lit(SPACES))
 
 
+# What Windows-1252 shows in place of Latin-1's control characters.
+_SHOWN = {n: c for n in range(0x80, 0xA0) if (c := bytes([n]).decode("cp1252", "ignore"))}
+WINDOWS_1252, LATIN_1 = "".join(_SHOWN.values()), "".join(map(chr, _SHOWN))
+
+
 def repair_double_encoding(text: Column) -> Column:
-    """Undo UTF-8 text that was read as Latin-1, when the whole text fits that story."""
+    """Undo UTF-8 text that was read as Latin-1 or Windows-1252, when the whole text fits that story."""
+    given, text = text, F.translate(text, WINDOWS_1252, LATIN_1)
     # The well-formed multi-byte sequences of UTF-8, as Latin-1 characters.
     sequences = (
         "[Â-ß][\u0080-¿]"
@@ -62,7 +68,7 @@ def repair_double_encoding(text: Column) -> Column:
         "|ô[\u0080-\u008f][\u0080-¿]{2}"
     )
     broken = text.rlike(sequences) & ~F.regexp_replace(text, sequences, "").rlike("[^\u0000-\u007f]")
-    return F.when(broken, F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")).otherwise(text)
+    return F.when(broken, F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")).otherwise(given)
 
 
 def double_encode(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.html import clean_if_html, page_title
-from corpusmill.functions.text import content_hash, doc_reading_time, est_tokens
+from corpusmill.functions.text import content_hash, doc_reading_time, est_tokens, repair_double_encoding, strip
 
 MIN_TOKENS = 20
 MAX_TOKENS = 10_000_000
@@ -59,8 +59,8 @@ def finish(chunks: DataFrame, file_hash: Column, tokens=est_tokens) -> DataFrame
     """
     have = set(chunks.columns)
     get = lambda name: F.col(name) if name in have else F.lit(None).cast("string")
-    cleaned = chunks.withColumn("page_content", clean_if_html(F.col("page_content")))
-    cleaned = cleaned.filter(F.trim("page_content") != "")
+    cleaned = chunks.withColumn("page_content", repair_double_encoding(clean_if_html(F.col("page_content"))))
+    cleaned = cleaned.filter(strip(F.col("page_content")) != "")
     out = cleaned.withColumns({
         "metadata": one_author(F.col("metadata")),
         "filetype": F.coalesce(get("filetype"), F.lit("auto")),

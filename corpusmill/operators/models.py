@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.let import let
-from corpusmill.functions.text import CHARS_PER_TOKEN
+from corpusmill.functions.text import CHARS_PER_TOKEN, strip
 
 ANSWER_TOKENS = 4_000
 EMBEDDING_WIDTH = 64
@@ -49,7 +49,7 @@ def words(text: Column) -> Column:
 
 def hash_embedding(text: Column, width: int = EMBEDDING_WIDTH) -> Column:
     """Stand-in embedder: counts of hashed words, at unit length. Blank text is refused."""
-    checked = F.when(F.trim(text) == "", F.raise_error(F.lit("cannot embed an empty text"))).otherwise(text)
+    checked = F.when(strip(text) == "", F.raise_error(F.lit("cannot embed an empty text"))).otherwise(text)
     cells = F.transform(words(checked), lambda w: F.pmod(F.xxhash64(w), F.lit(2 * width)).cast("int"))
 
     @F.pandas_udf("array<double>")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import est_tokens
+from corpusmill.functions.text import est_tokens, strip
 
 # Chunk sizes by task, embedding batch limits.
 DEFAULT_CONTEXT = 4096
@@ -34,7 +34,7 @@ def chunk_size(task: str, context: int = DEFAULT_CONTEXT) -> tuple[int, int]:
 
 def units(text: Column) -> Column:
     """Smallest pieces a chunk is made of: the lines that are not blank."""
-    return F.filter(F.split(text, "\n"), lambda u: F.trim(u) != "")
+    return F.filter(F.split(text, "\n"), lambda u: strip(u) != "")
 
 
 def explode_units(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import content_hash
 from corpusmill.operators import dedup, filters
-from corpusmill.operators.documents import metadata_map
+from corpusmill.operators.documents import finish, metadata_map
 from corpusmill.registry import query, table
 
 
@@ -73,8 +73,10 @@ def filter_stats(spark, sf):
 @query("drop_blank", "SELECT doc_id FROM documents WHERE doc_id % 7 > 1")
 def drop_blank(spark, sf):
     kind = F.pmod("doc_id", F.lit(7))
-    text = F.when(kind == 0, F.lit(" \n ")).when(kind == 1, F.lit(None)).otherwise(F.col("text"))
-    return table(spark, sf, "documents").withColumn("text", text).filter(F.col("text").rlike(r"\S")).select("doc_id")
+    text = F.when(kind == 0, F.lit(" \t\n ")).when(kind == 1, F.lit(None)).otherwise(F.col("text"))
+    chunks = table(spark, sf, "documents").select(
+        "doc_id", text.alias("page_content"), F.expr("cast(map() as map<string,string>)").alias("metadata"))
+    return finish(chunks, F.lit("none")).select("doc_id")
 
 
 @query("zip_join", """

@@ -174,10 +174,10 @@ def library_fanout(spark, sf):
 @query("bookmark_artifact", """
 WITH b AS (SELECT doc_id, doc_id % 6 AS k, lang, source, CASE WHEN length(text) > 400 THEN text ELSE '' END AS t FROM documents),
 h AS (SELECT *, 'Title: ' || source || chr(10) || 'Note: ' || lang || chr(10) || chr(10) AS head FROM b)
-SELECT doc_id, CASE k WHEN 0 THEN CASE WHEN t <> '' THEN 'txt' END WHEN 1 THEN CASE WHEN t <> '' THEN 'txt' ELSE 'pdf' END WHEN 2 THEN 'pdf'
+SELECT doc_id, CASE k WHEN 0 THEN CASE WHEN t <> '' THEN 'txt' END WHEN 1 THEN CASE WHEN t <> '' THEN 'txt' ELSE 'pdf' END WHEN 2 THEN CASE WHEN lang <> 'de' THEN 'pdf' END
     WHEN 3 THEN CASE WHEN t <> '' THEN 'local_html' ELSE 'pdf' END WHEN 4 THEN 'pdf' ELSE CASE WHEN t <> '' THEN 'local_html' END END AS filetype,
   CASE WHEN k IN (0, 1, 3, 5) AND t <> '' THEN head || t END AS content,
-  CASE WHEN k IN (2, 4) OR (k IN (1, 3) AND t = '') THEN CASE k WHEN 4 THEN 'arch' ELSE 'a' || doc_id END END AS asset_id FROM h""")
+  CASE WHEN (k = 2 AND lang <> 'de') OR k = 4 OR (k IN (1, 3) AND t = '') THEN CASE k WHEN 4 THEN 'arch' ELSE 'a' || doc_id END END AS asset_id FROM h""")
 def bookmark_artifact(spark, sf):
     kind_no = F.pmod("doc_id", F.lit(6))
     kind = F.when(kind_no == 0, "text").when(kind_no <= 2, "asset").otherwise("link")
@@ -192,7 +192,8 @@ def bookmark_artifact(spark, sf):
     head = bookmarks.header({"title": F.col("source"), "content_title": none, "url": none, "source_url": none, "author": none,
                              "publisher": none, "date": none, "tags": F.expr("cast(array() as array<struct<name:string>>)"),
                              "note": F.col("lang"), "summary": F.lit(""), "id": none})
-    docs = table(spark, sf, "documents").select("doc_id", bookmarks.artifact(kind, text, html, stored, head).alias("a"))
+    docs = table(spark, sf, "documents").select("doc_id", bookmarks.artifact(
+        kind, text, html, stored, head, asset_type=F.when((kind_no == 2) & (F.col("lang") == "de"), "image").otherwise("pdf")).alias("a"))
     return docs.select("doc_id", "a.filetype", "a.content", "a.asset_id")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import strip
 from corpusmill.sources.headers import labelled_lines, tag_names, with_header
 
 CONTENT_SOURCES = ("auto", "native", "parse")
@@ -43,25 +44,28 @@ def stored_asset(pdf_id: Column, archive_id: Column, assets: Column) -> Column:
     return F.coalesce(F.nullif(pdf_id, F.lit("")), F.nullif(archive_id, F.lit("")), F.get(known, F.lit(0))["id"])
 
 
-def artifact(kind: Column, text: Column, html: Column, asset_id: Column, head: Column, wanted: str = "auto") -> Column:
+def artifact(kind: Column, text: Column, html: Column, asset_id: Column, head: Column, wanted: str = "auto",
+             asset_type: Column | None = None) -> Column:
     """struct(filetype, content, asset_id) of a bookmark, NULL when it has nothing to offer.
 
     ``text`` is a note's text or a file's extracted text. ``wanted``: auto,
-    native (what the service extracted) or parse (the stored file).
+    native (what the service extracted) or parse (the stored file). An asset's file is offered
+    if ``asset_type`` says pdf; without that column every file counts as one.
     """
     if wanted not in CONTENT_SOURCES:
         raise ValueError(f"content source is one of {CONTENT_SOURCES}, got {wanted!r}")
-    has = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    has = lambda c: F.coalesce(strip(c) != "", F.lit(False))
     none = F.lit(None).cast("string")
     as_text = F.struct(F.lit("txt").alias("filetype"), with_header(head, text).alias("content"), none.alias("asset_id"))
     as_html = F.struct(F.lit("local_html").alias("filetype"), with_header(head, html).alias("content"), none.alias("asset_id"))
     as_file = F.struct(F.lit("pdf").alias("filetype"), none.alias("content"), asset_id.alias("asset_id"))
     note, asset, link = kind == "text", kind == "asset", kind == "link"
+    is_pdf = F.lit(True) if asset_type is None else F.coalesce(asset_type == "pdf", F.lit(False))
     chosen = F.when(note & has(text), as_text)
     if wanted in ("auto", "native"):
         chosen = chosen.when(asset & has(text), as_text)
     if wanted in ("auto", "parse"):
-        chosen = chosen.when(asset & has(asset_id), as_file)
+        chosen = chosen.when(asset & has(asset_id) & is_pdf, as_file)
     chosen = chosen.when(asset & has(text), as_text)
     if wanted == "native":
         return chosen.when(link & has(html), as_html)

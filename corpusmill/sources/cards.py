@@ -18,7 +18,7 @@ def shown_field(value: Column) -> Column:
 
 def all_fields(names: Column, values: Column) -> Column:
     """``name: 'value'`` blocks of the fields that are not blank."""
-    pairs = F.filter(F.arrays_zip(names.alias("name"), values.alias("value")), lambda p: F.trim(p["value"]) != "")
+    pairs = F.filter(F.arrays_zip(names.alias("name"), values.alias("value")), lambda p: strip(p["value"]) != "")
     return F.array_join(F.transform(pairs, lambda p: F.concat(
         F.lower(p["name"]), F.lit(": '"), shown_field(p["value"]), F.lit("'"))), "\n\n")
 
@@ -71,7 +71,7 @@ def load_cards(cards: DataFrame, template: str = "{allfields}\n{image_ocr_alt}",
     First card per note and first note per text are kept by a partial ``min_by``,
     so neither key has to fit in one task.
     """
-    df = cards.withColumn("codeck", F.when(F.trim("codeck") == "", F.col("cdeck")).otherwise(F.col("codeck")))
+    df = cards.withColumn("codeck", F.when(strip(F.col("codeck")) == "", F.col("cdeck")).otherwise(F.col("codeck")))
     df = df.withColumn("codeck", F.replace("codeck", F.lit("\x1f"), F.lit("::")))
     df = df.withColumn("nmodel", F.lower("nmodel")).filter(F.col("cqueue") != "suspended")
     if deck:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import strip
 from corpusmill.operators.tree import descendants, resolve_path
 from corpusmill.sources.headers import creator_names, labelled_lines, tag_names, with_header
 
@@ -48,7 +49,7 @@ def fan_out(items: DataFrame, children: DataFrame, text_mode: str = "file", incl
     """
     if text_mode not in TEXT_MODES:
         raise ValueError(f"text mode is one of {TEXT_MODES}, got {text_mode!r}")
-    has = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    has = lambda c: F.coalesce(strip(c) != "", F.lit(False))
     none = F.lit(None).cast("string")
     joined = children.withColumnRenamed("title", "child_title").join(
         items.select(F.col("key").alias("parent_key"), "title", "header"), "parent_key")

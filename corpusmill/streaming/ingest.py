@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import content_hash, est_tokens
+from corpusmill.functions.text import content_hash, est_tokens, strip
 
 
 def ingest_folder(spark: SparkSession, folder: str, store: str, checkpoint: str) -> None:
@@ -17,7 +17,7 @@ def ingest_folder(spark: SparkSession, folder: str, store: str, checkpoint: str)
     """
     files = (spark.readStream.format("text").option("wholetext", "true").load(folder)
              .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("page_content")))
-    docs = files.filter(F.trim("page_content") != "").withColumns({
+    docs = files.filter(strip(F.col("page_content")) != "").withColumns({
         "content_hash": content_hash(F.col("page_content")), "tkn_length": est_tokens(F.col("page_content"))})
 
     def append(batch: DataFrame, _: int) -> None:

@@ -125,6 +125,18 @@ def test_intro_and_marks(one):
     assert one(outline.strip_recursion_marks(L(marked))) == "- a\n- b"
 
 
+@pytest.mark.parametrize("raw, want", [
+    ("caf&eacute; &#8217; &hearts; &#x1F600;", "café ’ ♥ 😀"), ("&amp;lt; &nope; &#0; &#xD800; &", "&lt; &nope; &#0; &#xD800; &"),
+    ("a &lt; b &amp; c", "a < b & c")])
+def test_entities(one, raw, want):
+    assert one(html.html_to_text(L(raw))) == want
+
+
+def test_windows_damage(one):
+    assert one(text.repair_double_encoding(L("itâ€™s cafÃ©"))) == "it’s café"
+    assert one(text.repair_double_encoding(L("it’s €5 café"))) == "it’s €5 café"
+
+
 def test_outline_guard(one):
     assert one(outline.guard_outline_lines(L("- > quote\n> q\n1. first\nplain"))) == "- \\> quote\n\\> q\n- 1. first\nplain"
 

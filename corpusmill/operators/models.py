@@ -40,7 +40,11 @@ def python_model(call: Callable[..., list], returns: str) -> Callable[..., Colum
     def run(*columns: pd.Series) -> pd.Series:
         return pd.Series(call(*[list(c) for c in columns]))
 
-    return lambda *columns: run(*columns)
+    def model(*columns: Column) -> Column:
+        return run(*columns)
+
+    model.in_python = True  # cannot stand inside a lambda of the optimizer
+    return model
 
 
 def words(text: Column) -> Column:

@@ -50,6 +50,36 @@ def fold_chunks(chunks: Column, model, page: Column | None = None, label: Column
     return F.aggregate(chunks, start, step)["summaries"]
 
 
+def fold_rounds(rows: DataFrame, chunks: str, model, name: str) -> DataFrame:
+    """``rows`` with the summaries of their ``chunks`` as ``name``, for models that run in Python.
+
+    Round i calls the model once for all rows that have a chunk i, batch by batch,
+    with the last lines of the round before; each round is stored, so no call is repeated.
+    """
+    data = checkpointed(rows.withColumn("_id", F.monotonically_increasing_id()))
+    most = data.agg(F.max(F.size(chunks))).first()[0] or 0
+    state = data.select("_id", chunks, F.expr("cast(array() as array<string>)").alias("_previous"))
+    done = data.select("_id", F.lit(-1).alias("_i"), F.lit("").alias("_text")).where("false")
+    for i in range(most):
+        live = state.where(F.size(chunks) > i).withColumn("_reply", model(F.get(chunks, F.lit(i)), F.col("_previous")))
+        lines = live.withColumn("_lines", good_lines(without_intro(F.col("_reply"))))
+        state = checkpointed(lines.select(
+            "_id", chunks, F.array_join("_lines", "\n").alias("_text"),
+            F.slice("_lines", F.greatest(F.size("_lines") - CARRIED_LINES + 1, F.lit(1)), F.lit(CARRIED_LINES)).alias("_previous")))
+        done = done.unionByName(state.select("_id", F.lit(i).alias("_i"), "_text"))
+        state = state.drop("_text")
+    texts = done.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_i", "_text"))).alias("_all"))
+    joined = data.join(texts, "_id", "left")
+    found = F.coalesce(F.transform("_all", lambda s: s["_text"]), F.expr("cast(array() as array<string>)"))
+    return joined.withColumn(name, found).drop("_id", "_all")
+
+
+def folded(rows: DataFrame, chunks: str, model, name: str) -> DataFrame:
+    if getattr(model, "in_python", False):
+        return fold_rounds(rows, chunks, model, name)
+    return rows.withColumn(name, fold_chunks(F.col(chunks), model))
+
+
 def assemble(summaries: Column) -> Column:
     """One text, with a numbered header before each chunk when there are several."""
     n = F.size(summaries).cast("string")
@@ -68,7 +98,7 @@ def summarize(docs: DataFrame, model, context: int = 4096, n_recursion: int = 0,
     limit, overlap = chunk_size("summarize", context)
     kept = [c for c in docs.columns if c != text]
     out = docs.select(*kept, chunk_array(F.col(text), limit, overlap).alias("_chunks"))
-    out = out.withColumn("_s", fold_chunks(F.col("_chunks"), model))
+    out = folded(out, "_chunks", model, "_s")
     out = out.select(*kept, F.size("_chunks").alias("n_chunk"), assemble(F.col("_s")).alias("summary_0"))
     limit, overlap = chunk_size("recursive_summary", context)
     for i in range(1, n_recursion + 1):
@@ -77,7 +107,7 @@ def summarize(docs: DataFrame, model, context: int = 4096, n_recursion: int = 0,
         before = F.col(f"summary_{i - 1}")
         again = out.withColumn("_again", strip_recursion_marks(before))
         again = again.withColumn("_parts", chunk_array(F.col("_again"), limit, overlap))
-        again = again.withColumn("_s", fold_chunks(F.col("_parts"), model))
+        again = folded(again, "_parts", model, "_s")
         useful = before.isNotNull() & (est_tokens(F.col("_again")) > MIN_TOKENS)
         again = again.withColumn("_next", F.when(useful, assemble(F.col("_s"))))
         out = again.withColumn(f"summary_{i}", F.when(F.col("_next") != before, F.col("_next"))).drop("_again", "_parts", "_s", "_next")

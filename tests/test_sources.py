@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import documents
+from corpusmill.operators import documents, models
 from corpusmill.plans import query as Q
 from corpusmill.plans import summarize as Z
 from corpusmill.sinks import formats, outline
@@ -378,6 +378,23 @@ def test_recursive_summaries(spark):
     assert list(got[2]["recursive_summaries"]) == [0]
 
 
+def test_summary_with_a_python_model(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def reply(chunks, previous):
+        calls.add(1)
+        return [f"{c.split()[0]} after {len(p)}" for c, p in zip(chunks, previous, strict=True)]
+
+    model = models.python_model(reply, "string")
+    docs = spark.createDataFrame([(1, "\n".join(f"w{i} " + "word " * 300 for i in range(40))), (2, "tiny text"), (3, ""), (4, None)],
+                                 "doc_id int, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in Z.summarize(docs, model, n_recursion=1).collect()}
+    n = got[1]["n_chunk"]
+    assert n > 2 and f"- Chunk {n}/{n}" in got[1]["recursive_summaries"][0]
+    assert got[2]["summary"] == "- tiny after 0" and got[1]["recursive_summaries"][0].count("after 1") == n - 1
+    assert calls.value <= 2 * n  # one call a round and batch, none repeated
+
+
 def test_incremental_ingest(spark, tmp_path):
     from corpusmill.streaming.ingest import ingest_folder
 

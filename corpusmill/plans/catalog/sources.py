@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import content_hash
 from corpusmill.operators import documents
 from corpusmill.operators.tree import descendants
+from corpusmill.plans.catalog.text import DECODE_SQL
 from corpusmill.registry import query, table
-from corpusmill.sources import bookmarks, cards, files, library, manifest, media
+from corpusmill.sources import bookmarks, cards, files, library, manifest, media, pipeline
 
 
 @query("src_text", """
@@ -137,7 +138,58 @@ def manifest_fixpoint(spark, sf):
         held = pending.select(number.alias("parent"))
         return entries.filter(F.col("path") != "entry/0").join(held, "parent").select("path", "filetype")
 
-    return manifest.expand(entries.filter(F.col("path") == "entry/0"), children_of)
+    return manifest.expand(entries.filter(F.col("path") == "entry/0").select("path", "filetype"), children_of)
+
+
+LOADED_SQL = r"""
+bare AS (SELECT page_id, url, html, regexp_replace(html,
+    '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->|<[a-z!/?][^>]*>', '', 'g') AS t FROM pages),
+entries AS (
+  SELECT 'doc/' || doc_id || '.txt' AS path, 'txt' AS filetype, CASE WHEN doc_id % 9 = 0 THEN ' ' || chr(9) ELSE text END AS body,
+    coalesce(CASE WHEN doc_id % 4 = 0 THEN lang END, 'Untitled') AS title, source AS source_tag FROM documents
+  UNION ALL SELECT url, 'url', trim(""" + DECODE_SQL.format(x="t") + r""", chr(32)||chr(10)||chr(9)||chr(13)),
+    coalesce(nullif(trim(""" + DECODE_SQL.format(x=r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + r""", chr(32)||chr(10)||chr(9)), ''), 'Untitled'), 'unset' FROM bare
+  UNION ALL SELECT 'part/' || p_partkey || '.xyz', 'odd', NULL, NULL, NULL FROM part WHERE p_partkey % 10 = 0),
+judged AS (SELECT *, CASE WHEN filetype = 'odd' THEN 'no loader for odd' WHEN NOT regexp_matches(body, '\S') THEN 'empty document'
+    WHEN CAST(ceil(length(body) / 4.0) AS BIGINT) <= 20 THEN 'too few tokens' WHEN round(length(body) / 6 / 250, 3) <= 0.1 THEN 'too short to read' END AS load_error FROM entries),
+good AS (SELECT *, substr(sha256(body), 1, 20) AS content_hash FROM judged WHERE load_error IS NULL),
+tags AS (SELECT content_hash, string_agg(source_tag, ' ' ORDER BY first_at) AS tags FROM (
+    SELECT content_hash, source_tag, min(path) AS first_at FROM good GROUP BY ALL) GROUP BY content_hash)"""
+
+
+@query("load_pipeline", "WITH " + LOADED_SQL + """
+SELECT min(path) AS path, arg_min(filetype, path) AS filetype, g.content_hash, count(*) AS n_copies, any_value(tags) AS source_tag,
+  arg_min(title, path) AS title, CAST(ceil(length(any_value(body)) / 4.0) AS BIGINT) AS tkn_length, NULL::VARCHAR AS load_error
+FROM good g JOIN tags USING (content_hash) GROUP BY g.content_hash
+UNION ALL SELECT path, filetype, NULL, NULL, NULL, NULL, NULL, load_error FROM judged WHERE load_error IS NOT NULL""")
+def load_pipeline(spark, sf):
+    """A manifest of lists of documents, web pages and files nobody can read: what is loaded, and what is not and why."""
+    docs, pages, parts = (table(spark, sf, t) for t in ("documents", "pages", "part"))
+    own = lambda **args: documents.metadata_map(args)
+    lists = docs.select("source").distinct().select(
+        F.concat(F.lit("list/"), "source").alias("path"), F.lit("json_entries").alias("filetype"), own(source_tag=F.col("source")).alias("args"))
+    urls = pages.select(F.col("url").alias("path"), F.lit("url").alias("filetype"), own(none=F.lit(None)).alias("args"))
+    odd = parts.filter("p_partkey % 10 = 0").select(
+        F.concat(F.lit("part/"), "p_partkey", F.lit(".xyz")).alias("path"), F.lit("odd").alias("filetype"), own(none=F.lit(None)).alias("args"))
+    path = F.concat(F.lit("doc/"), "doc_id", F.lit(".txt"))
+
+    def listed(pending):
+        held = docs.select(F.concat(F.lit("list/"), "source").alias("list"), path.alias("child"), F.when(
+            F.pmod("doc_id", F.lit(4)) == 0, F.col("lang")).alias("title"))
+        joined = pending.join(held, F.col("path") == F.col("list"))
+        return joined.select(F.col("child").alias("path"), F.lit("auto").alias("filetype"),
+                             pipeline.inherit(own(title=F.col("title")), F.col("args")).alias("args"))
+
+    def texts(entries):
+        body = F.when(F.pmod("doc_id", F.lit(9)) == 0, F.lit(" \t")).otherwise(F.col("text"))
+        return docs.select(path.alias("path"), body.alias("page_content"))
+
+    def web(entries):
+        return documents.from_pages(pages).select("path", "page_content", "title")
+
+    good, failed = pipeline.load_corpus(lists.unionByName(urls).unionByName(odd), {"json_entries": listed}, {"txt": texts, "url": web})
+    shown = good.select("path", "filetype", "content_hash", "n_copies", "source_tag", "title", "tkn_length", F.lit(None).cast("string").alias("load_error"))
+    return shown.unionByName(failed, allowMissingColumns=True)
 
 
 @query("library_fanout", """

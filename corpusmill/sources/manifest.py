@@ -119,12 +119,12 @@ def with_filetype(manifest: DataFrame) -> DataFrame:
 def expand(manifest: DataFrame, children_of: Callable[[DataFrame], DataFrame], recursive=RECURSIVE_TYPES) -> DataFrame:
     """Replace recursive entries by what they stand for until none is left.
 
-    ``manifest``: path, filetype. ``children_of`` turns the open entries into
-    (path, filetype) rows. A round works on all open entries at once and is
+    ``manifest``: path, filetype and whatever else an entry carries. ``children_of`` turns the
+    open entries into rows of the same columns. A round works on all open entries at once and is
     stored. A chain of entries without a cycle is no longer than the distinct entries met,
     so more rounds than these are an error.
     """
-    state = manifest.select("path", "filetype", F.lit(0).alias("round"))
+    state = manifest.withColumn("round", F.lit(0))
     done, met, number = None, None, 0
     while True:
         number += 1
@@ -139,7 +139,7 @@ def expand(manifest: DataFrame, children_of: Callable[[DataFrame], DataFrame], r
         met = checkpointed((here if met is None else met.unionByName(here)).distinct())
         if number > met.count():
             raise ValueError("the manifest keeps expanding into itself")
-        state = children_of(pending).select("path", "filetype", F.lit(number).alias("round"))
+        state = children_of(pending).select(*manifest.columns, F.lit(number).alias("round"))
 
 
 def unique_entries(manifest: DataFrame) -> DataFrame:

@@ -105,7 +105,12 @@ def missing_sources(spark, sf):
     return final.withColumn("named", named).select("query_id", F.nullif(F.array_join(missing.cast("array<string>"), ","), F.lit("")).alias("missing"))
 
 
-@query("answer_each")
+@query("answer_each", "WITH " + COS_SQL + r""",
+asked AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda w: length(w) > 1) AS ws FROM benchmark),
+said AS (SELECT query_id, chunk_id, ws, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss
+  FROM ranked JOIN documents ON doc_id = chunk_id JOIN asked ON item_id = query_id WHERE rank <= 30 AND cos >= 0)
+SELECT query_id, chunk_id, coalesce(substr(list_filter(ss, lambda s: list_has_any(regexp_split_to_array(lower(s), '[^\p{L}]+'), ws))[1], 1, 16000),
+  '<answer>IRRELEVANT</answer>') AS answer FROM said""")
 def answer_each(spark, sf):
     hits = S.search(corpus(spark, sf), questions(spark, sf), 30)
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")

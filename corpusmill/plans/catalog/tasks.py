@@ -78,7 +78,19 @@ def recursive_summary(spark, sf):
     return done.select("doc_id", "n_chunk", F.size("recursive_summaries").alias("n_passes"), "summary", "sum_tkn_length")
 
 
-@query("tag_link")
+# a tag as a whole word; a bracket before it says that it is a link already
+TAG_SQL = r"(?i)(^|[^\p{{L}}\p{{N}}_\[]){0}([^\p{{L}}\p{{N}}_]|$)"
+LINK_SQL = "regexp_replace({x}, '" + TAG_SQL + "', '\\1[[{0}]]\\2', 'g')"
+
+
+def _linked_sql(x: str, tag: str) -> str:
+    return LINK_SQL.format(tag, x=LINK_SQL.format(tag, x=x))  # twice, as neighbours share their gap
+
+
+@query("tag_link", "WITH l AS (SELECT doc_id, string_split(" + _linked_sql(_linked_sql("text", "of the"), "dans") + """, chr(10)) AS li FROM documents)
+SELECT doc_id, array_to_string(list_transform(li, lambda x: CASE WHEN regexp_matches(x, '""" + TAG_SQL.format("(the|la)") + r"""') THEN regexp_replace(x, '\s+$', '')
+  || CASE WHEN regexp_matches(x, '""" + TAG_SQL.format("the") + """') THEN ' [[the]]' ELSE '' END
+  || CASE WHEN regexp_matches(x, '""" + TAG_SQL.format("la") + """') THEN ' [[la]]' ELSE '' END ELSE x END), chr(10)) AS outline FROM l""")
 def tag_link(spark, sf):
     longer, shorter = F.array(F.lit("of the"), F.lit("dans")), F.array(F.lit("the"), F.lit("la"))
     return table(spark, sf, "documents").select("doc_id", link_tags(F.col("text"), longer, shorter).alias("outline"))

@@ -27,6 +27,33 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+# rows reached over links (a, b), and the smallest of them
+REACH_SQL = """
+reach AS (SELECT {id} AS id, {id} AS other FROM {table} UNION
+  SELECT r.id, e.b FROM reach r JOIN (SELECT a, b FROM links UNION SELECT b, a FROM links) e ON r.other = e.a),
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
+
+JACCARD_SQL = r"""WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),""" + REACH_SQL.format(
+    id="doc_id", table="documents") + """
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents LEFT JOIN n USING (doc_id) JOIN least ON id = doc_id"""
+
+NEAR_SQL = """WITH RECURSIVE
+v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE len(embedding) > 0
+  AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id < q.vec_id AND len(p.x) = len(q.x)
+  WHERE list_cosine_similarity(p.x, q.x) >= 0.93),""" + REACH_SQL.format(id="vec_id", table="embeddings") + """,
+counts AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY id)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON least.id = vec_id LEFT JOIN counts ON counts.id = vec_id"""
+
+
 @query("op1_ann")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest vectors of every 50th vector."""
@@ -61,7 +88,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-@query("op6_jaccard")
+@query("op6_jaccard", JACCARD_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 5-word shingles have a Jaccard of 0.75 or more."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -84,7 +111,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang_score").alias("score"))
 
 
-@query("op9_near_vectors")
+@query("op9_near_vectors", NEAR_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of vectors of a label whose cosine is 0.93 or more."""
     return covertree.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.html import html_to_text, take_media
 from corpusmill.functions.text import content_hash, strip, strip_cloze
+from corpusmill.operators.lineage import checkpointed
 
 PLACEHOLDERS = r"\{([^}]*)\}"
 BUILT_IN = ("allfields", "tags", "image_ocr_alt")
@@ -68,8 +69,8 @@ def load_cards(cards: DataFrame, template: str = "{allfields}\n{image_ocr_alt}",
     """Cards to documents.
 
     ``cards``: cid, nid, codeck, cdeck, nmodel, ntags, nflds, fields_name, cqueue, cmod.
-    First card per note and first note per text are kept by a partial ``min_by``,
-    so neither key has to fit in one task.
+    First card per note and first note per text are found by a minimum over ids alone,
+    combined on the map side; the notes are then looked up, so no text is sorted.
     """
     df = cards.withColumn("codeck", F.when(strip(F.col("codeck")) == "", F.col("cdeck")).otherwise(F.col("codeck")))
     df = df.withColumn("codeck", F.replace("codeck", F.lit("\x1f"), F.lit("::")))
@@ -81,15 +82,14 @@ def load_cards(cards: DataFrame, template: str = "{allfields}\n{image_ocr_alt}",
     if tag_filter:
         df = df.filter(F.exists("ntags", lambda t: t.rlike(r"\A(?:" + tag_filter + ")")))
     filled = fill_template(template, F.col("fields_name"), F.col("nflds"), F.col("ntags"), tag_render_filter)
-    card = F.struct("cid", "codeck", "ntags", "nflds", "fields_name", "cmod")
-    notes = df.groupBy("nid").agg(F.min_by(card, "cid").alias("c")).select("nid", "c.*")
+    notes = df.join(df.groupBy("nid").agg(F.min("cid").alias("cid")), ["nid", "cid"], "left_semi")
     texts = notes.withColumn("s", take_media(filled, links=False))
     marker = F.lit("{image_ocr_alt}")
     body = strip(F.replace(F.col("s.content"), marker, image_captions(F.col("s.media"))))
     texts = texts.select("nid", "codeck", "ntags", "cmod", body.alias("page_content"), F.col("s.media").alias("media"))
-    kept = texts.filter(F.col("page_content") != "").withColumn("content_hash", content_hash(F.col("page_content")))
-    doc = F.struct("nid", "page_content", "codeck", "ntags", "cmod", "media")
-    return (kept.groupBy("content_hash").agg(F.min_by(doc, "nid").alias("d")).select("content_hash", "d.*")
+    kept = checkpointed(texts.filter(F.col("page_content") != "").withColumn("content_hash", content_hash(F.col("page_content"))))
+    first = kept.groupBy("content_hash").agg(F.min("nid").alias("nid"))
+    return (kept.join(first, ["content_hash", "nid"], "left_semi")
             .select("nid", "page_content", "content_hash", F.col("codeck").alias("anki_deck"),
                     F.array_join("ntags", " ").alias("anki_tags"), F.col("cmod").alias("anki_modtime"),
                     F.to_json(F.map_from_entries("media")).alias("anki_media")))

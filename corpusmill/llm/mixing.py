@@ -39,7 +39,7 @@ def quotas(sizes: Sequence[int], weights: Sequence[float], total: float, most: f
                 out[i] = left * weights[i] / sum_w
             break
         for i in full:
-            out[i] = most * sizes[i]
+            out[i] = float(most * sizes[i])
         left -= sum(out[i] for i in full)
         open_ -= full
     return out

@@ -35,8 +35,9 @@ from corpusmill.llm.stores import prepare, stored
 
 FEW = 16              # classes of a block that are paired directly
 HEAVY = 1 << 15       # shingles in a task's, and twice as many in the common, list of frequent ones
-CHUNK = 1 << 20       # hashes or block keys gathered in a task before they are sorted
-BUCKET_KEYS = 2_000_000
+CHUNK = 1 << 18       # hashes or block keys gathered in a task before they are sorted
+SEEN = 1 << 18        # classes a task remembers, so as to send each once
+BUCKET_KEYS = 600_000
 STAR = 256           # partners that share one copy of a set when pairs are verified
 TILE = 1024           # classes compared at once in a block shared by many
 SMALL_SIDE = 4_000_000
@@ -72,7 +73,7 @@ class _Words(dict):
     """Hashes of words, kept while they are few enough."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = out = xxhash.xxh3_64_intdigest(word)
         return out
@@ -144,7 +145,9 @@ def block_keys(s: np.ndarray, heavy: np.ndarray, rule: Rule) -> np.ndarray:
     n, own, out = len(s), band_of(rule, len(s)), []
     for band in (own, own + 1):  # where it is of the larger, and of the smaller band
         last = band_start(rule, band + 1) - 1
-        blocks = ceil(last / 3) + 1 if last >= 100 else 4 * last
+        # how many blocks there are does not change how many are needed; about one element a
+        # block leaves enough of rare shingles beside a long shared passage
+        blocks = last if last >= 100 else 4 * last
         need = rule.differ(n, min(last, rule.partner(n))) + 1
         at = ((s >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype("i8")
         order = np.argsort(at, kind="stable")
@@ -201,10 +204,11 @@ def set_table(docs: DataFrame, rule: Rule) -> DataFrame:
                 s = shingles(text, rule.words)
                 name, new = class_of(s), False
                 if len(s):
-                    frequent.add(s)
                     new = name not in seen
-                    if new and len(seen) < CHUNK:
-                        seen.add(name)
+                    if new:
+                        frequent.add(s)
+                        if len(seen) < SEEN:
+                            seen.add(name)
                 rows.append((doc, name, len(s), bit_sketch(s) if new else None, None, None))
             yield _stats(rows)
         frequent.merge()
@@ -313,7 +317,7 @@ def candidates(docs: DataFrame, frequent: np.ndarray, keys: int, rule: Rule) ->
                 name = class_of(s)
                 if not len(s) or name in seen:
                     continue
-                if len(seen) < CHUNK:
+                if len(seen) < SEEN:
                     seen.add(name)
                 heavy = table[(s >> np.uint64(44)).astype("i8")]
                 if heavy.any():
@@ -435,43 +439,52 @@ def _named(rule: Rule):
 def _leftover(entries: DataFrame, found: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """Pairs in blocks of many classes that lie in different components and may link.
 
-    The classes of such a block are dealt into tiles; two tiles are compared at a time,
-    and only pairs that pass the sketch test leave the task.
+    Of blocks with the same classes one is enough. The classes of a large block are
+    dealt into tiles, two of which are compared at a time; small blocks are compared many to a
+    task. Only pairs that pass the sketch test leave it.
     """
     placed = (entries.distinct().join(found.withColumnRenamed("node", "class"), "class", "left")
               .withColumn("component", F.coalesce("component", "class")))
+    placed = stored(placed, "placed")
     mixed = (placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"),
-                                       F.count("*").alias("members")).where("x <> y"))
+                                       F.count("*").alias("members"), F.bit_xor(F.xxhash64("class")).alias("mark"))
+             .where("x <> y").groupBy("mark", "members", "x", "y").agg(F.min("key").alias("key")))
+    groups = max(1, placed.count() // (16 * TILE))
     tiles = F.ceil(F.col("members") / TILE).cast("int")
-    dealt = (placed.join(mixed.select("key", tiles.alias("tiles")), "key")
+    home = F.when(tiles > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(groups)))
+    dealt = (placed.join(mixed.select("key", tiles.alias("tiles"), home.alias("home")), "key")
              .withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int")))
     # each tile goes to the pairs of tiles that it is part of
     to = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1),
                                lambda t: F.struct(F.least(t, "tile").alias("i"), F.greatest(t, "tile").alias("j"))))
-    rows = dealt.select("key", "class", "component", "tile", to.alias("to")).select(
-        "key", "class", "component", "tile", "to.i", "to.j").join(classes.select("class", "n", "sketch"), "class")
+    rows = dealt.select("key", "home", "class", "component", "tile", to.alias("to")).select(
+        "key", "home", "class", "component", "tile", "to.i", "to.j").join(classes.select("class", "n", "sketch"), "class")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        n, name, comp = (frame[c].to_numpy() for c in ("n", "class", "component"))
+        frame = frame.sort_values("key", kind="stable")
+        keys, n, name, comp, tile = (frame[c].to_numpy() for c in ("key", "n", "class", "component", "tile"))
         i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
         sketches = [np.frombuffer(x, "<u8") for x in frame["sketch"]]
-        size = min(map(len, sketches))
-        bits = np.stack([fold(x, size) for x in sketches])
-        left = np.flatnonzero(frame["tile"].to_numpy() == i)
-        right = np.flatnonzero(frame["tile"].to_numpy() == j)
-        out = []
-        for x in left:
-            total = n[x] + n[right]
-            most = (rule.den - rule.num) * total // (rule.den + rule.num)
-            ok = (np.abs(n[x] - n[right]) <= most) & (comp[x] != comp[right])
-            near = right[ok]
-            if len(near):
-                d = np.bitwise_count(bits[near] ^ bits[x]).sum(axis=1)
-                near = near[d <= most[ok]]
-                out.append(pd.DataFrame({"a": np.minimum(name[x], name[near]), "b": np.maximum(name[x], name[near])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, "i8"), "b": np.zeros(0, "i8")})
-
-    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").where("a <> b").distinct()
+        cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])).tolist() + [len(keys)]
+        a, b = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
+        for first, end in zip(cuts[:-1], cuts[1:], strict=True):
+            size = min(len(s) for s in sketches[first:end])
+            bits = np.stack([fold(s, size) for s in sketches[first:end]])
+            own = slice(first, end)
+            n_, name_, comp_ = n[own], name[own], comp[own]
+            left, right = np.flatnonzero(tile[own] == i), np.flatnonzero(tile[own] == j)
+            for x in left:
+                near = right[right > x] if i == j else right
+                most = (rule.den - rule.num) * (n_[x] + n_[near]) // (rule.den + rule.num)
+                ok = (np.abs(n_[x] - n_[near]) <= most) & (comp_[x] != comp_[near])
+                near = near[ok]
+                if len(near):
+                    near = near[np.bitwise_count(bits[near] ^ bits[x]).sum(axis=1) <= most[ok]]
+                    a.append(np.minimum(name_[x], name_[near]))
+                    b.append(np.maximum(name_[x], name_[near]))
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+
+    return rows.groupBy("home", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def link_classes(docs: DataFrame, rule: Rule | None = None) -> tuple[DataFrame, DataFrame]:
@@ -496,7 +509,7 @@ def link_classes(docs: DataFrame, rule: Rule | None = None) -> tuple[DataFrame,
     links = _verified(first, docs, classes, rule)
     found = components(links)
     links = links.unionByName(_verified(_apart(maybe, found), docs, classes, rule))
-    entries = stored(_exploded(packed, 2, "key", "class").distinct(), "entries")
+    entries = _exploded(packed, 2, "key", "class")
     if not entries.isEmpty():
         found = stored(components(links), "components")
         more = stored(_leftover(entries, found, classes, rule), "leftover")
@@ -524,7 +537,8 @@ def jaccard_components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     of_docs, found = link_classes(docs, rule)
     linked = (of_docs.join(found.withColumnRenamed("node", "class"), "class", "left")
               .withColumn("component", F.coalesce("component", "class")))
-    least = linked.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
+    # stored, so that the join deals its sides anew and can split a component of very many documents
+    least = stored(linked.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
     return linked.join(least, "component", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "class")

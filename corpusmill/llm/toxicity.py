@@ -104,7 +104,7 @@ class Grammar:
     def clauses(self, text: str) -> tuple[int, list[tuple[int, float, list[int]]]]:
         """Number of words, and of each matched clause: its number, weight and events."""
         seen, total, matched = self.seen, 0, []
-        if len(seen) > 400_000:
+        if len(seen) > 150_000:
             seen.clear()
         for number, clause in enumerate(CLAUSES.split(text.lower())):
             words = clause.split()

@@ -129,7 +129,8 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 4, seed: int = 23) ->
         F.monotonically_increasing_id().alias("row_id")), "narrow")
     rows = narrow.count()
     groups = narrow.where(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    links = groups.select("key", F.col("key.long").alias("link"), "n")
+    # stored, so that the join deals its sides anew and can split a text of very many copies
+    links = stored(groups.select("key", F.col("key.long").alias("link"), "n"), "groups")
     mark = F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(SPACE))
     state = narrow.join(links, "key", "left").select(
         "row_id", "link", "n", mark.alias("mark"), F.pmod(mark, F.lit(shards)).cast("int").alias("shard"))

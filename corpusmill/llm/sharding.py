@@ -2,7 +2,9 @@
 
 Documents that share a text are linked through their group. In each round every
 group counts its members per shard; members move to the shard where most of their
-group is, as far as the quotas of that shard allow. At last rows beyond a shard's exact
+group is, as far as members of other groups come the other way or the shard has room.
+Rounds go on while the cut falls. Groups that are still cut, among them those larger than a
+shard, are then laid along the room that the others leave. At last rows beyond a shard's exact
 count, documents without links first, fill the shards below theirs.
 """
 
@@ -29,54 +31,151 @@ def _bucket(mark: Column, rows: int) -> Column:
     return F.floor(F.pmod(mark, F.lit(SPACE)) / SPACE * max(1, -(-rows // BUCKET_ROWS)))
 
 
-def _quota_order(moves: DataFrame, mark: Column, many: int) -> DataFrame:
-    """``moves`` with ``ahead``: the members before them that wish to enter the same shard.
+def _wishes(state: DataFrame, most: int, turn: int) -> DataFrame:
+    """Parts of groups (link, shard, here) that wish to move ``to`` the shard of their group's largest; stored.
 
-    Levels of gain by powers of two come first to last, largest first; within a
-    level the order is a hash, cut into buckets.
+    A hash decides between parts of equal counts, another one in each turn. Groups of
+    more than ``most`` rows fit no shard and wish nothing.
     """
-    buckets = max(1, -(-many // BUCKET_ROWS))
-    marked = moves.withColumn("_mark", F.pmod(mark, F.lit(SPACE)))
-    level = 63 - F.floor(F.log2(F.col("gain").cast("double")))
-    place = (level * buckets + F.floor(F.col("_mark") / SPACE * buckets)).cast("bigint")
-    return running_total(marked, ["to"], ["_mark", "link", "shard"], place, F.col("here"), "ahead", include_self=False)
+    linked = state.where(F.col("link").isNotNull() & (F.col("n") <= most))
+    tie = F.xxhash64("link", "shard", F.lit(turn))
+    held = linked.groupBy("link", "shard").agg(F.count("*").alias("here")).withColumn("tie", tie)
+    best = held.groupBy("link").agg(F.max(F.struct("here", "tie", "shard")).alias("best"))
+    return stored(held.join(best, "link").where(F.col("shard") != F.col("best.shard")).select(
+        "link", "shard", F.col("best.shard").alias("to"), "here", F.col("best.here").alias("gain"), "tie"), "moves")
 
 
-def _round(state: DataFrame, rows: int, shards: int) -> DataFrame:
-    """One round of propagation over ``STATE``."""
-    linked = state.where(F.col("link").isNotNull())
-    held = linked.groupBy("link", "shard").agg(F.count("*").alias("here"))
+def _quotas(state: DataFrame, moves: DataFrame, most: int, shards: int) -> DataFrame:
+    """Rows that may go from ``shard`` ``to`` another: as many as wish to come back, and a part of the room there."""
+    names = state.sparkSession.range(shards).select(F.col("id").cast("int").alias("to"))
     # rows without links can go anywhere, so only linked rows count against a shard's even part
-    names = state.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
-    room = (names.join(linked.groupBy("shard").agg(F.count("*").alias("size")), "shard", "left")
-            .select("shard", (F.lit(rows // shards) - F.coalesce("size", F.lit(0))).alias("room")).where("room > 0"))
-    # a group looks at the shard that holds most of it and has room; a hash decides between equal counts
-    tie = F.xxhash64("link", "shard")
-    best = (held.join(F.broadcast(room), "shard").groupBy("link")
-            .agg(F.max(F.struct("here", tie.alias("tie"), "shard", "room")).alias("best")))
-    wish = best.select("link", *(F.col(f"best.{c}").alias(n) for c, n in (
-        ("here", "most"), ("tie", "best_tie"), ("shard", "to"), ("room", "room"))))
-    less = (F.col("here") < F.col("most")) | ((F.col("here") == F.col("most")) & (tie < F.col("best_tie")))
-    moves = stored(held.join(wish, "link").where(less)
-                   .select("link", "shard", "to", "here", "room", F.col("most").alias("gain")), "moves")
-    ranked = _quota_order(moves, tie, moves.count())
-    take = F.greatest(F.lit(0), F.least("here", F.col("room") - F.col("ahead")))
+    sizes = state.where(F.col("link").isNotNull()).groupBy(F.col("shard").alias("to")).agg(F.count("*").alias("size"))
+    room = names.join(sizes, "to", "left").select(
+        "to", F.greatest(F.lit(0), F.lit(most) - F.coalesce("size", F.lit(0))).alias("room"))
+    # one row per pair of shards
+    there = moves.groupBy("shard", "to").agg(F.sum("here").alias("there"))
+    back = there.select(F.col("to").alias("shard"), F.col("shard").alias("to"), F.col("there").alias("back"))
+    pairs = there.join(back, ["shard", "to"], "left").join(room, "to")
+    swap = F.least("there", F.coalesce("back", F.lit(0)))
+    left = pairs.withColumns({"swap": swap, "more": F.col("there") - swap})
+    all_ = Window.partitionBy("to")
+    upto = all_.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = left.withColumns({"sum": F.sum("more").over(all_), "upto": F.sum("more").over(upto)})
+    given = F.least("room", "sum")
+    share = F.expr("CASE WHEN sum > 0 THEN (given * upto) DIV sum - (given * (upto - more)) DIV sum ELSE 0 END")
+    return left.withColumn("given", given).select("shard", "to", (F.col("swap") + share).alias("quota"))
+
+
+def _round(state: DataFrame, moves: DataFrame, many: int, rows: int, shards: int) -> DataFrame:
+    """One round of propagation over ``STATE``: the ``many`` wishes granted as far as the quotas go."""
+    # levels of gain by powers of two, largest first; within a level a hash, cut into buckets
+    buckets = max(1, -(-many // BUCKET_ROWS))
+    marked = moves.withColumn("_mark", F.pmod("tie", F.lit(SPACE)))
+    level = 63 - F.floor(F.log2(F.col("gain").cast("double")))
+    place = (level * buckets + F.floor(F.col("_mark") / SPACE * buckets)).cast("bigint")
+    ranked = running_total(marked, ["shard", "to"], ["_mark", "link"], place, F.col("here"), "ahead", include_self=False)
+    ranked = ranked.join(F.broadcast(_quotas(state, moves, rows // shards, shards)), ["shard", "to"])
+    take = F.greatest(F.lit(0), F.least("here", F.col("quota") - F.col("ahead")))
     allowed = ranked.withColumn("take", take).where("take > 0").select("link", "shard", "to", "take", "here")
     joined = state.join(allowed, ["link", "shard"], "left")
     split = F.coalesce(F.col("take") < F.col("here"), F.lit(False))
     whole = joined.where(~split).withColumn("shard", F.coalesce("to", "shard")).select(STATE)
-    # of a group too large for the quota, the first along the marks move
+    # of a part too large for the quota, the first along the marks move
     part = _numbered(joined.where(split), ["link", "shard"], ["mark", "row_id"], _bucket(F.col("mark"), rows), "at")
     part = part.withColumn("shard", F.when(F.col("at") < F.col("take"), F.col("to")).otherwise(F.col("shard")))
     return whole.unionByName(part.select(STATE))
 
 
+def fill(groups: list[tuple[object, int]], rooms: dict[int, int]) -> list[tuple[object, int, int, int]]:
+    """Pieces (group, first row, end, shard) that put groups, largest first, into the least room that holds them.
+
+    A group that no room holds takes the largest ones until one holds the rest. The rooms
+    must be enough for all.
+    """
+    rooms, out = dict(rooms), []
+    for name, n in sorted(groups, key=lambda g: -g[1]):
+        at = 0
+        while at < n:
+            fits = [(room, s) for s, room in rooms.items() if room >= n - at]
+            room, s = min(fits) if fits else max((room, -s) for s, room in rooms.items())
+            s, step = (s, n - at) if fits else (-s, room)
+            out.append((name, at, at + step, s))
+            rooms[s] -= step
+            at += step
+    return out
+
+
+def _packed(state: DataFrame, rows: int, shards: int) -> DataFrame:
+    """``state`` with the groups that are cut, or beyond a shard's count, laid along the room of the shards.
+
+    Of those, at most one per shard meets the end of a room; these are placed last, into
+    what room is left, and only they can stay cut.
+    """
+    spark = state.sparkSession
+    linked = state.where(F.col("link").isNotNull())
+    groups = stored(linked.groupBy("link").agg(F.count("*").alias("n"), F.min("shard").alias("low"),
+                                               F.max("shard").alias("high")), "homes")
+    many = groups.count()
+    if not many:
+        return state
+    hashed = F.pmod(F.xxhash64("link"), F.lit(SPACE))
+    along = F.floor(hashed / SPACE * max(1, -(-many // BUCKET_ROWS))).cast("bigint")
+    whole = groups.where("low = high").select("link", "n", F.col("low").alias("shard"))
+    ranked = running_total(whole, ["shard"], ["link"], along, F.col("n"), "upto")
+    # one row per shard; where rows do not divide evenly, the fullest shards hold one more
+    held = {r["shard"]: r["size"] for r in whole.groupBy("shard").agg(F.sum("n").alias("size")).collect()}
+    fullest = sorted(range(shards), key=lambda s: (-held.get(s, 0), s))
+    cap = {s: rows // shards + (k < rows % shards) for k, s in enumerate(fullest)}
+    limit = F.element_at(F.create_map(*(F.lit(x) for pair in cap.items() for x in pair)), F.col("shard"))
+    ranked = stored(ranked.withColumn("stays", F.col("upto") <= limit), "homes")
+    room = dict(cap)
+    for r in ranked.where("stays").groupBy("shard").agg(F.sum("n").alias("size")).collect():
+        room[r["shard"]] -= r["size"]
+    loose = stored(groups.where("low <> high").select("link", "n").unionByName(
+        ranked.where("NOT stays").select("link", "n")), "loose")
+    count = loose.count()
+    if not count:
+        return state
+    line, at = [], 0
+    for s in sorted(room, key=lambda s: (-room[s], s)):
+        if room[s]:
+            line.append(F.struct(F.lit(s).alias("home"), F.lit(at).cast("bigint").alias("from"),
+                                 F.lit(at + room[s]).cast("bigint").alias("end")))
+            at += room[s]
+    line = spark.range(1).select(F.explode(F.array(*line)).alias("l")).select("l.*")
+    buckets = max(1, -(-count // BUCKET_ROWS))
+    level = 63 - F.floor(F.log2(F.col("n").cast("double")))
+    place = (level * buckets + F.floor(hashed / SPACE * buckets)).cast("bigint")
+    laid = running_total(loose, [], ["link"], place, F.col("n"), "at", include_self=False)
+    inside = (F.col("at") >= F.col("from")) & (F.col("at") < F.col("end"))
+    laid = stored(laid.join(F.broadcast(line), inside).select(
+        "link", "n", "home", (F.col("at") + F.col("n") > F.col("end")).alias("meets")), "laid")
+    for r in laid.where("NOT meets").groupBy("home").agg(F.sum("n").alias("size")).collect():
+        room[r["home"]] -= r["size"]
+    ends = [(r["link"], r["n"]) for r in laid.where("meets").select("link", "n").collect()]  # one per shard at most
+    goal = laid.select("link", "meets", "home")
+    joined = linked.join(goal, "link", "left")
+    out = state.where(F.col("link").isNull()).select(STATE).unionByName(
+        joined.where(~F.coalesce("meets", F.lit(False))).withColumn("shard", F.coalesce("home", "shard")).select(STATE))
+    if not ends:
+        return out
+    pieces = [F.struct(F.lit(link).alias("link"), F.lit(a).cast("bigint").alias("first"), F.lit(b).cast("bigint").alias("end"),
+                       F.lit(s).alias("into")) for link, a, b, s in fill(ends, room)]
+    pieces = spark.range(1).select(F.explode(F.array(*pieces)).alias("p")).select("p.*")
+    rest = linked.join(F.broadcast(pieces.select("link").distinct()), "link", "left_semi")
+    rest = _numbered(rest, ["link"], ["mark", "row_id"], _bucket(F.col("mark"), rows), "at").join(
+        F.broadcast(pieces), "link").where((F.col("at") >= F.col("first")) & (F.col("at") < F.col("end")))
+    return out.unionByName(rest.withColumn("shard", F.col("into")).select(STATE))
+
+
 def _even(state: DataFrame, rows: int, shards: int) -> DataFrame:
     """Exact counts: the last rows of full shards fill the others; then slots."""
     names = state.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
     # one row per shard
-    sizes = names.join(state.groupBy("shard").agg(F.count("*").alias("size")), "shard", "left").fillna(0, ["size"])
-    order = Window.orderBy(F.desc("size"), "shard")
+    sizes = names.join(state.groupBy("shard").agg(F.count("*").alias("size"), F.count("link").alias("linked")),
+                       "shard", "left").fillna(0, ["size", "linked"])
+    # where rows do not divide evenly, the shards with most linked rows hold one more
+    order = Window.orderBy(F.desc("linked"), F.desc("size"), "shard")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     due = F.lit(rows // shards) + F.when(F.row_number().over(order) <= rows % shards, 1).otherwise(0)
     counted = sizes.withColumn("due", due).withColumns({
@@ -105,7 +204,7 @@ def _even(state: DataFrame, rows: int, shards: int) -> DataFrame:
     return stays.unionByName(came)
 
 
-def shard(docs: DataFrame, shards: int = 40, rounds: int = 4, seed: int = 23) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, seed: int = 23) -> DataFrame:
     """Put ``docs`` into ``shards`` shards; one row per document.
 
     Columns: ``doc_id``, ``size`` (bytes of the text plus 16), ``text_crc32``, ``law``
@@ -113,7 +212,8 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 4, seed: int = 23) ->
     (the place in the shard, gapless from 0), ``grown_shard`` (null under this law).
 
     Equal texts are linked. A group stays in one shard unless it is larger than a
-    shard's even part, or than what is left of it; then it fills few shards.
+    shard's even part, or than what is left of any; then it fills as few shards as their
+    room allows. At most one group per shard is cut.
     Null texts have size 16, a null checksum and no links; empty texts are one
     group. Rows of equal or null ids are placed one by one like any other. No
     documents give no rows. Columns other than ``doc_id`` and ``text`` are not read.
@@ -135,9 +235,16 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 4, seed: int = 23) ->
     state = narrow.join(links, "key", "left").select(
         "row_id", "link", "n", mark.alias("mark"), F.pmod(mark, F.lit(shards)).cast("int").alias("shard"))
     state = stored(state, "shards")
-    for _ in range(rounds):
-        state = stored(_round(state, rows, shards), "shards")
-    placed = _even(state, rows, shards)
+    cut, turn = None, 0
+    while True:
+        moves = _wishes(state, rows // shards, turn)
+        many = moves.count()  # the parts in which groups are cut
+        # once rounds bring less than a tenth, what is left is laid out without them
+        if not many or (cut is not None and 10 * many > 9 * cut):
+            break
+        state = stored(_round(state, moves, many, rows, shards), "shards")
+        cut, turn = many, turn + 1
+    placed = _even(stored(_packed(state, rows, shards), "shards"), rows, shards)
     return narrow.join(placed, "row_id").select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))

@@ -44,6 +44,27 @@ def test_large_group_fills_few_shards(spark):
     assert len({r["shard"] for r in rows if r["size"] == 19}) <= 4
 
 
+@pytest.mark.parametrize("texts, least, cut", [
+    ([(i, "hot" if i % 3 == 0 else f"text {i}") for i in range(4003)], 14, 1),  # a third of all rows share a text
+    ([(i, f"text {i // 2}") for i in range(4003)], 1, 40),  # every text occurs twice
+    ([(i, f"text {i % 110}") for i in range(4003)], 1, 40)])  # groups of a third of a shard, no row without links
+def test_groups_are_cut_as_little_as_can_be(spark, texts, least, cut):
+    rows = sharding.shard(documents(spark, texts), shards=40).collect()
+    check_shards(rows, texts, 40)
+    texts, groups = dict(texts), {}
+    for r in rows:
+        groups.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    assert max(map(len, groups.values())) <= max(least, 3)
+    assert sum(len(g) > 1 for g in groups.values()) <= cut
+
+
+def test_fill():
+    assert sharding.fill([("a", 3), ("b", 5)], {0: 4, 1: 5}) == [("b", 0, 5, 1), ("a", 0, 3, 0)]
+    assert sharding.fill([("a", 9), ("b", 1)], {0: 4, 1: 4, 2: 2}) == [("a", 0, 4, 0), ("a", 4, 8, 1), ("a", 8, 9, 2),
+                                                                       ("b", 0, 1, 2)]
+    assert sharding.fill([], {}) == []
+
+
 @pytest.mark.parametrize("texts", [[], [(1, None)], [(1, ""), (1, ""), (None, None), (None, "a"), (2, "x" * 100_000)],
                                    [(i, "same") for i in range(50)]])
 def test_odd_shards(spark, texts):

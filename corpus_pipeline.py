@@ -47,11 +47,12 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of Jaccard 0.75 or more connect: the first as stored.
 
-    Rows are told apart by their place in the stored table, so equal and null ids are
+    Rows are told apart by numbers, stored with them, so equal and null ids are
     no matter. Texts without words link with nothing and stay.
     """
     row, = fresh(docs, "_row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    # stored, as the numbers follow the splits of the files, which may change from job to job
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     found = jaccard.jaccard_components(numbered.select(F.col(row).alias("doc_id"), "text"))
     copies = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias(row)), "copies")
     # one number a row; above the bound the join is dealt by row

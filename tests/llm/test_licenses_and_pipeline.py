@@ -139,3 +139,24 @@ def test_stages_of_little(spark, tmp_path, rows):
     spark.createDataFrame([], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_keep_their_numbers(spark, tmp_path, monkeypatch):
+    """Files that are read in other splits after the components are known change nothing."""
+    texts = [" ".join(f"t{i}w{k}" for k in range(20)) for i in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(texts[:10])]
+    documents(spark, rows).repartition(8).write.parquet(f"{tmp_path}/docs")
+    original, conf = corpus_pipeline.jaccard.jaccard_components, spark.conf
+
+    def components(docs):
+        found = corpus_pipeline.stored(original(docs), "found")
+        conf.set("spark.sql.files.minPartitionNum", "1")
+        return found
+
+    conf.set("spark.sql.files.minPartitionNum", "8")
+    monkeypatch.setattr(corpus_pipeline.jaccard, "jaccard_components", components)
+    try:
+        kept = corpus_pipeline.drop_near_copies(spark, spark.read.parquet(f"{tmp_path}/docs"), str(tmp_path)).collect()
+    finally:
+        conf.unset("spark.sql.files.minPartitionNum")
+    assert sorted(r["text"] for r in kept) == sorted(texts)

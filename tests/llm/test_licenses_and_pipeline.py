@@ -160,3 +160,24 @@ def test_near_copies_keep_their_numbers(spark, tmp_path, monkeypatch):
     finally:
         conf.unset("spark.sql.files.minPartitionNum")
     assert sorted(r["text"] for r in kept) == sorted(texts)
+
+
+@pytest.mark.parametrize("text, names", [
+    ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.1.", ["LGPL-2.1"]),
+    ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0"]),
+    ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0-short"]), ("Licensed under CC BY 4.0.", ["CC-BY-4.0-short"]),
+    ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]), ("Licensed under CC BY-NC 2.5.", []),
+    ("Released under the BSD License.", []), ("Licensed under the Apache License, Version 1.1.", []),
+    (f"x {BY_NAME['MIT']} {BY_NAME['GPL-3.0']}", ["MIT", "GPL-3.0"])])
+def test_versions_and_variants(text, names):
+    found = licenses.Scanner(licenses.TEMPLATES, 0.75, 8).scan(text)
+    assert [f[0] for f in sorted(found, key=lambda f: f[1])] == names
+
+
+def test_every_template_is_itself():
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.75, 8)
+    assert len(BY_NAME) == len(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES:
+        assert [(f[0], f[3]) for f in scanner.scan(f"before it {text} after it")] == [(name, 1.0)]

@@ -292,8 +292,11 @@ def candidates(docs: DataFrame, frequent: np.ndarray, keys: int, rule: Rule) ->
 
     def spread(keys: np.ndarray, names: np.ndarray, home: int) -> Iterator[pd.DataFrame]:
         """Entries by bucket; a key of many classes in this chunk is dealt with here, but for its first class."""
-        order = np.argsort(keys, kind="stable")
+        order = np.lexsort((names, keys))
         keys, names = keys[order], names[order]
+        # a class that the task no longer remembers comes again with each of its documents
+        new = np.append(True, (keys[1:] != keys[:-1]) | (names[1:] != names[:-1]))
+        keys, names = keys[new], names[new]
         start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         length = np.diff(np.append(start, len(keys)))
         large = np.repeat(length > 4 * FEW, length)

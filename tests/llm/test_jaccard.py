@@ -2,8 +2,10 @@
 
 import random
 from collections import defaultdict
+from unittest.mock import MagicMock
 
 import numpy as np
+import pandas as pd
 import pytest
 from corpusmill.llm import jaccard
 from corpusmill.llm.catalog import QUERIES
@@ -155,3 +157,28 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, **{i: 300 for i in range(300, 340)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_repeated_class_is_one_entry_of_a_block(monkeypatch):
+    """Copies of X beside a near copy Y, and Z elsewhere that links with Y only, once tasks forget classes."""
+    steps, docs = [], MagicMock()
+    docs.select.return_value = docs.where.return_value = docs.groupBy.return_value = docs
+    docs.mapInPandas.side_effect = docs.applyInPandas.side_effect = lambda step, _: steps.append(step) or docs
+    docs.sparkSession.sparkContext.broadcast = lambda value: MagicMock(value=value)
+    context = MagicMock()
+    context.get.return_value.partitionId.return_value = 0
+    for name, value in (("SEEN", 0), ("F", MagicMock()), ("TaskContext", context), ("stored", lambda df, _: df)):
+        monkeypatch.setattr(jaccard, name, value)
+    first, second = [], []
+    for group in range(20):
+        words = [f"g{group}w{i}" for i in range(45)]
+        first += [" ".join(words)] * 70 + [" ".join(words[1:])]
+        second.append(" ".join(words[11:]))
+    jaccard.candidates(docs, np.unique(np.concatenate([jaccard.shingles(t) for t in first])), 1000, RULE)
+    emit, meet = steps
+    sent = pd.concat([f for texts in (first, second) for f in emit(iter([pd.DataFrame({"text": texts})]))])
+    met = meet(sent.reset_index(drop=True))
+    a, b = jaccard._unpacked(met[met["kind"] == 1])
+    pairs = set(zip(a.view("i8").tolist(), b.tolist(), strict=True))
+    names = [sorted(jaccard.class_of(jaccard.shingles(t)) for t in both) for both in zip(first[70::71], second, strict=True)]
+    assert {tuple(n) for n in names} <= pairs

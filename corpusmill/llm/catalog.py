@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import ann, covertree, jaccard, language, licenses, mixing, packing, sharding, token_files, toxicity
+from corpusmill.llm import alignment, ann, covertree, jaccard, language, licenses, mixing, packing, sharding, token_files, toxicity
 from corpusmill.llm.sampling import fold_of
 from corpusmill.registry import table
 
@@ -127,5 +127,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op11_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the tokens of two tokenizers end together, in every document."""
+    return alignment.align_counts(table(spark, sf_dir, "documents"))
+
+
 def load():
     return QUERIES, ORACLES

@@ -26,7 +26,7 @@ from corpusmill.llm.stores import prepare, stored
 GROUPS = ("row bigint, doc_id bigint, groups array<struct<a: array<int>, b: array<int>, start: bigint, stop: bigint, "
           "overlaps: array<struct<first: int, last: int>>>>")
 DIGEST = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, slots binary, groups_sha256 string"
-CHARACTERS = 1_000_000
+CHARACTERS = 500_000
 
 
 def gallop(short: np.ndarray, long: np.ndarray, guess: np.ndarray) -> np.ndarray:

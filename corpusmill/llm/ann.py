@@ -138,27 +138,34 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, goal: float = 0.97)
     Columns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (the cosine, in double
     precision, on the vectors as they are); ties go to the smaller id. Rows of the
     query's own id are no candidates. Null, empty or zero vectors, such with null or
-    non-finite components, rows without an id, and vectors of another length than
-    most of the sample take no part. Of repeated ids each row is a candidate, and
-    one of them, the smallest vector, the query. No usable rows give no rows.
+    non-finite components, and rows without an id take no part. Vectors of another
+    length have no cosine with a query: each length is searched on its own, one after
+    another. Of repeated ids each row is a candidate, and of those of a length the
+    smallest vector is the query. No usable rows give no rows.
 
-    Lists, probes and first bounds are fitted on about ``FIT_ROWS`` rows; every row is
-    put in a list. ``goal`` is the share of neighbours that the probed lists should
+    Lists, probes and first bounds of a length are fitted on at most ``FIT_ROWS`` of its
+    rows; every row is put in a list. ``goal`` is the share of neighbours that the probed lists should
     hold. A query for which fewer than ``k`` were found asks all lists again,
     without a bound. Other columns are not read.
     """
     spark = vectors.sparkSession
     prepare(spark)
-    rows = vectors.withColumn("_q", is_query).select(
-        "vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce("_q", F.lit(False)).alias("q"))
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"),
+                          F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    dim = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if dim is None:
-        return empty
-    rows = stored(rows.where(F.size("embedding") == dim["d"]), "vectors")
+    rows = stored(rows, "vectors")
+    lengths = rows.groupBy(F.size("embedding").alias("d")).agg(F.max("q").alias("asked")).where("asked").orderBy("d")
+    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for length in lengths.collect():  # the lengths that occur
+        found = found.unionByName(_search(rows.where(F.size("embedding") == length["d"]), k, goal))
+    return found
+
+
+def _search(rows: DataFrame, k: int, goal: float) -> DataFrame:
+    """``search`` over stored rows (vec_id, embedding, q) of one length."""
+    spark = rows.sparkSession
     total = rows.count()
-    sample = bounded_sample(rows.select("vec_id", "embedding"), "vec_id", FIT_ROWS, SEED).toPandas()
+    sample = bounded_sample(rows.select("vec_id", "embedding"), ["vec_id", "embedding"], FIT_ROWS, SEED).toPandas()
     index = Index(unit(matrix(sample["embedding"])), sample["vec_id"].to_numpy(), total, k, goal)
     shared = spark.sparkContext.broadcast(index)  # FIT_ROWS vectors and MOST_LISTS centroids at most
 

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import alignment, ann, covertree, jaccard, language, licenses, mixing, packing, sharding, token_files, toxicity
+from corpusmill.llm import (
+    alignment,
+    ann,
+    covertree,
+    jaccard,
+    language,
+    lexical,
+    licenses,
+    mixing,
+    packing,
+    rules,
+    sharding,
+    token_files,
+    toxicity,
+)
 from corpusmill.llm.sampling import fold_of
 from corpusmill.registry import table
 
@@ -53,6 +67,21 @@ counts AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM links UNION ALL SE
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN least ON least.id = vec_id LEFT JOIN counts ON counts.id = vec_id"""
 
+RANK_SQL = r"""WITH
+d AS (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+n AS (SELECT r, doc_id, count(*) AS n FROM d GROUP BY ALL),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+m AS (SELECT r, doc_id, 50 + (50 * n * docs) // terms AS m FROM n, c),
+f AS (SELECT r, term, count(*) AS tf FROM d GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, c GROUP BY term),
+q AS (SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, q.text, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY ALL),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM o WHERE rank <= 50"""
+
 
 @query("op1_ann")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,5 +162,21 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_counts(table(spark, sf_dir, "documents"))
 
 
+@query("op12_lexical", RANK_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for the words of every benchmark item."""
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+@query("op13_quality")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned outside fold 0 of 5."""
+    docs = table(spark, sf_dir, "documents")
+    model = rules.train(docs, table(spark, sf_dir, "labels"), "quality", 5, 0)
+    return rules.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
 def load():
     return QUERIES, ORACLES

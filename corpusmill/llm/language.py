@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.sampling import bounded_sample
-from corpusmill.llm.stores import prepare
+from corpusmill.llm.stores import fresh, prepare
 
 BITS = 16
 SCALE = 100.0  # keeps feature values near one
@@ -134,8 +134,8 @@ def train(docs: DataFrame, most_rows: int = 6000, seed: int = 3) -> Model:
     """Fit a model on (doc_id, text, lang).
 
     Document frequencies are counted over all rows; the weights are fitted on
-    about ``most_rows`` of them, chosen by a hash of the id, the temperature on
-    every fifth of these. Rows without text, language or letters are not used;
+    at most ``most_rows`` of them, chosen by a hash of the row, the temperature on
+    every fifth of these. Repeated and null ids are no matter. Rows without text, language or letters are not used;
     without any row, the model knows no language.
     """
     spark = docs.sparkSession
@@ -175,7 +175,7 @@ def train(docs: DataFrame, most_rows: int = 6000, seed: int = 3) -> Model:
         yield pd.DataFrame({"languages": [languages], "weights": [weights.astype("<f8").tobytes()],
                             "bias": [bias.astype("<f8").tobytes()], "temperature": [temperature]})
 
-    sample = bounded_sample(known, "doc_id", most_rows, seed)
+    sample = bounded_sample(known, ["doc_id", "text", "lang"], most_rows, seed)
     model = (sample.mapInPandas(features, "doc_id long, lang string, slots binary, values binary")
              .repartition(1)  # the bounded sample
              .mapInPandas(fit, "languages array<string>, weights binary, bias binary, temperature double").first())
@@ -202,5 +202,6 @@ def predict(docs: DataFrame, model: Model, text: str | Column = "text") -> DataF
 
     own = docs.drop("lang_pred", "lang_score")
     col = F.col(text) if isinstance(text, str) else text
-    return own.withColumn("_l", run(col)).select(
-        *own.columns, F.col("_l.lang").alias("lang_pred"), F.col("_l.score").alias("lang_score"))
+    found, = fresh(own, "found")
+    return own.withColumn(found, run(col)).select(
+        *own.columns, F.col(found)["lang"].alias("lang_pred"), F.col(found)["score"].alias("lang_score"))

@@ -16,10 +16,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.stores import fresh
+from corpusmill.llm.stores import fresh, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_ROWS = 4096
+SMALL_PLAN = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -101,8 +102,7 @@ def route(patterns: Sequence[tuple[Sequence[int], int]], wanted: Sequence[int],
 
 
 def mix(docs: DataFrame, sources: Column | None = None, size: Column | None = None,
-        cycle: Sequence[float] = (5, 2, 1), share: float = 1.0, repeats: int = 3, seed: int = 17,
-        most_patterns: int = 100_000) -> DataFrame:
+        cycle: Sequence[float] = (5, 2, 1), share: float = 1.0, repeats: int = 3, seed: int = 17) -> DataFrame:
     """``docs`` with what the mix takes of each: ``mix_size``, ``mix_source_size``, ``mix_target``,
     ``mix_taken`` (words, repetitions counted), ``mix_repeats`` and ``mix_rest`` (words of one more,
     partial repetition).
@@ -114,29 +114,78 @@ def mix(docs: DataFrame, sources: Column | None = None, size: Column | None = No
     counts in the size of each; its ``mix_source_size`` and ``mix_target`` are those
     of its first source. An empty or null array is the null source.
 
-    Only the table of patterns (source set, words, documents) is brought to the
-    driver; more than ``most_patterns`` raise an error. Documents of size 0 take
-    nothing. Rows are ordered by a hash of id, text length and ``seed``, and a rerun takes
-    the same. No documents give no rows. The new columns replace columns of those names.
+    Where no document has several sources, a pattern is a source and takes its quota:
+    numbers and quotas are DataFrame aggregates over the table of sources, however many.
+    Else the table of patterns (source set, words, documents) is brought to the driver for
+    the flow. Documents of size 0 take nothing. Rows are ordered by a hash of id, text and
+    ``seed``, and a rerun takes the same. No documents give no rows. The new columns
+    replace columns of those names.
     """
     new = ("mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_repeats", "mix_rest")
     own = docs.drop(*new)
-    pattern, rank, bucket, before = fresh(own, "_pattern", "_rank", "_bucket", "_before")
+    internal = fresh(own, "pattern", "rank", "bucket", "base", "inside", "whole", "rest", "buckets", "left")
+    pattern, rank, bucket = internal[:3]
     names = F.array(F.col("source")) if sources is None else sources
     names = F.coalesce(names, F.array(F.lit(None).cast("string")))
     names = F.when(F.size(names) == 0, F.array(F.lit(None).cast("string"))).otherwise(names)
     sized = own.withColumns({
         pattern: F.sort_array(F.array_distinct(names)),
         "mix_size": (word_count(F.col("text")) if size is None else size).cast("bigint"),
-        rank: F.xxhash64(F.col("doc_id"), F.length("text"), F.lit(seed))})
-    groups = (sized.groupBy(pattern).agg(F.sum("mix_size").alias("words"), F.count("*").alias("rows"))
-              .limit(most_patterns + 1).collect())
-    if len(groups) > most_patterns:
-        raise ValueError(f"more than {most_patterns} patterns of sources")
-    groups.sort(key=lambda g: [(s is None, s or "") for s in g[0]])
-    known = sorted({s for g in groups for s in g[0]}, key=lambda s: (s is None, s or ""))
+        rank: F.xxhash64(F.col("doc_id"), "text", F.lit(seed))})
+    groups = stored(sized.groupBy(F.col(pattern).alias("pattern")).agg(
+        F.sum("mix_size").alias("words"), F.count("*").alias("rows")), "patterns")
+    several = groups.where(F.size("pattern") > 1)
+    plan = (_quota_plan if several.isEmpty() else _flow_plan)(groups, cycle, share, repeats)
+    whole, rest, buckets = internal[5:8]
+    plan = stored(plan.select(
+        F.col("pattern").alias(pattern), "mix_source_size", "mix_target",
+        F.when(F.col("words") > 0, F.floor(F.col("sent") / F.col("words"))).otherwise(0).cast("bigint").alias(whole),
+        F.when(F.col("words") > 0, F.col("sent") % F.col("words")).otherwise(0).alias(rest),
+        F.ceil(F.col("rows") / BUCKET_ROWS).cast("bigint").alias(buckets)), "plan")
+    # some 100 bytes a row; beyond the bound the join is dealt by pattern and adaptive execution splits hot ones
+    table = F.broadcast(plan) if plan.count() <= SMALL_PLAN else plan
+    data = sized.join(table, pattern)
+    uniform = F.pmod(F.col(rank), F.lit(1 << 40)) / (1 << 40)
+    data = data.withColumn(bucket, F.floor(uniform * F.col(buckets)))
+    return _hand_out(data, internal).select(*own.columns, *new)
+
+
+def _quota_plan(groups: DataFrame, cycle: Sequence[float], share: float, repeats: int) -> DataFrame:
+    """``groups`` of one source each with ``mix_source_size``, ``mix_target`` and ``sent``."""
+    source = F.col("pattern")[0]
+    # numbered along the code points, null last: by ranges first, then inside them
+    ordered = stored(groups.repartitionByRange(source.asc_nulls_last()).sortWithinPartitions(source.asc_nulls_last())
+                     .withColumn("at", F.monotonically_increasing_id()), "sources")
+    part, inside = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    parts = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # one row a task
+    before = parts.withColumn("before", F.coalesce(F.sum("n").over(
+        Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    weights = F.array(*(F.lit(float(w)) for w in cycle))
+    table = stored(ordered.withColumn("part", part).join(F.broadcast(before), "part").withColumn(
+        "slot", ((F.col("before") + inside) % len(cycle)).cast("int")).withColumn("weight", F.get(weights, F.col("slot"))), "weights")
+    most = F.lit(float(repeats)) * F.col("words")
+    total = share * (table.agg(F.sum("words")).first()[0] or 0)
+    level, known = 0.0, -1
+    while True:  # the words a unit of weight gets rises until no further source is full
+        full = most < F.lit(level) * F.col("weight")
+        # whole numbers, so that the order of summing is no matter
+        state = table.agg(F.count(F.when(full, 1)).alias("n"), F.sum(F.when(full, F.col("words"))).alias("words"), *(
+            F.count(F.when(~full & (F.col("slot") == i), 1)).alias(f"open{i}") for i in range(len(cycle)))).first()
+        open_weight = sum(w * state[f"open{i}"] for i, w in enumerate(cycle))
+        if state["n"] == known or not open_weight:
+            break
+        known, level = state["n"], (total - repeats * (state["words"] or 0)) / open_weight
+    target = F.least(most, F.lit(level) * F.col("weight"))
+    return table.select("pattern", "words", "rows", F.col("words").alias("mix_source_size"), target.alias("mix_target"),
+                        F.least(F.round(target), most).cast("bigint").alias("sent"))
+
+
+def _flow_plan(groups: DataFrame, cycle: Sequence[float], share: float, repeats: int) -> DataFrame:
+    """``groups`` with ``mix_source_size``, ``mix_target`` and ``sent``, by the flow on the driver."""
+    rows = sorted(groups.collect(), key=lambda g: [(s is None, s or "") for s in g["pattern"]])
+    known = sorted({s for g in rows for s in g["pattern"]}, key=lambda s: (s is None, s or ""))
     number = {s: i for i, s in enumerate(known)}
-    patterns = [([number[s] for s in g[0]], g["words"]) for g in groups]
+    patterns = [([number[s] for s in g["pattern"]], g["words"]) for g in rows]
     sizes = [0] * len(known)
     for members, words in patterns:
         for s in members:
@@ -144,35 +193,26 @@ def mix(docs: DataFrame, sources: Column | None = None, size: Column | None = No
     weights = [cycle[i % len(cycle)] for i in range(len(known))]
     targets = quotas(sizes, weights, share * sum(w for _, w in patterns), repeats)
     flow = route(patterns, [round(t) for t in targets], repeats)
-    plan = []
-    for (members, words), sent, g in zip(patterns, flow, groups, strict=True):
-        whole, rest = divmod(sum(sent), words) if words else (0, 0)
-        first = min(members)
-        plan.append((list(g[0]), sizes[first], targets[first], whole, rest, -(-g["rows"] // BUCKET_ROWS)))
-    spark = docs.sparkSession
-    table = spark.createDataFrame(plan, f"{pattern} array<string>, mix_source_size bigint, mix_target double, "
-                                        "_whole bigint, _rest bigint, _buckets bigint")
-    # at most ``most_patterns`` rows, checked above; nulls inside arrays compare as equal
-    data = sized.join(F.broadcast(table), pattern)
-    uniform = F.pmod(F.col(rank), F.lit(1 << 40)) / (1 << 40)
-    data = data.withColumn(bucket, F.floor(uniform * F.col("_buckets")))
-    return _hand_out(data, pattern, bucket, rank, before).select(*own.columns, *new)
+    plan = [(list(g["pattern"]), words, g["rows"], sizes[min(members)], targets[min(members)], sum(sent))
+            for (members, words), sent, g in zip(patterns, flow, rows, strict=True)]
+    return groups.sparkSession.createDataFrame(
+        plan, "pattern array<string>, words bigint, rows bigint, mix_source_size bigint, mix_target double, sent bigint")
 
 
-def _hand_out(data: DataFrame, pattern: str, bucket: str, rank: str, before: str) -> DataFrame:
+def _hand_out(data: DataFrame, internal: list[str]) -> DataFrame:
     """Repetitions of each row: the whole ones, and the rest along the seeded order."""
-    totals = (data.groupBy(pattern, bucket).agg(F.sum("mix_size").alias("_total"))
-              .withColumn("_base", F.coalesce(F.sum("_total").over(
-                  Window.partitionBy(pattern).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .drop("_total"))
-    inside = Window.partitionBy(pattern, bucket).orderBy(rank, "doc_id", "mix_size").rowsBetween(
-        Window.unboundedPreceding, -1)
+    pattern, rank, bucket, base, inside, whole, rest, _, left = internal
     keys = [pattern, bucket]
-    out = data.withColumn("_inside", F.coalesce(F.sum("mix_size").over(inside), F.lit(0))).join(totals, keys)
-    left = F.greatest(F.lit(0), F.least(F.col("mix_size"), F.col("_rest") - F.col("_base") - F.col("_inside")))
-    out = out.withColumn("_left", left)
-    whole = F.col("_left") == F.col("mix_size")
+    totals = (data.groupBy(*keys).agg(F.sum("mix_size").alias(inside))
+              .withColumn(base, F.coalesce(F.sum(inside).over(
+                  Window.partitionBy(pattern).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+              .drop(inside))
+    order = Window.partitionBy(*keys).orderBy(rank, "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    out = data.withColumn(inside, F.coalesce(F.sum("mix_size").over(order), F.lit(0))).join(totals, keys)
+    out = out.withColumn(left, F.greatest(F.lit(0), F.least(
+        F.col("mix_size"), F.col(rest) - F.col(base) - F.col(inside))))
+    all_of_it = F.col(left) == F.col("mix_size")
     return out.withColumns({
-        "mix_repeats": F.col("_whole") + F.when(whole & (F.col("mix_size") > 0), 1).otherwise(0),
-        "mix_rest": F.when(whole, F.lit(0)).otherwise(F.col("_left")).cast("bigint"),
-        "mix_taken": F.col("_whole") * F.col("mix_size") + F.col("_left")})
+        "mix_repeats": F.col(whole) + F.when(all_of_it & (F.col("mix_size") > 0), 1).otherwise(0),
+        "mix_rest": F.when(all_of_it, F.lit(0)).otherwise(F.col(left)).cast("bigint"),
+        "mix_taken": F.col(whole) * F.col("mix_size") + F.col(left)})

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.bpe import default_vocabulary, encoder
+from corpusmill.llm.bpe import default_vocabulary, encoder, slices
 from corpusmill.llm.stores import prepare, stored
 
 ENCODED = "part int, doc_id bigint, before bigint, n bigint, ids binary"
@@ -20,7 +20,7 @@ ROWS = 256
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """(part, doc_id, tokens of the part before it, n, ids), stored; two bytes an id.
+    """(part, doc_id, tokens of the part before it, n, ids), stored; two bytes an id, or four.
 
     ``part`` is the task that encoded the document and ``before`` a running sum
     inside that task, so no document has to be moved to be placed in the stream.
@@ -29,9 +29,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame
         enc, part, before = encoder(vocabulary), TaskContext.get().partitionId(), 0
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                some = batch.iloc[at:at + ROWS]
-                ids = [x + end for x in enc.encode(some["text"].fillna("").tolist())]
+            texts = batch["text"].fillna("").tolist()
+            for start, stop in slices(texts):
+                some = batch.iloc[start:stop]
+                ids = [x + end for x in enc.encode(texts[start:stop])]
                 n = np.array([len(x) for x in ids], "i8") // enc.dtype.itemsize
                 yield pd.DataFrame({"part": part, "doc_id": some["doc_id"].astype("Int64").array,
                                     "before": before + np.cumsum(n) - n, "n": n, "ids": ids})
@@ -47,7 +48,7 @@ def _cut(window: int):
                 rows = []
                 for doc, first, n, ids, total in batch.iloc[at:at + ROWS][
                         ["doc_id", "first", "n", "ids", "total"]].itertuples(index=False):
-                    wide = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+                    wide = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes()
                     start = 0
                     while start < n:  # one piece for each window that the document touches
                         sequence, offset = divmod(int(first) + start, window)

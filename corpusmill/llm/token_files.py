@@ -6,11 +6,12 @@ A folder holds one shard per range of document ids, in that order:
 * ``NAME.docs``     its document ids, 8 bytes each, then a byte each that is 1 for a null;
 * ``NAME.offsets``  one 64-bit integer more than it has documents: how many ids of
   the whole folder lie before each document, and before the next shard;
-* ``manifest``      a Parquet table: shard, documents, ids, ids before it, width.
+* ``manifest``      a Parquet table: shard, documents, ids, width, ids before it, its file of offsets.
 
 Each task writes its ids and the lengths of its documents; the bases of the shards
-are prefix sums over the manifest's rows, and a second pass over the lengths
-writes the offsets.
+are prefix sums over their rows, and a second pass over the lengths writes the
+offsets. A task's files have names of their own, which its row tells; so of several
+attempts at a task only the files of the one that counts are read.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.bpe import default_vocabulary, encoder
+from corpusmill.llm.bpe import default_vocabulary, encoder, slices
 from corpusmill.llm.stores import prepare
 from corpusmill.operators.scratch import scratch_folder
 
-SHARD = "part int, name string, documents bigint, ids bigint"
+SHARD = "part int, name string, documents bigint, ids bigint, dtype string"
+MANIFEST = f"{SHARD}, base bigint, offsets string"
 ROWS = 256
 DOCUMENTS = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
 
@@ -39,22 +41,16 @@ def _opened(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 class _Files:
-    """Files that appear under their name only when they are whole."""
+    """The files of one attempt at a task."""
 
     def __init__(self, folder: str, name: str, kinds: tuple[str, ...]):
-        self.store, base = _opened(folder)
-        self.store.create_dir(base, recursive=True)
-        self.final = {k: f"{base}/{name}.{k}" for k in kinds}
-        mark = uuid.uuid4().hex
-        self.partial = {k: f"{base}/.{name}.{k}.{mark}" for k in kinds}
-        self.out = {k: self.store.open_output_stream(p) for k, p in self.partial.items()}
+        store, base = _opened(folder)
+        store.create_dir(base, recursive=True)
+        self.out = {k: store.open_output_stream(f"{base}/{name}.{k}") for k in kinds}
 
     def done(self) -> None:
-        for kind, stream in self.out.items():
+        for stream in self.out.values():
             stream.close()
-            if self.store.get_file_info(self.final[kind]).type != fs.FileType.NotFound:
-                self.store.delete_file(self.final[kind])  # an earlier attempt at the same task
-            self.store.move(self.partial[kind], self.final[kind])
 
 
 def _read(folder: str, name: str, kind: str, dtype: str) -> np.ndarray:
@@ -70,11 +66,11 @@ def _read(folder: str, name: str, kind: str, dtype: str) -> np.ndarray:
 
 
 def write_token_files(docs: DataFrame, folder: str | None = None, end_id: int = 2,
-                      vocabulary: str | None = None, dtype: str = "<u2") -> str:
+                      vocabulary: str | None = None, dtype: str | None = None) -> str:
     """Encode ``docs`` and write their ids in ascending order of ``doc_id``; return the folder.
 
-    ``dtype`` is ``<u2`` for vocabularies of up to 65,536 ids, else ``<u4``.
-    Null ids come first; rows of the same id are ordered by their text. A null or
+    ``dtype`` is by default ``<u2`` for vocabularies of up to 65,536 ids, else ``<u4``.
+    Null ids come first; rows of the same id are ordered by a hash of their text. A null or
     empty text is its end id alone. No documents give a folder without shards.
     Other columns are not read.
     """
@@ -85,13 +81,14 @@ def write_token_files(docs: DataFrame, folder: str | None = None, end_id: int =
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, part = encoder(vocabulary, dtype), TaskContext.get().partitionId()
-        end, name = np.array([end_id], enc.dtype).tobytes(), f"part-{part:06d}"
+        end, name = np.array([end_id], enc.dtype).tobytes(), f"part-{part:06d}-{uuid.uuid4().hex[:12]}"
         files, docs_seen, nulls, lengths = None, [], [], []
         for batch in batches:
-            for at in range(0, len(batch), ROWS):
+            texts = batch["text"].tolist()
+            for start, stop in slices(texts):
                 files = files or _Files(folder, name, ("ids", "lengths", "docs"))
-                some = batch.iloc[at:at + ROWS]
-                ids = [x + end for x in enc.encode(some["text"].fillna("").tolist())]
+                some = batch.iloc[start:stop]
+                ids = [x + end for x in enc.encode(texts[start:stop])]
                 files.out["ids"].write(b"".join(ids))
                 lengths.append(np.array([len(x) for x in ids], "<i8") // enc.dtype.itemsize)
                 nulls.append(some["doc_id"].isna().to_numpy())
@@ -102,35 +99,43 @@ def write_token_files(docs: DataFrame, folder: str | None = None, end_id: int =
         files.out["lengths"].write(counts.tobytes())
         files.out["docs"].write(np.concatenate(docs_seen).tobytes() + np.concatenate(nulls).tobytes())
         files.done()
-        yield pd.DataFrame([(part, name, len(counts), int(counts.sum()))],
-                           columns=["part", "name", "documents", "ids"])
-
-    ordered = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-               .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-               .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text"))
+        yield pd.DataFrame([(part, name, len(counts), int(counts.sum()), enc.dtype.str)],
+                           columns=["part", "name", "documents", "ids", "dtype"])
+
+    # rows equal in id and text are told apart by where they lie, so that ranges can part them too
+    key = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("row")]
+    ordered = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"),
+                           F.monotonically_increasing_id().alias("row"))
+               .repartitionByRange(*key).sortWithinPartitions(*key).select("doc_id", "text"))
     shards = f"{folder}/shards"
     ordered.mapInPandas(write, SHARD).write.mode("overwrite").parquet(shards)
+    written = spark.read.schema(SHARD).parquet(shards)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
-    manifest = spark.read.schema(SHARD).parquet(shards).withColumn(
-        "base", F.coalesce(F.sum("ids").over(before), F.lit(0))).withColumn("dtype", F.lit(dtype))
-    manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
+    based = written.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
     def offsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            names = []
             for name, base in batch[["name", "base"]].itertuples(index=False):
                 lengths = _read(folder, name, "lengths", "<i8")
-                files = _Files(folder, name, ("offsets",))
+                names.append(f"{name}-{uuid.uuid4().hex[:12]}")
+                files = _Files(folder, names[-1], ("offsets",))
                 files.out["offsets"].write((base + np.concatenate([[0], np.cumsum(lengths)])).astype("<i8").tobytes())
                 files.done()
-                yield pd.DataFrame({"name": [name]})
+            yield batch.assign(offsets=names)
 
-    (read_manifest(spark, folder).repartition("name").mapInPandas(offsets, "name string")
-     .write.format("noop").mode("overwrite").save())
+    (_one_a_task(based, written.count()).mapInPandas(offsets, MANIFEST)
+     .write.mode("overwrite").parquet(f"{folder}/manifest"))
     return folder
 
 
+def _one_a_task(manifest: DataFrame, shards: int) -> DataFrame:
+    """The rows of a manifest in as many partitions; given a number, adaptive execution merges none."""
+    return manifest.repartitionByRange(max(shards, 1), "part")
+
+
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(f"{SHARD}, base bigint, dtype string").parquet(f"{folder}/manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,10 +145,10 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, n, base, dtype in batch[["name", "documents", "base", "dtype"]].itertuples(index=False):
+            for name, n, base, dtype, places in batch[["name", "documents", "base", "dtype", "offsets"]].itertuples(index=False):
                 raw = _read(folder, name, "docs", "u1")
                 docs, null = raw[:8 * n].view("<i8"), raw[8 * n:].astype(bool)
-                offsets, ids = _read(folder, name, "offsets", "<i8"), _read(folder, name, "ids", dtype)
+                offsets, ids = _read(folder, places, "offsets", "<i8"), _read(folder, name, "ids", dtype)
                 for at in range(0, n, ROWS):
                     to = min(n, at + ROWS)
                     cuts = offsets[at:to + 1]
@@ -154,4 +159,5 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                         "ids": [ids[a:b].astype("<u4").tobytes() for a, b in
                                 zip((cuts[:-1] - base).tolist(), (cuts[1:] - base).tolist(), strict=True)]})
 
-    return read_manifest(spark, folder).repartition("name").mapInPandas(read, DOCUMENTS)
+    manifest = read_manifest(spark, folder)
+    return _one_a_task(manifest, manifest.count()).mapInPandas(read, DOCUMENTS)

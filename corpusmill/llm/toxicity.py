@@ -22,8 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.sampling import bounded_sample, fold_of
-from corpusmill.llm.stores import prepare
+from corpusmill.llm.sampling import labelled_rows
+from corpusmill.llm.stores import fresh, prepare
 
 # Words of the five classes, in the four languages of the corpus.
 INSULTS = ("idiot idiots moron morons clown clowns loser losers scum worthless pathetic disgusting trash "
@@ -172,12 +172,13 @@ def _count_stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                              for name, table in (("words", words_of), ("docs", docs_of))}})
 
 
-def learn_stems(sample: DataFrame, least_docs: int = 3, most: int = 5000) -> dict[str, float]:
+def learn_stems(sample: DataFrame, least_docs: int = 3) -> dict[str, float]:
     """Stems that are surely more frequent in toxic documents, and their log-odds.
 
     ``sample`` is a bounded set of rows (text, toxic). The log-odds over documents,
-    less two standard errors, must exceed log 4; ``most`` bounds the list. The
-    weight is the lower of the log-odds over words and over documents.
+    less two standard errors, must exceed log 4. The weight is the lower of the
+    log-odds over words and over documents. All stems that pass are kept: their number
+    is bounded by the words of the sample.
     """
     counted = ("words0", "words1", "docs0", "docs1")
     counts = (sample.mapInPandas(_count_stems, "stem string, " + ", ".join(f"{c} long" for c in counted))
@@ -195,7 +196,7 @@ def learn_stems(sample: DataFrame, least_docs: int = 3, most: int = 5000) -> dic
     found = (counts.where(F.col("docs1") >= least_docs).withColumn("sure", odds("docs") - 2 * error)
              .where(F.col("sure") > math.log(4)).withColumn("weight", F.least(odds("docs"), odds("words")))
              .where(F.col("weight") > 0)
-             .orderBy(F.desc("sure"), "stem").limit(most).select("stem", "weight").collect())
+             .select("stem", "weight").collect())
     return {r["stem"]: min(6.0, r["weight"]) for r in found}
 
 
@@ -238,16 +239,8 @@ def train(labelled: DataFrame) -> Grammar:
 
 def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
                   most_rows: int = 20_000, seed: int = 11) -> DataFrame:
-    """(doc_id, text, toxic) of about ``most_rows`` labelled documents outside the held-out fold.
-
-    Only the ids and labels of the sample are shipped to the documents: ``most_rows``
-    rows of 12 bytes.
-    """
-    known = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-             .where(fold_of("doc_id", folds) != held_out)
-             .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
-    known = bounded_sample(known, "doc_id", most_rows, seed)
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    """(doc_id, text, toxic) of at most ``most_rows`` labelled documents outside the held-out fold; see ``labelled_rows``."""
+    return labelled_rows(docs, labels, "toxic", folds, held_out, most_rows, seed)
 
 
 def score(docs: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame:
@@ -265,4 +258,6 @@ def score(docs: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame:
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([grammar.judge(t) for t in texts], columns=["toxicity", "toxic_clauses"])
 
-    return own.withColumn("_s", run(F.col(text))).select(*own.columns, "_s.toxicity", "_s.toxic_clauses")
+    found, = fresh(own, "found")
+    return own.withColumn(found, run(F.col(text))).select(
+        *own.columns, F.col(found)["toxicity"].alias("toxicity"), F.col(found)["toxic_clauses"].alias("toxic_clauses"))

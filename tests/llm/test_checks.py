@@ -3,7 +3,7 @@
 import pytest
 from corpusmill.llm.catalog import ORACLES, QUERIES
 
-TABLES = ("documents", "embeddings")
+TABLES = ("documents", "embeddings", "benchmark")
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -4,7 +4,7 @@ import random
 import zlib
 
 import pytest
-from corpusmill.llm import language, toxicity
+from corpusmill.llm import language, mixing, toxicity
 from corpusmill.llm.catalog import QUERIES
 from helpers import documents
 from pyspark.sql import functions as F
@@ -122,3 +122,30 @@ def test_language_learns_nothing_from_nothing(spark):
 def test_weights_are_sparse(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert (language.train(docs).weights != 0).mean() < 0.1
+
+
+CLASHING = ["_rest", "_left", "_s", "_l", "_pattern", "found", "pattern", "rank", "bucket", "base", "inside", "whole",
+            "rest", "buckets", "left", "words", "rows", "sent", "at", "part", "weight", "slot"]
+
+
+def test_clashing_names(spark):
+    """Columns named like inner ones come out as they went in."""
+    docs = documents(spark, [(i, f"you are an idiot number {i}", "en", "abc"[i % 3]) for i in range(9)])
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in CLASHING})
+    scored = toxicity.score(docs, toxicity.Grammar())
+    named = language.predict(docs, language.train(docs))
+    mixed = mixing.mix(docs)
+    for out in (scored, named, mixed):
+        rows = out.collect()
+        assert len(rows) == 9 and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in CLASHING)
+
+
+def test_training_on_one_hot_id(spark):
+    """60,000 rows of one id (or none): the samples keep their bound, and something is learned."""
+    hot = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, 7).cast("bigint").alias("doc_id"), F.when(
+        F.col("id") % 3 == 0, "das ist ein haus und der hund").otherwise("this is the house and a dog").alias("text"), F.when(
+        F.col("id") % 3 == 0, "de").otherwise("en").alias("lang"))
+    model = language.train(hot, most_rows=500)
+    assert model.languages == ["de", "en"] and model.predict("the dog")[0] == "en"
+    labels = spark.createDataFrame([(7, 1), (7, 0), (None, 1)], "doc_id bigint, toxic int")
+    assert toxicity.training_rows(hot, labels, most_rows=300).count() == 300

@@ -151,3 +151,26 @@ def test_odd_search(spark):
     assert [i for _, i, _ in got[0]] == [4, 5, 6] and [i for _, i, _ in got[5]] == [4, 0, 6]
     assert ann.search(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 5 == 0).count() == 0
     assert ann.search(spark.createDataFrame(rows[1:3], SCHEMA), F.col("vec_id") % 5 == 0).count() == 0
+
+
+def test_each_length_is_searched(spark):
+    """Vectors of a rare length are found by queries of that length."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8 if i % 10 else 3).tolist()) for i in range(300)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 50 == 0, k=3)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for q in range(0, 300, 50):
+        x = np.array(rows[q][1])
+        others = [(-(x @ np.array(v)) / np.linalg.norm(x) / np.linalg.norm(v), i) for i, v in rows if len(v) == len(x) and i != q]
+        assert [v for _, v in sorted(found[q])] == [i for _, i in sorted(others)[:3]]
+
+
+def test_one_hot_vector_id(spark):
+    """60,000 rows without a sampled bound broken: repeated ids do not crowd the driver."""
+    rows = spark.range(30_000).select(F.lit(7).cast("bigint").alias("vec_id"), F.array(
+        F.rand(1), F.rand(2), F.rand(3)).alias("embedding")).union(spark.range(3).select(
+            F.col("id") + 100, F.array(F.lit(1.0), F.col("id") / 10, F.lit(0.0))))
+    got = ann.search(rows, F.col("vec_id") == 100, k=2).collect()
+    assert [r["rank"] for r in got] == [1, 2] and got[0]["vec_id"] in (7, 101)

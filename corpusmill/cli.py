@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import sys
+from collections.abc import Iterator
 
 # Tasks and the other names arguments go by.
 TASKS = ("query", "search", "summarize", "summarize_then_query", "parse")
@@ -52,67 +53,113 @@ def normalise(argv: list[str]) -> dict:
     return out
 
 
-def parse(spark, options: dict) -> str:
-    """Load one source and hand it out in the format asked for."""
+def parse(spark, options: dict) -> Iterator[str]:
+    """Load one source, cut what is too long into chunks, and hand it out in the format asked for."""
     from pyspark.sql import functions as F
 
     from corpusmill.functions.filetypes import infer_filetype
+    from corpusmill.functions.text import est_tokens
+    from corpusmill.operators.splitting import chunk_size, pack
     from corpusmill.sinks import formats
     from corpusmill.sources import files
 
     kind = options.get("filetype") or "auto"
     if kind == "auto":
         kind = spark.range(1).select(infer_filetype(F.lit(options["path"]))).first()[0]
-    docs = files.load(spark, kind, options["path"])
-    chunks = docs.withColumns({"pos": F.lit(1), "n_chunks": F.lit(1)}).select("path", "pos", "n_chunks", "page_content", "metadata")
-    text = formats.render(formats.pieces(chunks, options.get("format") or "text"), ["path"])
+    docs = files.load(spark, kind, options["path"]).select("path", "page_content", "metadata")
+    limit, overlap = chunk_size("parse")
+    short = est_tokens(F.col("page_content")) <= limit
+    whole = docs.where(short).select("path", F.lit(1).alias("pos"), F.lit(1).alias("n_chunks"), "page_content", "metadata")
+    cut = pack(docs.where(~short), limit, overlap, text="page_content").select(
+        "path", (F.col("chunk_no") + 1).alias("pos"), "n_chunks", "page_content", "metadata")
+    pieces = formats.in_order(formats.pieces(whole.unionByName(cut), options.get("format") or "text"), ["path"])
     if options.get("out_file"):
-        formats.append_text(options["out_file"], text)
-    return text
+        yield f"{formats.append_lines(options['out_file'], pieces)} pieces written to {options['out_file']}"
+    else:
+        yield from pieces
 
 
-def summarize(spark, options: dict) -> str:
-    from corpusmill.operators.bounded import take_bounded
+def summarize(spark, options: dict) -> Iterator[str]:
     from corpusmill.operators.models import first_words_summary
     from corpusmill.plans.summarize import summarize as run
     from corpusmill.sources import files
 
     docs = files.load(spark, options.get("filetype") or "txt", options["path"]).select("path", "page_content")
     done = run(docs, first_words_summary, n_recursion=int(options.get("summary_n_recursion") or 0), text="page_content")
-    rows = take_bounded(done.select("path", "summary", "n_chunk", "sum_tkn_length"), 1000, "the summaries")
-    return "\n".join(json.dumps(r.asDict(), ensure_ascii=False) for r in rows)
+    for row in done.select("path", "summary", "n_chunk", "sum_tkn_length").toLocalIterator():
+        yield json.dumps(row.asDict(), ensure_ascii=False)
 
 
-def search(spark, options: dict) -> str:
-    """Chunks of a text source closest to a question, judged by the built-in stand-ins."""
+def _asked(spark, options: dict):
+    """The question, the chunks of a text source and their vectors, the built-in stand-ins, and the caches."""
     from pyspark.sql import functions as F
 
+    from corpusmill.config import Config
     from corpusmill.functions.text import split_query
-    from corpusmill.operators.bounded import take_bounded
-    from corpusmill.operators.models import hash_embedding, overlap_votes
+    from corpusmill.operators.cache_table import CacheTable
+    from corpusmill.operators.models import first_sentence_answer, hash_embedding, overlap_votes
+    from corpusmill.operators.scratch import scratch_folder
     from corpusmill.operators.splitting import chunk_size, pack
-    from corpusmill.plans.query import search_docs
+    from corpusmill.plans.task import Models
+    from corpusmill.shipping import ship
     from corpusmill.sources import files
 
+    ship(spark)
     limit, overlap = chunk_size("query")
     docs = files.load(spark, options.get("filetype") or "txt", options["path"]).select("path", F.col("page_content").alias("text"))
-    chunks = pack(docs, limit, overlap).withColumn("chunk_id", F.concat_ws("#", "path", "chunk_no"))
-    vectors = chunks.select("chunk_id", hash_embedding(F.col("page_content")).alias("embedding"))
+    chunks = pack(docs, limit, overlap).select("path", F.concat_ws("#", "path", "chunk_no").alias("chunk_id"),
+                                               F.col("page_content").alias("text"))
+    vectors = chunks.select("chunk_id", hash_embedding(F.col("text")).alias("embedding"))
     asked = spark.range(1).select(F.lit(0).alias("query_id"), split_query(F.lit(options["query"])).alias("q"))
-    asked = asked.select("query_id", "q.to_answer", hash_embedding(F.col("q.to_embed")).alias("embedding"))
-    found = search_docs(asked, vectors, chunks, lambda _: overlap_votes(F.col("to_answer"), F.col("page_content")), options.get("top_k") or "auto_200_500")
-    rows = take_bounded(found.select("rank", "chunk_id", "score", "page_content").orderBy("rank"), 1000, "the hits")
-    return "\n".join(json.dumps(r.asDict(), ensure_ascii=False) for r in rows)
+    asked = asked.select("query_id", F.col("q.to_answer").alias("question"), hash_embedding(F.col("q.to_embed")).alias("embedding"))
+    models = Models(lambda rows: rows.withColumn("value", overlap_votes(F.col("question"), F.col("text"))),
+                    lambda rows: rows.withColumn("value", first_sentence_answer(F.col("question"), F.col("text"))), hash_embedding)
+    folder = options.get("cache") or scratch_folder(spark, "task")
+    days = Config(spark).cache_days
+    caches = CacheTable(spark, f"{folder}/votes", "array<int>", days), CacheTable(spark, f"{folder}/replies", "string", days)
+    ways = {"retrievers": options.get("retrievers") or "basic", "top_k": options.get("top_k") or "auto_200_500"}
+    return asked, chunks, vectors, models, caches, ways
+
+
+def search(spark, options: dict) -> Iterator[str]:
+    """Chunks of a text source closest to a question and judged relevant, then the paths they come from."""
+    from corpusmill.plans.task import search_task
+
+    asked, chunks, vectors, models, (votes, _), ways = _asked(spark, options)
+    found = search_task(asked, vectors, chunks, models, votes, **ways).kept.select("rank", "chunk_id").join(chunks, "chunk_id")
+    for row in found.select("rank", "chunk_id", "path", "text").orderBy("rank").toLocalIterator():
+        yield json.dumps(row.asDict(), ensure_ascii=False)
+    for row in found.select("path").distinct().orderBy("path").toLocalIterator():
+        yield f"found in {row['path']}"
+
+
+def query(spark, options: dict) -> Iterator[str]:
+    """The answer to a question from a text source, with its sources."""
+    from corpusmill.plans.task import query_task
+
+    asked, chunks, vectors, models, (votes, replies), ways = _asked(spark, options)
+    final, found, calls = query_task(asked, vectors, chunks, models, votes, replies, **ways)
+    row = final.first()
+    if row is None or row["answer"] is None:
+        yield "no relevant intermediate answer"
+    else:
+        yield row["answer"]
+        yield f"missing sources: {row['missing_sources']}"
+    yield f"votes asked: {sum(found.calls)}, answers asked: {calls}"
+
+
+def summarize_then_query(spark, options: dict) -> Iterator[str]:
+    yield from summarize(spark, options)
+    yield from query(spark, options)
 
 
 def main() -> None:
     from corpusmill.session import build_session
 
     options = normalise(sys.argv[1:])
-    runs = {"parse": parse, "summarize": summarize, "search": search, "query": search}
-    if options["task"] not in runs:
-        raise SystemExit(f"run the parts of {options['task']} one after the other")
-    print(runs[options["task"]](build_session(), options))
+    runs = {"parse": parse, "summarize": summarize, "search": search, "query": query, "summarize_then_query": summarize_then_query}
+    for line in runs[options["task"]](build_session(), options):
+        print(line)
 
 
 if __name__ == "__main__":

@@ -61,14 +61,19 @@ def contained_in(blocks: DataFrame, texts: DataFrame, block_id: str, text_id: st
 
 
 def mark_subtags(tags: DataFrame) -> DataFrame:
-    """For each distinct ``tag``, whether it is part of a longer one.
+    """For each distinct ``tag``, whether it is part of a longer one. Empty and null tags are part of none.
 
-    A tag meets the substrings of the others as join keys; nothing is compared pairwise.
+    Of the tags only the pieces of lengths that other tags have are looked up, as hashes; what
+    meets is verified on the texts, once a tag.
     """
-    n = F.length("tag")
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
-        F.sequence(F.lit(1), n - i + 1), lambda size: F.substr("tag", i, size))))
-    inner = (tags.select("tag", F.explode(F.array_distinct(spans)).alias("_part"))
-             .filter(F.col("_part") != F.col("tag")).select(F.col("_part").alias("tag")).distinct()
-             .withColumn("is_sub", F.lit(True)))
-    return tags.join(inner, "tag", "left").withColumn("is_sub", F.coalesce("is_sub", F.lit(False)))
+    sized = tags.select("tag", F.length("tag").alias("n"))
+    lengths = sorted(r["n"] for r in sized.where("n > 0").select("n").distinct().collect())  # no more than the longest tag has letters
+    if not lengths:
+        return tags.withColumn("is_sub", F.lit(False))
+    pieces = F.flatten(F.transform(F.filter(F.array(*(F.lit(n) for n in lengths)), lambda size: size < F.col("n")), lambda size: F.transform(
+        F.sequence(F.lit(1), F.col("n") - size + 1), lambda at: F.struct(F.xxhash64(F.substr("tag", at, size)).alias("hash"), at.alias("at"), size.alias("size")))))
+    known = sized.where("n > 0").select(F.xxhash64("tag").alias("hash"), F.col("n").alias("size"), F.col("tag").alias("inner"))
+    met = sized.select("tag", F.explode(F.array_distinct(pieces)).alias("p")).select("tag", "p.hash", "p.at", "p.size").join(known, ["hash", "size"])
+    inner = met.where(F.substr("tag", F.col("at"), F.col("size")) == F.col("inner")).select(F.col("inner").alias("tag")).distinct()
+    marked = inner.withColumn("is_sub", F.lit(True))
+    return tags.join(marked, "tag", "left").withColumn("is_sub", F.coalesce("is_sub", F.lit(False)))

@@ -14,32 +14,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
-                  value: Column, name: str, include_self: bool = True) -> DataFrame:
-    """Add the running sum of ``value`` over ``order`` within ``keys``.
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
+                   values: dict[str, Column], include_self: bool = True) -> DataFrame:
+    """Add the running sums of ``values`` (by name) over ``order`` within ``keys``.
 
     ``bucket`` must not decrease along ``order``, so that whole buckets follow
     each other; it should hold a bounded number of rows.
     """
-    data = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    data = df.withColumns({"_bucket": bucket, **{f"_value_{name}": value for name, value in values.items()}})
     groups = [*keys, "_bucket"]
     per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = (
-        data.groupBy(*groups)
-        .agg(F.sum("_value").alias("_total"))
-        .withColumn("_before", F.sum("_total").over(
-            per_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
-        .drop("_total")
-    )
+    earlier = per_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = data.groupBy(*groups).agg(*(F.sum(f"_value_{name}").alias(f"_total_{name}") for name in values))
+    before = totals.select(*groups, *(F.sum(f"_total_{name}").over(earlier).alias(f"_before_{name}") for name in values))
     last = Window.currentRow if include_self else -1
-    inside = F.sum("_value").over(
-        Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, last))
+    inside = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
     zero = F.lit(0)
-    return (
-        data.join(before, groups)
-        .withColumn(name, F.coalesce(F.col("_before"), zero) + F.coalesce(inside, zero))
-        .drop("_bucket", "_value", "_before")
-    )
+    summed = data.join(before, groups).withColumns({
+        name: F.coalesce(F.col(f"_before_{name}"), zero) + F.coalesce(F.sum(f"_value_{name}").over(inside), zero)
+        for name in values})
+    return summed.drop("_bucket", *(f"_{part}_{name}" for name in values for part in ("value", "before")))
+
+
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
+                  value: Column, name: str, include_self: bool = True) -> DataFrame:
+    """Add the running sum of one ``value``; see :func:`running_totals`."""
+    return running_totals(df, keys, order, bucket, {name: value}, include_self)
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,

@@ -9,8 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.vectors import l2_normalise
-from corpusmill.operators.bounded import take_bounded
+from corpusmill.functions.vectors import dot, l2_normalise
 from corpusmill.operators.lineage import checkpointed
 from corpusmill.operators.search import SCORE_GUARD, hits_with, nearest, search
 from corpusmill.operators.topk import top_k
@@ -90,81 +89,123 @@ def diverse(corpus: DataFrame, questions: DataFrame, k: int, fetch_k: int, weigh
         pick, f"query_id {q_type}, chunk_id {id_type}, distance double, pos bigint")
 
 
-def _active_sums(unit: DataFrame, weights: np.ndarray, cost: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over the chunks inside the margin: outer products and vectors, with a constant appended.
+def _active_sums(unit: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``weights``: sums over the chunks inside its margin, of outer products and vectors.
 
-    Each partition adds up its own rows; the sums then meet per cell, so neither
-    a task nor the driver sees more than one matrix.
+    A constant is appended to each chunk. A partition adds up its own rows for all directions
+    in one pass; the upper halves of the matrices are packed and meet cell by cell, so neither a
+    task nor the driver sees more than one matrix per direction.
     """
-    width = len(weights)
+    many, width = weights.shape
+    upper = np.triu_indices(width)
 
     def run(batches):
-        total = np.zeros((width, width + 1))
+        squares, sums = np.zeros((many, len(upper[0]))), np.zeros((many, width))
         for batch in batches:
             x = np.vstack(batch["embedding"].to_numpy())
             x = np.hstack([x, np.ones((len(x), 1))])
-            x = x[1.0 + x @ weights > 0.0]
-            total[:, :width] += cost * (x.T @ x)
-            total[:, width] -= cost * x.sum(axis=0)
-        yield pd.DataFrame({"cell": np.arange(total.size), "value": total.ravel()})
-
-    cells = unit.select("embedding").mapInPandas(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value"))
-    flat = np.zeros(width * (width + 1))
-    for row in cells.collect():
-        flat[row["cell"]] = row["value"]
-    grid = flat.reshape(width, width + 1)
-    return grid[:, :width], grid[:, width]
-
-
-def exemplar_direction(unit: DataFrame, question: np.ndarray, n: int, cost: float = 0.1) -> np.ndarray:
-    """Weights of a linear SVM with squared hinge loss: the question against all chunks, classes balanced.
-
-    Newton's method; every step is one pass over the chunks. The loss is piecewise quadratic, so
-    full steps end on the minimum; one that does not lower the slope is halved.
+            inside = 1.0 + x @ weights.T > 0.0
+            for q in range(many):
+                own = x[inside[:, q]]
+                squares[q] += (own.T @ own)[upper]
+                sums[q] += own.sum(axis=0)
+        packed = np.hstack([squares, sums])
+        yield pd.DataFrame({"direction": np.repeat(np.arange(many), packed.shape[1]),
+                            "cell": np.tile(np.arange(packed.shape[1]), many), "value": packed.ravel()})
+
+    cells = (unit.select("embedding").mapInPandas(run, "direction int, cell int, value double")
+             .groupBy("direction", "cell").agg(F.sum("value").alias("value")).toPandas())
+    packed = np.zeros((many, len(upper[0]) + width))
+    packed[cells["direction"], cells["cell"]] = cells["value"]
+    squares = np.zeros((many, width, width))
+    squares[:, upper[0], upper[1]] = squares[:, upper[1], upper[0]] = packed[:, :len(upper[0])]
+    return squares, packed[:, len(upper[0]):]
+
+
+def exemplar_directions(unit: DataFrame, questions: np.ndarray, n: int, cost: float = 0.1) -> tuple[np.ndarray, int, np.ndarray]:
+    """Weights of linear SVMs with squared hinge loss: each question against all ``n`` chunks, classes balanced.
+
+    Newton's method for all questions at once: a step is one pass over the chunks, and questions
+    that have settled leave. The loss is piecewise quadratic, so full steps end on the
+    minimum; one that does not lower a question's slope is halved for that question.
+    Returns the weights, the number of passes, and the norm of each slope at the end.
     """
-    x = np.append(question, 1.0)
+    x = np.hstack([questions, np.ones((len(questions), 1))])
     own, others = cost * (n + 1) / 2.0, cost * (n + 1) / (2.0 * n)
-
-    def at(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        matrix, vector = _active_sums(unit, weights, others)
-        if 1.0 - x @ weights > 0.0:
-            matrix, vector = matrix + own * np.outer(x, x), vector + own * x
-        return matrix, vector, weights + 2.0 * (matrix @ weights - vector)
-
-    weights = np.zeros(len(x))
-    matrix, vector, slope = at(weights)
-    while np.abs(slope).max() > 1e-9 * (1.0 + np.abs(weights).max()):
-        step, share = np.linalg.solve(np.eye(len(x)) + 2.0 * matrix, 2.0 * vector) - weights, 1.0
-        while True:
-            tried = weights + share * step
-            matrix, vector, after = at(tried)
-            if np.linalg.norm(after) < np.linalg.norm(slope):
-                break
-            share /= 2.0
-            if share < 1e-6:
-                raise RuntimeError("the exemplar's weights do not settle")
-        weights, slope = tried, after
-    return weights
-
-
-def svm_hits(corpus: DataFrame, question: DataFrame, k: int, threshold: float = 0.0,
+    passes = 0
+
+    def at(weights: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        nonlocal passes
+        passes += 1
+        squares, sums = _active_sums(unit, weights)
+        mine = 1.0 - np.einsum("ij,ij->i", x[which], weights) > 0.0
+        matrix = others * squares + own * np.einsum("i,ij,ik->ijk", mine, x[which], x[which])
+        vector = own * mine[:, None] * x[which] - others * sums
+        return matrix, vector, weights + 2.0 * (np.einsum("ijk,ik->ij", matrix, weights) - vector)
+
+    weights = np.zeros(x.shape)
+    every = np.arange(len(x))
+    matrix, vector, slope = at(weights, every)
+    share = np.ones(len(x))
+    while True:
+        active = every[np.abs(slope).max(axis=1) > 1e-9 * (1.0 + np.abs(weights).max(axis=1))]
+        if not len(active):
+            return weights, passes, np.linalg.norm(slope, axis=1)
+        goal = np.linalg.solve(np.eye(x.shape[1]) + 2.0 * matrix[active], 2.0 * vector[active][..., None])[..., 0]
+        tried = weights[active] + share[active, None] * (goal - weights[active])
+        found = at(tried, active)
+        better = np.linalg.norm(found[2], axis=1) < np.linalg.norm(slope[active], axis=1)
+        good = active[better]
+        weights[good], matrix[good], vector[good], slope[good] = tried[better], found[0][better], found[1][better], found[2][better]
+        share[good] = 1.0
+        share[active[~better]] /= 2.0
+        if share.min() < 1e-6:
+            raise RuntimeError("an exemplar's weights do not settle")
+
+
+EXEMPLARS = 64  # questions whose matrices travel together
+
+
+def exemplar_weights(unit: DataFrame, questions: DataFrame, n: int) -> tuple[dict, int, float]:
+    """The direction of each question (by query_id), the passes made and the largest slope left, block by block."""
+    block: list = []
+    weights, passes, slope = {}, 0, 0.0
+
+    def settle() -> None:
+        nonlocal passes, slope
+        found, more, left = exemplar_directions(unit, np.array([r["embedding"] for r in block]), n)
+        weights.update({r["query_id"]: w for r, w in zip(block, found, strict=True)})
+        passes, slope = passes + more, max(slope, float(left.max()))
+        block.clear()
+
+    for row in questions.orderBy("query_id").toLocalIterator():
+        block.append(row)
+        if len(block) == EXEMPLARS:
+            settle()
+    if block:
+        settle()
+    return weights, passes, slope
+
+
+def svm_hits(corpus: DataFrame, questions: DataFrame, k: int, threshold: float = 0.0,
              id_col: str = "chunk_id") -> DataFrame:
-    """Exemplar SVM: the question against the whole corpus, ranked along the fitted direction.
+    """Exemplar SVM: each question against the whole corpus, ranked along its fitted direction.
 
-    ``question`` is one row (query_id, embedding). Scores run from the corpus's
-    lowest value to the question's own.
+    ``questions``: query_id, embedding; the directions of 64 questions are fitted together.
+    Scores run from the corpus's lowest value to the question's own.
     """
-    asked = question.select("query_id", l2_normalise(F.col("embedding")).alias("embedding"))
-    row = take_bounded(asked, 1, "the question")[0]
-    unit = corpus.select(F.col(id_col).alias("chunk_id"), l2_normalise(F.col("embedding")).alias("embedding"))
-    vector = np.asarray(row["embedding"])
-    weights = exemplar_direction(unit, vector, unit.count())[:-1]
-    direction = asked.select("query_id", F.array(*[F.lit(float(w)) for w in weights]).alias("embedding"))
-    opposite = direction.select("query_id", F.transform("embedding", lambda x: -x).alias("embedding"))
-    top = nearest(unit, direction, k, "cosine")
+    asked = checkpointed(questions.select("query_id", l2_normalise(F.col("embedding")).alias("embedding")))
+    unit = checkpointed(corpus.select(F.col(id_col).alias("chunk_id"), l2_normalise(F.col("embedding")).alias("embedding")))
+    weights, _, _ = exemplar_weights(unit, asked, max(unit.count(), 1))
+    kind = asked.schema["query_id"].dataType.simpleString()
+    directions = asked.sparkSession.createDataFrame(
+        [(q, [float(v) for v in w[:-1]]) for q, w in weights.items()], f"query_id {kind}, embedding array<double>")
+    opposite = directions.select("query_id", F.transform("embedding", lambda x: -x).alias("embedding"))
+    top = nearest(unit, directions, k, "cosine")
     low = nearest(unit, opposite, 1, "cosine").select("query_id", (F.col("distance") - 1).alias("low"))
-    high = top.filter(F.col("rank") == 1).select(
-        "query_id", F.greatest(1 - F.col("distance"), F.lit(float(vector @ weights))).alias("high"))
+    own = asked.join(directions.withColumnRenamed("embedding", "d"), "query_id").select("query_id", dot(F.col("embedding"), F.col("d")).alias("own"))
+    high = top.filter(F.col("rank") == 1).join(own, "query_id").select(
+        "query_id", F.greatest(1 - F.col("distance"), F.col("own")).alias("high"))
     scored = top.join(high, "query_id").join(low, "query_id").withColumn(
         "score", (1 - F.col("distance") - F.col("low")) / (F.col("high") - F.col("low") + SCORE_GUARD))
     return scored.filter(F.col("score") >= threshold).select("query_id", "chunk_id", "rank", "score")

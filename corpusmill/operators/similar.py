@@ -8,44 +8,95 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.vectors import dot, l2_normalise
+from corpusmill.operators.lineage import checkpointed
 
-# Directions the grid is laid along; more directions make smaller cells and more copies.
-GRID_AXES = 3
+# Directions the grid is laid along: the first ones for all vectors, the others where cells are full.
+AXES, MORE_AXES = 3, 3
+# Width of a cell in reaches: wider cells make fewer border copies.
+WIDTH = 4
+CELL_ROWS = 1_024
 
 
-def _share(vector: Column, axis: int) -> Column:
-    """Length of the vector along one fixed unit direction: every third component alike."""
-    picked = F.transform(vector, lambda x, i: F.when(F.pmod(i, F.lit(GRID_AXES)) == axis, x).otherwise(0.0))
-    width = F.sqrt(F.greatest(F.lit(1), F.ceil((F.size(vector) - axis) / GRID_AXES)))
+def _share(vector: Column, axis: int, axes: int) -> Column:
+    """Length of the vector along one fixed unit direction: every ``axes``-th component alike."""
+    picked = F.transform(vector, lambda x, i: F.when(F.pmod(i, F.lit(axes)) == axis, x).otherwise(0.0))
+    width = F.sqrt(F.greatest(F.lit(1), F.ceil((F.size(vector) - axis) / axes)))
     return F.aggregate(picked, F.lit(0.0), lambda s, x: s + x) / width
 
 
+def _own(share: Column, reach: float) -> Column:
+    return F.floor(share / (WIDTH * reach))
+
+
+def _touched(share: Column, reach: float) -> Column:
+    """The cells along an axis in which a vector may have a partner: its own, and a neighbour within reach."""
+    low, high = (F.floor((share + d * reach) / (WIDTH * reach)) for d in (-1, 1))
+    return F.sequence(low, high)
+
+
 def redundant_ids(vectors: DataFrame, threshold: float = 0.999, id_col: str = "chunk_id",
                   keys: tuple[str, ...] = ()) -> DataFrame:
     """Ids whose vector has cosine above ``threshold`` with one of a smaller id.
 
-    Exact copies are folded by a partial aggregate first. What is left is joined
-    on grid cells: unit vectors that close differ by less than one cell along any
-    fixed direction, so each vector only meets the cells around its own.
+    Exact copies are folded by a partial aggregate first. Unit vectors that close differ
+    by at most one reach along any fixed direction, so a vector meets those of its grid cell, into
+    which vectors within reach of its borders are copied. Cells are counted; full ones are cut
+    along further directions. In cells that are still full, as vectors lie close together, all
+    are held against the one of smallest id first, which settles most; what is left is compared in
+    tiles of bounded size. No pairs are listed: a semi-join stops at the first partner.
     """
     reach = math.sqrt(max(2.0 - 2.0 * threshold, 1e-12)) * (1 + 1e-9)
-    unit = vectors.select(*keys, F.col(id_col).alias("_id"), l2_normalise(F.col("embedding")).alias("_v"))
-    folded = unit.groupBy(*keys, "_v").agg(F.min("_id").alias("_first"))
+    # keys as one text, so that null keys are like others
+    group = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    named, keys = keys, ("_k",)
+    unit = vectors.select(*named, group.alias("_k"), F.col(id_col).alias("_id"), l2_normalise(F.col("embedding")).alias("_v"))
+    folded = checkpointed(unit.groupBy(*keys, "_v").agg(F.min("_id").alias("_first")))
     copies = unit.join(folded, [*keys, "_v"]).filter(F.col("_id") > F.col("_first")).select(*keys, "_id")
 
-    shares = [_share(F.col("_v"), axis) for axis in range(GRID_AXES)]
-    celled = folded.select(*keys, "_first", "_v", *[
-        F.floor(share / reach).alias(f"_c{a}") for a, share in enumerate(shares)])
-    around = celled.select(*keys, F.col("_first").alias("_other"), F.col("_v").alias("_w"), "_c0", "_c1", "_c2")
-    for axis in range(GRID_AXES):
-        around = around.withColumn(f"_c{axis}", F.explode(F.array(*[F.col(f"_c{axis}") + d for d in (-1, 0, 1)])))
-    cells = [*keys, *[f"_c{a}" for a in range(GRID_AXES)]]
-    on = [celled[c].eqNullSafe(around[c]) for c in cells]
-    close = celled.join(around, [*on, (around["_other"] < celled["_first"])
-                                 & (dot(celled["_v"], around["_w"]) > threshold)], "left_semi")
-    near = close.select(*keys, F.col("_first").alias("_id"))
+    axes = AXES + MORE_AXES
+    shared = folded.withColumn("_shares", F.array(*(_share(F.col("_v"), a, axes) for a in range(axes))))
+    left = shared.withColumn("_cell", F.array(*(_own(F.col("_shares")[a], reach) for a in range(AXES))))
+    counts = left.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
+    full = checkpointed(counts.where(F.col("_n") > CELL_ROWS).drop("_n").withColumn("_full", F.lit(True)))
+    around = shared
+    for a in range(AXES):
+        around = around.withColumn(f"_t{a}", F.explode(_touched(F.col("_shares")[a], reach)))
+    around = around.withColumn("_cell", F.array(*(F.col(f"_t{a}") for a in range(AXES))))
+    around = around.join(left.select(*keys, "_cell").distinct(), [*keys, "_cell"], "left_semi")
+    finer = F.array(*(_own(F.col("_shares")[a], reach) for a in range(AXES, axes)))
+    left = left.join(full, [*keys, "_cell"], "left").withColumn(
+        "_cell", F.when(F.col("_full"), F.concat("_cell", finer)).otherwise(F.col("_cell")))
+    around = around.join(full, [*keys, "_cell"], "left")
+    for a in range(AXES, axes):
+        around = around.withColumn(f"_t{a}", F.explode(F.when(F.col("_full"), _touched(F.col("_shares")[a], reach)).otherwise(
+            F.array(F.lit(0).cast("bigint")))))
+    around = around.withColumn("_cell", F.when(F.col("_full"), F.concat("_cell", F.array(
+        *(F.col(f"_t{a}") for a in range(AXES, axes))))).otherwise(F.col("_cell")))
+    cell = [*keys, "_cell"]
+    left = checkpointed(left.select(*cell, "_first", "_v"))
+    around = checkpointed(around.select(*cell, F.col("_first").alias("_other"), F.col("_v").alias("_w")))
+
+    sizes = left.groupBy(*cell).agg(F.count("*").alias("_l")).join(around.groupBy(*cell).agg(F.count("*").alias("_a")), cell)
+    tiles = checkpointed(sizes.select(*cell, F.ceil(F.col("_l") / CELL_ROWS).cast("int").alias("_rows"),
+                                      F.ceil(F.col("_a") / CELL_ROWS).cast("int").alias("_columns")))
+    crowded = tiles.where((F.col("_rows") > 1) | (F.col("_columns") > 1)).select(*cell)
+    pivots = around.join(crowded, cell, "left_semi").groupBy(*cell).agg(
+        F.min_by("_w", "_other").alias("_w"), F.min("_other").alias("_other"))
+    near = (F.col("_other") < F.col("_first")) & (dot(F.col("_v"), F.col("_w")) > threshold)
+    settled = checkpointed(left.join(pivots, cell).where(near).select(*keys, "_first").distinct())
+    open_ = left.join(settled, [*keys, "_first"], "left_anti")
+    tiled_left = open_.join(tiles, cell).withColumn("_i", F.pmod(F.xxhash64("_first"), F.col("_rows")).cast("int")).withColumn(
+        "_j", F.explode(F.sequence(F.lit(0), F.col("_columns") - 1))).drop("_rows", "_columns")
+    tiled_right = around.join(tiles, cell).withColumn("_j", F.pmod(F.xxhash64("_other"), F.col("_columns")).cast("int")).withColumn(
+        "_i", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1))).drop("_rows", "_columns")
+    tile = [*cell, "_i", "_j"]
+    on = [tiled_left[c].eqNullSafe(tiled_right[c]) for c in tile]
+    close = tiled_left.join(tiled_right, [*on, (tiled_right["_other"] < tiled_left["_first"])
+                                          & (dot(tiled_left["_v"], tiled_right["_w"]) > threshold)], "left_semi")
+    found = close.select(*keys, "_first").unionByName(settled).withColumnRenamed("_first", "_id")
     # a copy of a dropped vector is already among the copies
-    return near.unionByName(copies).distinct().withColumnRenamed("_id", id_col)
+    every = found.unionByName(copies).distinct()
+    return every.join(unit.select("_k", *named).distinct(), "_k").select(*named, F.col("_id").alias(id_col))
 
 
 def drop_redundant(vectors: DataFrame, threshold: float = 0.999, id_col: str = "chunk_id",

@@ -17,8 +17,6 @@ OVERLAP_TOKENS = 500
 RECURSION_OVERLAP = 300
 BATCH_TOKENS = 100_000
 BATCH_DOCS = 1_000
-# Documents that form one run of batches; the unit of parallelism, not a limit on the data.
-BATCH_RUN = 4_096
 
 
 def chunk_size(task: str, context: int = DEFAULT_CONTEXT) -> tuple[int, int]:
@@ -90,28 +88,6 @@ def pack(docs: DataFrame, limit: int, overlap: int, text: str = "text", tokens=e
     return rows.select(*kept, "chunk_no", "n_chunks", content.alias("page_content"))
 
 
-def embedding_batches(chunks: DataFrame, id_col: str = "doc_id", max_tokens: int = BATCH_TOKENS,
-                      max_docs: int = BATCH_DOCS) -> DataFrame:
-    """Greedy batches for an embedding provider, in id order, cut anew every ``BATCH_RUN`` ids.
-
-    ``chunks``: a unique integer id and tkn_length. A run holds at most ``BATCH_RUN``
-    rows, so no task grows with the data.
-    """
-    runs = chunks.select(F.floor(F.col(id_col) / BATCH_RUN).alias("run"), id_col, "tkn_length")
-
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(id_col, ignore_index=True)
-        batch, held, count, numbers = 0, 0, 0, []
-        for size in group["tkn_length"]:
-            if count and (held + size > max_tokens or count >= max_docs):
-                batch, held, count = batch + 1, 0, 0
-            held, count = held + size, count + 1
-            numbers.append(batch)
-        return group.assign(batch=numbers)[["run", "batch", id_col, "tkn_length"]]
-
-    return runs.groupBy("run").applyInPandas(fill, f"run bigint, batch bigint, {id_col} bigint, tkn_length bigint")
-
-
 def fold_pages(nodes: DataFrame, keys: list[str], order: str, text: str, extra: str) -> DataFrame:
     """Nodes of one page as one document: texts in order, the distinct values of ``extra`` as a list."""
     held = F.array_sort(F.collect_list(F.struct(order, text, extra)))

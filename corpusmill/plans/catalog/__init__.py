@@ -6,7 +6,7 @@ import importlib
 
 from corpusmill import registry
 
-MODULES = ("text", "sources", "filters", "vectors", "chunks", "aggregates", "evaluation", "tasks")
+MODULES = ("text", "sources", "filters", "vectors", "chunks", "aggregates", "evaluation", "mechanisms", "tasks")
 
 
 def load():

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text
 from corpusmill.functions.timecode import seconds_to_timecode
-from corpusmill.operators import labels, ordered, splitting
+from corpusmill.operators import greedy, labels, ordered, splitting
 from corpusmill.registry import query, table
 
 UNITS_SQL = """
@@ -78,15 +78,14 @@ def page_fold(spark, sf):
 
 
 @query("embed_batches", """
-WITH RECURSIVE r AS (SELECT doc_id // 4096 AS run, list(doc_id ORDER BY doc_id) AS ids,
-    list(CAST(ceil(length(text) / 4.0) AS BIGINT) ORDER BY doc_id) AS s FROM documents GROUP BY 1),
-p AS (SELECT run, ids, len(ids) AS n, list_transform(range(0, len(ids) + 1), lambda i: coalesce(list_sum(s[1:i]), 0)::BIGINT) AS t FROM r),
-c AS (SELECT run, ids, n, t, 0 AS batch, 0::BIGINT AS a, coalesce(list_filter(range(1, n), lambda e: t[e + 2] > t[1] + 20000 OR e >= 100)[1], n) AS b FROM p
-  UNION ALL SELECT run, ids, n, t, batch + 1, b, coalesce(list_filter(range(b + 1, n), lambda e: t[e + 2] > t[b + 1] + 20000 OR e - b >= 100)[1], n) FROM c WHERE b < n)
-SELECT run, batch, unnest(ids[a + 1:b]) AS doc_id FROM c""")
+WITH RECURSIVE p AS (SELECT doc_id, row_number() OVER w AS i, sum(CAST(ceil(length(text) / 4.0) AS BIGINT)) OVER w AS t FROM documents WINDOW w AS (ORDER BY doc_id)),
+n AS (SELECT a.i, any_value(a.doc_id) AS doc_id, coalesce(min(b.i), max(a.i) + 100) AS next FROM (SELECT *, coalesce(lag(t) OVER (ORDER BY i), 0) AS before FROM p) a
+  LEFT JOIN p b ON b.i > a.i AND (b.t - a.before > 20000 OR b.i - a.i >= 100) AND b.i - a.i <= 100 GROUP BY a.i),
+c AS (SELECT i, next, 0 AS batch FROM n WHERE i = 1 UNION ALL SELECT n.i, n.next, batch + 1 FROM c JOIN n ON n.i = c.next)
+SELECT batch::BIGINT AS batch, doc_id FROM c JOIN n ON n.i >= c.i AND n.i < c.next""")
 def embed_batches(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", text.est_tokens(F.col("text")).alias("tkn_length"))
-    return splitting.embedding_batches(docs, max_tokens=20_000, max_docs=100).select("run", "batch", "doc_id")
+    return greedy.embedding_batches(docs, max_tokens=20_000, max_docs=100).select("batch", "doc_id")
 
 
 @query("segment_rebase", """

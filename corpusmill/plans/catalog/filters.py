@@ -193,14 +193,20 @@ def name_lookup(spark, sf):
 
 @query("fuzzy_name", """
 WITH names AS (SELECT DISTINCT p_name AS name FROM part),
-asked AS (SELECT DISTINCT p_brand, substr(p_name, 1, length(p_name) - 1) || 'x' AS wanted FROM part),
-d AS (SELECT p_brand, wanted, name, levenshtein(wanted, name) AS dist FROM asked, names)
-SELECT p_brand, wanted, arg_min(name, (dist, name)) AS name FROM d GROUP BY p_brand, wanted""")
+asked AS (SELECT p_brand, unnest([p_name, substr(p_name, 1, length(p_name) - 1), substr(p_name, 1, length(p_name) - 1) || 'x', substr(p_name, 1, 2),
+  'zz' || p_name, reverse(p_name)]) AS wanted FROM part),
+d AS (SELECT p_brand, wanted, name, levenshtein(wanted, name) AS dist, starts_with(name, wanted) AS starts FROM (SELECT DISTINCT * FROM asked), names)
+SELECT p_brand, wanted, CASE WHEN bool_or(name = wanted) THEN wanted WHEN count(*) FILTER (WHERE starts) = 1 THEN min(name) FILTER (WHERE starts)
+  ELSE arg_min(name, (dist, name)) END AS name FROM d GROUP BY p_brand, wanted""")
 def fuzzy_name(spark, sf):
+    """Names as they are, cut short, misspelt at their end or beginning, and turned round."""
     from corpusmill.operators.names import closest_names
 
     parts = table(spark, sf, "part")
-    wanted = parts.select("p_brand", F.concat(F.expr("substring(p_name, 1, length(p_name) - 1)"), F.lit("x")).alias("wanted")).distinct()
+    shorter = F.expr("substring(p_name, 1, length(p_name) - 1)")
+    variants = F.array("p_name", shorter, F.concat(shorter, F.lit("x")), F.substr("p_name", F.lit(1), F.lit(2)),
+                       F.concat(F.lit("zz"), "p_name"), F.reverse("p_name"))
+    wanted = parts.select("p_brand", F.explode(variants).alias("wanted")).distinct()
     return closest_names(wanted, parts.select(F.col("p_name").alias("name")).distinct())
 
 

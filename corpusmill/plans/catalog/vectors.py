@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import vectors as V
+from corpusmill.functions.let import let
 from corpusmill.operators import batching, retrieval, similar, store
 from corpusmill.operators import search as S
 from corpusmill.operators.lineage import checkpointed
@@ -183,7 +184,9 @@ def sieve(spark, sf):
 @query("redundant_filter", """
 WITH twice AS (SELECT vec_id AS chunk_id, label, embedding FROM embeddings
   UNION ALL SELECT vec_id + 1000000, label, list_transform(embedding, lambda x: (x * 2)::FLOAT) FROM embeddings
-  UNION ALL SELECT vec_id + 2000000, label, list_transform(embedding, lambda x: x + (CASE WHEN vec_id % 2 = 0 THEN 0.002 ELSE 0.02 END)::FLOAT) FROM embeddings),
+  UNION ALL SELECT vec_id + 2000000, label, list_transform(embedding, lambda x: x + (CASE WHEN vec_id % 2 = 0 THEN 0.002 ELSE 0.02 END)::FLOAT) FROM embeddings
+  UNION ALL SELECT vec_id + 3000000, label, list_transform(range(1, 65), lambda i: (f[i]::DOUBLE + 0.03 * embedding[i]::DOUBLE)::FLOAT) FROM embeddings, (SELECT arg_min(embedding, vec_id) AS f FROM embeddings)
+  UNION ALL SELECT vec_id + 4000000, label, list_transform(range(1, 65), lambda i: (f[i]::DOUBLE + 0.01 * embedding[i]::DOUBLE)::FLOAT) FROM embeddings, (SELECT arg_min(embedding, vec_id) AS f FROM embeddings)),
 pairs AS (SELECT DISTINCT a.chunk_id FROM twice a JOIN twice b ON a.label = b.label AND b.chunk_id < a.chunk_id
   WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.999)
 SELECT chunk_id, label FROM twice WHERE chunk_id NOT IN (SELECT chunk_id FROM pairs)""")
@@ -194,7 +197,15 @@ def redundant_filter(spark, sf):
     shifted = stored.withColumns({"chunk_id": F.col("chunk_id") + 2_000_000,
                                   "embedding": F.transform("embedding", lambda x: x + F.when(
                                       F.pmod("chunk_id", F.lit(2)) == 0, 0.002).otherwise(0.02).cast("float"))})
-    everything = stored.unionByName(doubled).unionByName(shifted)
+    # two rows in five lie close to one vector: a hot cell of the grid
+    first = stored.agg(F.min_by("embedding", "chunk_id").alias("first"))
+
+    def around_first(add, noise):
+        moved = F.zip_with("first", "embedding", lambda a, x: (a.cast("double") + noise * x.cast("double")).cast("float"))
+        return stored.join(F.broadcast(first)).select((F.col("chunk_id") + add).alias("chunk_id"), moved.alias("embedding"), "label")
+
+    hot = [around_first(3_000_000, 0.03), around_first(4_000_000, 0.01)]
+    everything = stored.unionByName(doubled).unionByName(shifted).unionByName(hot[0]).unionByName(hot[1])
     return similar.drop_redundant(everything, keys=("label",)).select("chunk_id", "label")
 
 
@@ -218,8 +229,33 @@ def mmr(spark, sf):
 
 @query("svm_retrieve")
 def svm_retrieve(spark, sf):
-    one = retrieval.mean_vectors(table(spark, sf, "embeddings").withColumn("query_id", F.lit(0)), ["query_id"])
-    return rounded(retrieval.svm_hits(corpus(spark, sf), one, 50, threshold=0.1), "score")
+    return rounded(retrieval.svm_hits(corpus(spark, sf), questions(spark, sf), 50, threshold=0.1), "score")
+
+
+@query("svm_settled", """
+SELECT label AS query_id, true AS settled, true AS few_passes, count(*) AS n_own FROM embeddings GROUP BY label""")
+def svm_settled(spark, sf):
+    """Whether the fitted directions lie where the loss has no slope, summed anew over the corpus by columns."""
+    asked = checkpointed(questions(spark, sf).select("query_id", V.l2_normalise(F.col("embedding")).alias("embedding")))
+    stored = checkpointed(corpus(spark, sf).select("chunk_id", "label", V.l2_normalise(F.col("embedding")).alias("embedding")))
+    n, cost = stored.count(), 0.1
+    weights, passes, _ = retrieval.exemplar_weights(stored, asked, n)
+    fitted = spark.createDataFrame([(q, [float(v) for v in w]) for q, w in weights.items()], "query_id int, w array<double>")
+    with_one = F.concat(F.col("embedding"), F.array(F.lit(1.0)))
+    # one row per question: bounded by the directions that were collected
+    pairs = stored.select(with_one.alias("x"), F.lit(1.0).alias("sign"), F.lit(cost * (n + 1) / (2.0 * n)).alias("c")).join(
+        F.broadcast(fitted), F.col("c").isNotNull()).unionByName(asked.join(fitted, "query_id").select(
+            with_one.alias("x"), F.lit(-1.0).alias("sign"), F.lit(cost * (n + 1) / 2.0).alias("c"), "query_id", "w"))
+    lack = F.greatest(1.0 + F.col("sign") * V.dot(F.col("x"), F.col("w")), F.lit(0.0))
+    pushed = let(2.0 * F.col("c") * F.col("sign") * lack, lambda share: F.transform("x", lambda v: share * v))
+    parts = pairs.select("query_id", F.posexplode(pushed).alias("at", "part"))
+    sums = parts.groupBy("query_id", "at").agg(F.sum("part").alias("part")).join(
+        fitted.select("query_id", F.posexplode("w").alias("at", "own")), ["query_id", "at"])
+    slope = sums.groupBy("query_id").agg(F.max(F.abs(F.col("part") + F.col("own"))).alias("slope"))
+    sizes = stored.groupBy(F.col("label").alias("query_id")).agg(F.count("*").alias("n_own"))
+    return slope.join(sizes, "query_id").select(
+        F.col("query_id").cast(asked.schema["query_id"].dataType).alias("query_id"), (F.col("slope") < 1e-6).alias("settled"),
+        F.lit(passes <= 100).alias("few_passes"), "n_own")
 
 
 @query("hit_lookup", "WITH " + COS_SQL + """

@@ -92,13 +92,26 @@ def join_answers(answers: Column) -> Column:
     return F.array_join(F.transform(answers, collate_line), "\n")
 
 
+def _combined(batched: DataFrame, combine: Callable[[Column], Column]) -> DataFrame:
+    """``batched`` with ``answer``: a batch whose combiner gives nothing is asked once more, and else written down in order."""
+    answers = F.transform("_a", lambda s: s["answer"])
+    asked = checkpointed(batched.withColumn("answer", combine(answers)))
+    failed = asked.where(F.col("answer").isNull())
+    if failed.isEmpty():
+        return asked
+    again = checkpointed(failed.drop("answer").withColumn("answer", combine(answers)))
+    return asked.where(F.col("answer").isNotNull()).unionByName(
+        again.withColumn("answer", F.coalesce("answer", F.array_join(answers, "\n---\n"))))
+
+
 def reduce_answers(answers: DataFrame, embed: Callable[[Column], Column],
                    combine: Callable[[Column], Column] = join_answers, cap: int = 2_000) -> DataFrame:
     """Combine the answers of each question batch by batch until one is left.
 
     ``answers``: query_id, part (number), answer. Returns query_id, answer, rounds.
     Every batch holds at least two answers, so each round at least halves them;
-    the state between rounds is stored, not recomputed.
+    the state between rounds is stored, not recomputed. A ``combine`` that gives null is
+    asked again; a batch that fails twice keeps its answers, one after another.
     """
     first_of = answers.groupBy("query_id", "answer").agg(F.min("part").alias("part"))
     state = checkpointed(first_of.withColumn("rounds", F.lit(0)))
@@ -119,12 +132,12 @@ def reduce_answers(answers: DataFrame, embed: Callable[[Column], Column],
             ["query_id"], "part", cap)
         batched = (placed.join(active, ["query_id", "part"]).groupBy("query_id", "batch", "rounds")
                    .agg(F.array_sort(F.collect_list(F.struct("pos", "answer"))).alias("_a")))
-        combined = batched.select("query_id", F.col("batch").alias("part"),
-                                  combine(F.transform("_a", lambda s: s["answer"])).alias("answer"),
-                                  (F.col("rounds") + 1).alias("rounds"))
+        combined = _combined(batched, combine).select("query_id", F.col("batch").alias("part"), "answer",
+                                                      (F.col("rounds") + 1).alias("rounds"))
         state = checkpointed(done.unionByName(combined.withColumn("part", F.col("part").cast(
             state.schema["part"].dataType)).select(*done.columns)))
 
+
 def answer_questions(kept: DataFrame, answer: Column, embed, combine=join_answers, prefix: str = "DOC_") -> DataFrame:
     """One sourced answer per question.
 

@@ -10,6 +10,7 @@ from corpusmill.functions.outline import cite_fallback, good_lines, strip_intro,
 from corpusmill.functions.text import est_tokens, letters, reading_minutes
 from corpusmill.operators.documents import MIN_TOKENS
 from corpusmill.operators.lineage import checkpointed
+from corpusmill.operators.scratch import scratch_folder
 from corpusmill.operators.splitting import chunk_bounds, chunk_size, units
 
 CARRIED_LINES = 10
@@ -50,34 +51,47 @@ def fold_chunks(chunks: Column, model, page: Column | None = None, label: Column
     return F.aggregate(chunks, start, step)["summaries"]
 
 
-def fold_rounds(rows: DataFrame, chunks: str, model, name: str) -> DataFrame:
+def fold_rounds(rows: DataFrame, chunks: str, model, name: str, page: str | None = None, label: str | None = None) -> DataFrame:
     """``rows`` with the summaries of their ``chunks`` as ``name``, for models that run in Python.
 
-    Round i calls the model once for all rows that have a chunk i, batch by batch,
-    with the last lines of the round before; each round is stored, so no call is repeated.
+    A wavefront: the chunks are written once, a row each, in ranges of their place. Round i reads
+    the chunks at place i, joins the last lines of the round before (one narrow row per
+    document) and calls the model, batch by batch. A round writes the summaries and last lines of
+    the documents that still have a chunk, and nothing else; so no call is repeated and no chunk
+    is written again. ``page`` and ``label`` name columns for citations.
     """
+    spark = rows.sparkSession
     data = checkpointed(rows.withColumn("_id", F.monotonically_increasing_id()))
-    most = data.agg(F.max(F.size(chunks))).first()[0] or 0
-    state = data.select("_id", chunks, F.expr("cast(array() as array<string>)").alias("_previous"))
-    done = data.select("_id", F.lit(-1).alias("_i"), F.lit("").alias("_text")).where("false")
-    for i in range(most):
-        live = state.where(F.size(chunks) > i).withColumn("_reply", model(F.get(chunks, F.lit(i)), F.col("_previous")))
-        lines = live.withColumn("_lines", good_lines(without_intro(F.col("_reply"))))
-        state = checkpointed(lines.select(
-            "_id", chunks, F.array_join("_lines", "\n").alias("_text"),
-            F.slice("_lines", F.greatest(F.size("_lines") - CARRIED_LINES + 1, F.lit(1)), F.lit(CARRIED_LINES)).alias("_previous")))
-        done = done.unionByName(state.select("_id", F.lit(i).alias("_i"), "_text"))
-        state = state.drop("_text")
-    texts = done.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_i", "_text"))).alias("_all"))
-    joined = data.join(texts, "_id", "left")
-    found = F.coalesce(F.transform("_all", lambda s: s["_text"]), F.expr("cast(array() as array<string>)"))
-    return joined.withColumn(name, found).drop("_id", "_all")
-
-
-def folded(rows: DataFrame, chunks: str, model, name: str) -> DataFrame:
+    cite = [F.lit(None).cast(kind).alias(alias) if given is None else F.col(given).cast(kind).alias(alias)
+            for given, alias, kind in ((page, "_page", "bigint"), (label, "_label", "string"))]
+    pieces = scratch_folder(spark, "chunks")
+    (data.select("_id", *cite, F.posexplode(chunks).alias("_i", "_chunk")).repartitionByRange("_i", F.xxhash64("_id"))
+     .sortWithinPartitions("_i").write.parquet(pieces))
+    stored = spark.read.parquet(pieces)
+    last = stored.agg(F.max("_i")).first()[0]
+    carried, rounds = None, []
+    for i in range(0 if last is None else last + 1):
+        live = stored.where(F.col("_i") == i)  # files and row groups of other places are skipped
+        live = live.withColumn("_previous", F.expr("cast(array() as array<string>)")) if carried is None else live.join(carried, "_id")
+        replied = live.withColumn("_reply", model(F.col("_chunk"), F.col("_previous")))
+        lines = replied.withColumn("_lines", cite_fallback(good_lines(without_intro(F.col("_reply"))), F.col("_page"), F.col("_label")))
+        path = scratch_folder(spark, "round")
+        lines.select("_id", "_i", F.array_join("_lines", "\n").alias("_text"), F.slice(
+            "_lines", F.greatest(F.size("_lines") - CARRIED_LINES + 1, F.lit(1)), F.lit(CARRIED_LINES)).alias("_previous")).write.parquet(path)
+        rounds.append(path)
+        carried = spark.read.parquet(path).select("_id", "_previous")
+    empty = F.expr("cast(array() as array<string>)")
+    if not rounds:
+        return data.withColumn(name, empty).drop("_id")
+    texts = spark.read.parquet(*rounds).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_i", "_text"))).alias("_all"))
+    found = F.coalesce(F.transform("_all", lambda s: s["_text"]), empty)
+    return data.join(texts, "_id", "left").withColumn(name, found).drop("_id", "_all")
+
+
+def folded(rows: DataFrame, chunks: str, model, name: str, page: str | None = None, label: str | None = None) -> DataFrame:
     if getattr(model, "in_python", False):
-        return fold_rounds(rows, chunks, model, name)
-    return rows.withColumn(name, fold_chunks(F.col(chunks), model))
+        return fold_rounds(rows, chunks, model, name, page, label)
+    return rows.withColumn(name, fold_chunks(F.col(chunks), model, *(None if c is None else F.col(c) for c in (page, label))))
 
 
 def assemble(summaries: Column) -> Column:

@@ -7,13 +7,13 @@ gathered first.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import strip
-from corpusmill.operators.bounded import take_bounded
 
 FORMATS = ("text", "split_text", "xml", "dict")
 
@@ -44,10 +44,23 @@ def write_pieces(rows: DataFrame, folder: str, keys: list[str], mode: str = "app
     rows.repartitionByRange(*keys, "pos").sortWithinPartitions(*keys, "pos").select("piece").write.mode(mode).text(folder)
 
 
-def render(rows: DataFrame, keys: list[str], max_pieces: int = 100_000) -> str:
-    """The whole result as one string, for results small enough to show."""
-    found = take_bounded(rows.select(*keys, "pos", "piece"), max_pieces, "the parsed result")
-    return "\n".join(r["piece"] for r in sorted(found, key=lambda r: tuple(r[k] for k in (*keys, "pos"))))
+def in_order(rows: DataFrame, keys: list[str]) -> Iterator[str]:
+    """The pieces in order, partition by partition: the driver holds one at a time."""
+    for row in rows.select(*keys, "pos", "piece").orderBy(*keys, "pos").select("piece").toLocalIterator():
+        yield row["piece"]
+
+
+def render(rows: DataFrame, keys: list[str]) -> str:
+    """The whole result as one string, for a caller that wants to show it."""
+    return "\n".join(in_order(rows, keys))
+
+
+def append_lines(path: str, lines: Iterator[str]) -> int:
+    """Append texts to a text file on the driver as they come, and return their number; other files are refused."""
+    n = 0
+    for n, text in enumerate(lines, 1):
+        append_text(path, text)
+    return n
 
 
 def append_text(path: str, text: str) -> None:

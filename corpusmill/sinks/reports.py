@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.answers import think_answer
 from corpusmill.functions.text import source_replace
-from corpusmill.operators.bounded import take_bounded
 
 MAX_NOTICE_BYTES = 4_000
 
@@ -29,7 +28,7 @@ def write_summary(path: str, header: str, passes: dict[int, str]) -> list[Path]:
     return written
 
 
-def answer_report(answers: DataFrame, final: str, sources: list[int], prefix: str = "DOC_", max_sources: int = 500) -> str:
+def answer_report(answers: DataFrame, final: str, sources: list[int], prefix: str = "DOC_") -> str:
     """Sources last to first with their facts and intermediate answers, then the final answer.
 
     ``answers``: source_no, page_content, metadata, wrapped. At most top-k rows.
@@ -37,9 +36,8 @@ def answer_report(answers: DataFrame, final: str, sources: list[int], prefix: st
     ids = F.array(*[F.lit(n) for n in sources])
     shown = answers.select("source_no", F.trim("page_content").alias("text"), "metadata", source_replace(
         think_answer(F.col("wrapped"))["answer"], ids, prefix).alias("answer"))
-    rows = sorted(take_bounded(shown, max_sources, "the sources of an answer"), key=lambda r: -r["source_no"])
     parts = ["---", "# Intermediate answers for each document:"]
-    for row in rows:
+    for row in shown.orderBy(F.desc("source_no")).toLocalIterator():
         facts = "\n".join(f"* **{k}**: `{v}`" for k, v in (row["metadata"] or {}).items())
         quoted = "\n".join("> " + line for line in ("### Intermediate answer:\n" + row["answer"]).split("\n"))
         parts.append(f'<a id="document-{row["source_no"]}"></a>\n\n## Document #{row["source_no"]}\n```\n{row["text"]}\n```\n{facts}\n{quoted}')

@@ -166,7 +166,7 @@ def test_mmr_against_brute_force(spark):
 
 def test_svm_direction_is_a_minimum(spark):
     x, q = vectors_of(50), vectors_of(1, seed=9)[0]
-    w = retrieval.exemplar_direction(frame(spark, x), q, len(x))
+    w = retrieval.exemplar_directions(frame(spark, x), q[None], len(x))[0][0]
 
     def loss(v):
         margin = np.maximum(0, 1 + x @ v[:-1] + v[-1]) ** 2
@@ -242,7 +242,7 @@ def test_names_block_by_block(spark, monkeypatch):
 
     first = run()
     assert first["alpha"] == "alpha" and first["bet"] == "beta" and first["gamna"] == "gamma" and first["del"] == "delta" and first["zeta"] == "beta" and first[None] is None
-    monkeypatch.setattr(names, "BLOCK_NAMES", 2)
+    monkeypatch.setattr(names, "LEAST_SEGMENT", 1)
     assert run() == first
 
 

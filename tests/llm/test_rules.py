@@ -41,7 +41,7 @@ def test_lasso_meets_its_conditions():
     rng = np.random.default_rng(4)
     x = rng.random((300, 6)).round()
     y = (rng.random(300) < 1 / (1 + np.exp(-(3 * x[:, 0] - 2 * x[:, 1])))).astype(float)
-    w = rules.lasso(x, y, 0.02, rounds=20_000)
+    w = rules.lasso(x, y, 0.02)
     g = np.hstack([np.ones((300, 1)), x]).T @ (y - 1 / (1 + np.exp(-(w[0] + x @ w[1:])))) / 300
     assert abs(g[0]) < 1e-4
     for weight, slope in zip(w[1:], g[1:], strict=True):

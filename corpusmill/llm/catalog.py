@@ -82,6 +82,21 @@ s AS (SELECT item_id, q.text, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * t
 o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
 SELECT item_id, rank::INT AS rank, doc_id, score FROM o WHERE rank <= 50"""
 
+# targets: the words a unit of weight gets rises until no further source is full
+TARGETS_SQL = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+r AS (SELECT *, 3.0::DOUBLE * source_size / w AS full_at, coalesce(sum(3 * source_size) OVER a, 0) AS full_before,
+  sum(w) OVER (ORDER BY 3.0::DOUBLE * source_size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w FROM s
+  WINDOW a AS (ORDER BY 3.0::DOUBLE * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT arg_min(((SELECT sum(source_size) FROM s) - full_before)::DOUBLE / open_w, (full_at, source)) AS level FROM r
+  WHERE full_at >= ((SELECT sum(source_size) FROM s) - full_before)::DOUBLE / open_w)
+SELECT doc_id, size, source_size, round(least(3 * source_size, level * w), 6) AS target
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, l"""
+
+DIGEST_SQL = """WITH n AS (SELECT count(*) AS n FROM documents), i AS (SELECT unnest(range(40)) AS i)
+SELECT 'rows' AS law, (n // 40 + CASE WHEN i < n % 40 THEN 1 ELSE 0 END)::BIGINT AS rows_of_shard, count(*) AS shards,
+  (SELECT sum(octet_length(encode(coalesce(text, ''))) + 16) FROM documents)::BIGINT AS bytes_of_all FROM n, i GROUP BY ALL"""
+
 
 @query("op1_ann")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,5 +193,19 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query("mixing_targets", TARGETS_SQL)
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the mix that SQL can say: sizes and targets."""
+    return op7(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+@query("sharding_digest", DIGEST_SQL)
+def sharding_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the sharding that SQL can say: how many shards have how many rows, and the bytes of all."""
+    shards = op3(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("rows_of_shard"), F.sum("size").alias("bytes"), F.min("law").alias("law"))
+    total = shards.agg(F.sum("bytes").alias("bytes_of_all"))
+    return shards.groupBy("law", "rows_of_shard").agg(F.count("*").alias("shards")).join(F.broadcast(total))
+
+
 def load():
     return QUERIES, ORACLES

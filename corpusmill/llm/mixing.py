@@ -123,8 +123,8 @@ def mix(docs: DataFrame, sources: Column | None = None, size: Column | None = No
     """
     new = ("mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_repeats", "mix_rest")
     own = docs.drop(*new)
-    internal = fresh(own, "pattern", "rank", "bucket", "base", "inside", "whole", "rest", "buckets", "left")
-    pattern, rank, bucket = internal[:3]
+    inner = fresh(own, "pattern", "rank", "bucket", "whole", "buckets", "cut_bucket", "cut_rank", "each", "left")
+    pattern, rank, bucket, whole, buckets, cut_bucket, cut_rank, each, left = inner
     names = F.array(F.col("source")) if sources is None else sources
     names = F.coalesce(names, F.array(F.lit(None).cast("string")))
     names = F.when(F.size(names) == 0, F.array(F.lit(None).cast("string"))).otherwise(names)
@@ -132,22 +132,60 @@ def mix(docs: DataFrame, sources: Column | None = None, size: Column | None = No
         pattern: F.sort_array(F.array_distinct(names)),
         "mix_size": (word_count(F.col("text")) if size is None else size).cast("bigint"),
         rank: F.xxhash64(F.col("doc_id"), "text", F.lit(seed))})
-    groups = stored(sized.groupBy(F.col(pattern).alias("pattern")).agg(
-        F.sum("mix_size").alias("words"), F.count("*").alias("rows")), "patterns")
+    # three numbers a document; the texts are read again for the result, and never moved
+    narrow = stored(sized.select(F.col(pattern).alias("pattern"), F.col("mix_size").alias("size"), F.col(rank).alias("rank")), "sizes")
+    groups = stored(narrow.groupBy("pattern").agg(F.sum("size").alias("words"), F.count("*").alias("rows")), "patterns")
     several = groups.where(F.size("pattern") > 1)
-    plan = (_quota_plan if several.isEmpty() else _flow_plan)(groups, cycle, share, repeats)
-    whole, rest, buckets = internal[5:8]
-    plan = stored(plan.select(
-        F.col("pattern").alias(pattern), "mix_source_size", "mix_target",
-        F.when(F.col("words") > 0, F.floor(F.col("sent") / F.col("words"))).otherwise(0).cast("bigint").alias(whole),
-        F.when(F.col("words") > 0, F.col("sent") % F.col("words")).otherwise(0).alias(rest),
-        F.ceil(F.col("rows") / BUCKET_ROWS).cast("bigint").alias(buckets)), "plan")
-    # some 100 bytes a row; beyond the bound the join is dealt by pattern and adaptive execution splits hot ones
-    table = F.broadcast(plan) if plan.count() <= SMALL_PLAN else plan
-    data = sized.join(table, pattern)
-    uniform = F.pmod(F.col(rank), F.lit(1 << 40)) / (1 << 40)
-    data = data.withColumn(bucket, F.floor(uniform * F.col(buckets)))
-    return _hand_out(data, internal).select(*own.columns, *new)
+    routed = (_quota_plan if several.isEmpty() else _flow_plan)(groups, cycle, share, repeats)
+    has = F.col("words") > 0
+    plan = stored(_cuts(narrow, stored(routed.select(
+        "pattern", "mix_source_size", "mix_target",
+        F.when(has, F.floor(F.col("sent") / F.col("words"))).otherwise(0).cast("bigint").alias("whole"),
+        F.when(has, F.col("sent") % F.col("words")).otherwise(0).alias("rest"),
+        F.ceil(F.col("rows") / BUCKET_ROWS).cast("bigint").alias("buckets")), "routed")), "plan")
+    names_of = {"pattern": pattern, "whole": whole, "buckets": buckets, "cut_bucket": cut_bucket, "cut_rank": cut_rank, "each": each}
+    table = _small(plan.select(*(F.col(c).alias(names_of.get(c, c)) for c in plan.columns)))
+    data = sized.join(table, pattern).withColumn(bucket, _bucket(F.col(rank), F.col(buckets)))
+    before, here = F.col(bucket) < F.col(cut_bucket), F.col(bucket) == F.col(cut_bucket)
+    data = data.withColumn(left, F.when(before | (here & (F.col(rank) < F.col(cut_rank))), F.col("mix_size")).when(
+        here & (F.col(rank) == F.col(cut_rank)), F.least(F.col(each), F.col("mix_size"))).otherwise(0))
+    all_of_it = F.col(left) == F.col("mix_size")
+    return data.withColumns({
+        "mix_repeats": F.col(whole) + F.when(all_of_it & (F.col("mix_size") > 0), 1).otherwise(0),
+        "mix_rest": F.when(all_of_it, F.lit(0)).otherwise(F.col(left)).cast("bigint"),
+        "mix_taken": F.col(whole) * F.col("mix_size") + F.col(left)}).select(*own.columns, *new)
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A table of patterns for joins: shipped below a bound of rows of some 100 bytes, else dealt by pattern."""
+    return F.broadcast(table) if table.count() <= SMALL_PLAN else table
+
+
+def _bucket(rank: Column, buckets: Column) -> Column:
+    """The bucket of a rank: buckets follow each other in no order but the ranks' own hash."""
+    return F.floor(F.pmod(rank, F.lit(1 << 40)) / (1 << 40) * buckets)
+
+
+def _cuts(narrow: DataFrame, routed: DataFrame) -> DataFrame:
+    """``routed`` with where the rest of each pattern ends: its bucket, the rank there, and the words each row of that rank takes.
+
+    Documents take their rest in order of bucket and rank. Buckets are totalled first, so only the
+    one in which the rest ends is ordered. Rows of equal rank, as repeated rows are, share alike.
+    """
+    placed = narrow.join(_small(routed.where("rest > 0").select("pattern", "rest", "buckets")), "pattern").withColumn(
+        "bucket", _bucket(F.col("rank"), F.col("buckets")))
+    along = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("pattern", "bucket", "rest").agg(F.sum("size").alias("total")).withColumn(
+        "base", F.coalesce(F.sum("total").over(along), F.lit(0)))
+    ends = stored(totals.where((F.col("base") < F.col("rest")) & (F.col("rest") <= F.col("base") + F.col("total"))).select(
+        "pattern", F.col("bucket").alias("cut_bucket"), (F.col("rest") - F.col("base")).alias("need")), "ends")
+    rows = placed.join(_small(ends), "pattern").where(F.col("bucket") == F.col("cut_bucket"))
+    tied = rows.groupBy("pattern", "rank", "need").agg(F.sum("size").alias("total"), F.count("*").alias("many"))
+    by_rank = Window.partitionBy("pattern").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    cut = tied.withColumn("base", F.coalesce(F.sum("total").over(by_rank), F.lit(0))).where(
+        (F.col("base") < F.col("need")) & (F.col("need") <= F.col("base") + F.col("total"))).select(
+            "pattern", F.col("rank").alias("cut_rank"), F.floor((F.col("need") - F.col("base")) / F.col("many")).cast("bigint").alias("each"))
+    return routed.drop("rest").join(ends.drop("need"), "pattern", "left").join(cut, "pattern", "left")
 
 
 def _quota_plan(groups: DataFrame, cycle: Sequence[float], share: float, repeats: int) -> DataFrame:
@@ -197,22 +235,3 @@ def _flow_plan(groups: DataFrame, cycle: Sequence[float], share: float, repeats:
             for (members, words), sent, g in zip(patterns, flow, rows, strict=True)]
     return groups.sparkSession.createDataFrame(
         plan, "pattern array<string>, words bigint, rows bigint, mix_source_size bigint, mix_target double, sent bigint")
-
-
-def _hand_out(data: DataFrame, internal: list[str]) -> DataFrame:
-    """Repetitions of each row: the whole ones, and the rest along the seeded order."""
-    pattern, rank, bucket, base, inside, whole, rest, _, left = internal
-    keys = [pattern, bucket]
-    totals = (data.groupBy(*keys).agg(F.sum("mix_size").alias(inside))
-              .withColumn(base, F.coalesce(F.sum(inside).over(
-                  Window.partitionBy(pattern).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .drop(inside))
-    order = Window.partitionBy(*keys).orderBy(rank, "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
-    out = data.withColumn(inside, F.coalesce(F.sum("mix_size").over(order), F.lit(0))).join(totals, keys)
-    out = out.withColumn(left, F.greatest(F.lit(0), F.least(
-        F.col("mix_size"), F.col(rest) - F.col(base) - F.col(inside))))
-    all_of_it = F.col(left) == F.col("mix_size")
-    return out.withColumns({
-        "mix_repeats": F.col(whole) + F.when(all_of_it & (F.col("mix_size") > 0), 1).otherwise(0),
-        "mix_rest": F.when(all_of_it, F.lit(0)).otherwise(F.col(left)).cast("bigint"),
-        "mix_taken": F.col(whole) * F.col("mix_size") + F.col(left)})

@@ -154,3 +154,27 @@ def test_overlapping_sources(spark):
         F.col("doc_id") < 20, F.array(F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("b")))
     got = mixing.mix(docs, sources=names, cycle=(1, 1), share=1.0).collect()
     assert sum(r["mix_taken"] for r in got) == 300 and all(r["mix_taken"] == 10 for r in got)
+
+
+def test_repeated_rows_share_alike(spark):
+    """5,000 equal rows without an id: their source's taken words come near its target all the same."""
+    rows = [(None, "one two three four", None, "a")] * 5000 + [(i, "w " * 7, None, "b") for i in range(300)]
+    got = mixing.mix(documents(spark, rows)).collect()
+    for source in "ab":
+        mine = [r for r in got if r["source"] == source]
+        assert abs(sum(r["mix_taken"] for r in mine) - mine[0]["mix_target"]) <= len(mine)
+        assert all(r["mix_taken"] == r["mix_repeats"] * r["mix_size"] + r["mix_rest"] <= 3 * r["mix_size"] for r in mine)
+    assert len({r["mix_taken"] for r in got if r["source"] == "a"}) == 1
+
+
+def test_a_hundred_thousand_sources(spark):
+    """Quotas of single sources need no flow and no driver: sizes from 1 to 40 words, against the plain rule."""
+    n = 100_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") * 7919 % 40 + 1).cast("int")).alias("text"),
+                                 F.format_string("s%06d", "id").alias("source"))
+    got = mixing.mix(docs).select("doc_id", "mix_size", "mix_target", "mix_taken").toPandas().sort_values("doc_id")
+    sizes = [i * 7919 % 40 + 1 for i in range(n)]
+    want = mixing.quotas(sizes, [(5, 2, 1)[i % 3] for i in range(n)], sum(sizes), 3)
+    assert got["mix_size"].tolist() == sizes
+    assert max(abs(a - b) for a, b in zip(got["mix_target"], want, strict=True)) < 1e-6
+    assert (abs(got["mix_taken"] - got["mix_target"]) <= 0.5 + 1e-6).all()

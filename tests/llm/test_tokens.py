@@ -104,3 +104,63 @@ def test_op5(spark, plain):
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), crc(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert len(got) == len(docs)
+
+
+@pytest.fixture(scope="module")
+def wide_vocabulary(tmp_path_factory):
+    """70,000 words by spaces: ids above 65,535, and no rule by which words could be encoded apart."""
+    import json
+
+    path = tmp_path_factory.mktemp("vocabulary") / "words.json"
+    path.write_text(json.dumps({"version": "1.0", "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"},
+                                "post_processor": None, "decoder": None, "truncation": None, "padding": None, "model": {
+                                    "type": "WordLevel", "unk_token": "w0", "vocab": {f"w{i}": i for i in range(70_000)}}}))
+    return str(path)
+
+
+def test_wide_vocabularies(spark, wide_vocabulary):
+    docs = documents(spark, [(1, "w5 w69999 nothing"), (2, ""), (3, "w65536")]).repartition(2)
+    assert encoder(wide_vocabulary).dtype == np.dtype("<u4") and not encoder(wide_vocabulary).by_word
+    want = {1: [5, 69_999, 0, 1], 2: [1], 3: [65_536, 1]}
+    assert {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in packing.pack(docs, vocabulary=wide_vocabulary).collect()} == want
+    folder = token_files.write_token_files(docs, end_id=1, vocabulary=wide_vocabulary)
+    got = token_files.read_token_files(spark, folder).collect()
+    assert {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in got} == want
+
+
+@pytest.fixture
+def many_shards(spark):
+    """Small shuffles are not merged, as those of large tables would not be."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_shards_are_read_by_many_tasks(spark, many_shards):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    folder = token_files.write_token_files(docs)
+    shards = token_files.read_manifest(spark, folder).count()
+    rows = token_files.read_token_files(spark, folder).withColumn("task", F.spark_partition_id())
+    assert shards > 1 and rows.select("task").distinct().count() >= 0.7 * shards and rows.count() == 4000
+
+
+def test_hot_row_is_parted(spark, many_shards):
+    """8,000 equal rows: ranges part them, and all come back."""
+    docs = spark.range(9000).select(F.when(F.col("id") < 8000, 5).otherwise(F.col("id")).alias("doc_id"), F.when(
+        F.col("id") < 8000, "the same").otherwise("other").alias("text"))
+    folder = token_files.write_token_files(docs)
+    sizes = [r["documents"] for r in token_files.read_manifest(spark, folder).collect()]
+    assert sum(sizes) == 9000 and max(sizes) < 4000
+    got = token_files.read_token_files(spark, folder)
+    assert got.count() == 9000 and got.where("doc_id = 5").count() == 8000
+
+
+def test_memory_keeps_frequent_words():
+    from corpusmill.llm.bpe import Encoder
+
+    small = Encoder(default_vocabulary(), max_words=50)
+    for start in range(0, 3000, 100):
+        texts = [f"the word{i} is here" for i in range(start, start + 100)]
+        for text, ids in zip(texts, small.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert len(small.words.new) + len(small.words.old) < 500 and "here" in {**small.words.old, **small.words.new}

@@ -15,11 +15,11 @@ from corpusmill.registry import table
 
 TOXIC = 0.5        # documents of this score or more go
 UNSURE = 0.4       # documents whose language is less sure go
-SMALL_SIDE = 4_000_000
+SMALL_SIDE = 500_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below TOXIC; the grammar learns from table ``labels``.
+    """Documents whose toxicity is below TOXIC; the grammar learns from table ``labels`` (see ``labelled_rows``).
 
     Null and empty texts are scored like any other, and stay.
     """
@@ -55,7 +55,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     found = jaccard.jaccard_components(numbered.select(F.col(row).alias("doc_id"), "text"))
     copies = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias(row)), "copies")
-    # one number a row; above the bound the join is dealt by row
+    # a number a row, some 50 bytes in a hash table: 25 MB at the bound; above it the join is dealt by row
     gone = F.broadcast(copies) if copies.count() <= SMALL_SIDE else copies
     return numbered.join(gone, row, "left_anti").drop(row)
 
@@ -63,23 +63,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them, none more than three times.
 
-    At most one copy per source is partial: its first words, joined by spaces. Documents
-    that the mix does not take go, among them those without words.
+    A document of which the mix takes a part is rounded to a whole repetition, so no text is
+    cut: at most one per source. Documents that the mix does not take go, among them those
+    without words. The mix works on three numbers a document; texts are not moved.
     """
-    new = ["mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_repeats", "mix_rest"]
     safe = docs.select(*(F.col(c).alias(f"c_{c}") for c in docs.columns), "doc_id", "text", "source")
-    taken = mixing.mix(safe).select(*(f"c_{c}" for c in docs.columns), *new)
-    whole = taken.where("mix_repeats > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("mix_repeats")))).drop("_n")
-    words = F.split(F.regexp_replace("c_text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
-    part = taken.where("mix_rest > 0").withColumn(
-        "c_text", F.array_join(F.slice(words, F.lit(1), F.col("mix_rest").cast("int")), " "))
-    if "n_chars" in docs.columns:
-        part = part.withColumn("c_n_chars", F.length("c_text").cast(docs.schema["n_chars"].dataType))
-    return whole.unionByName(part).select(*(F.col(f"c_{c}").alias(c) for c in docs.columns))
+    taken = mixing.mix(safe)
+    repeats = F.col("mix_repeats") + F.when((F.col("mix_rest") > 0) & (2 * F.col("mix_rest") >= F.col("mix_size")), 1).otherwise(0)
+    copies = taken.withColumn("mix_copies", repeats).where("mix_copies > 0").withColumn(
+        "mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
+    return copies.select(*(F.col(f"c_{c}").alias(c) for c in docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token ids in sequences of 2048, one row per piece."""
+    """The documents' token ids in sequences of 2048, one row per piece. A null or empty text is its end id alone."""
     return packing.pack(docs, window=2048, end_id=1)
 
 

@@ -57,7 +57,7 @@ def parse(spark, options: dict) -> Iterator[str]:
     """Load one source, cut what is too long into chunks, and hand it out in the format asked for."""
     from pyspark.sql import functions as F
 
-    from corpusmill.functions.filetypes import infer_filetype
+    from corpusmill.functions.filetypes import filetype_by_magic, infer_filetype
     from corpusmill.functions.text import est_tokens
     from corpusmill.operators.splitting import chunk_size, pack
     from corpusmill.sinks import formats
@@ -66,6 +66,9 @@ def parse(spark, options: dict) -> Iterator[str]:
     kind = options.get("filetype") or "auto"
     if kind == "auto":
         kind = spark.range(1).select(infer_filetype(F.lit(options["path"]))).first()[0]
+        if kind is None:  # only the content can tell
+            head = spark.read.format("binaryFile").load(options["path"]).select(filetype_by_magic(F.col("content"))).first()
+            kind = (head and head[0]) or "txt"
     docs = files.load(spark, kind, options["path"]).select("path", "page_content", "metadata")
     limit, overlap = chunk_size("parse")
     short = est_tokens(F.col("page_content")) <= limit

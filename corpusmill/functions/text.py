@@ -67,8 +67,10 @@ def repair_double_encoding(text: Column) -> Column:
         "|[ñ-ó][\u0080-¿]{3}"
         "|ô[\u0080-\u008f][\u0080-¿]{2}"
     )
+    # most texts have no character that could begin a sequence, and go no further
+    led = given.rlike("[Â-ô]")
     broken = text.rlike(sequences) & ~F.regexp_replace(text, sequences, "").rlike("[^\u0000-\u007f]")
-    return F.when(broken, F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")).otherwise(given)
+    return F.when(led & broken, F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")).otherwise(given)
 
 
 def double_encode(text: Column) -> Column:

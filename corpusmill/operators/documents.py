@@ -59,7 +59,8 @@ def finish(chunks: DataFrame, file_hash: Column, tokens=est_tokens) -> DataFrame
     """
     have = set(chunks.columns)
     get = lambda name: F.col(name) if name in have else F.lit(None).cast("string")
-    cleaned = chunks.withColumn("page_content", repair_double_encoding(clean_if_html(F.col("page_content"))))
+    # unfolded from an array, so that the optimizer does not clean the text again for each of its uses
+    cleaned = chunks.withColumn("page_content", F.explode(F.array(repair_double_encoding(clean_if_html(F.col("page_content"))))))
     cleaned = cleaned.filter(strip(F.col("page_content")) != "")
     out = cleaned.withColumns({
         "metadata": one_author(F.col("metadata")),

@@ -140,13 +140,16 @@ def useless_path_rules(df: DataFrame, path: str, include: Sequence[str] = (),
 
 
 def filter_store(df: DataFrame, content_rules=None, metadata_rules=None, text: str = "page_content",
-                 metadata: str = "metadata") -> DataFrame:
-    """Keep the chunks every rule allows, before any vector is read."""
+                 metadata: str = "metadata", allow_empty: bool = False) -> DataFrame:
+    """Keep the chunks every rule allows, before any vector is read; rules that leave none are an error unless ``allow_empty``."""
     kept = F.lit(True)
     if metadata_rules:
         check_metadata_rules(df, metadata_rules, metadata)
         kept = kept & metadata_predicate(metadata_rules, F.col(metadata))
     if content_rules:
         kept = kept & content_predicate(content_rules, F.col(text))
-    return df.filter(kept)
+    found = df.filter(kept)
+    if (content_rules or metadata_rules) and not allow_empty and found.isEmpty():
+        raise ValueError("no document is left after the filters")
+    return found
 

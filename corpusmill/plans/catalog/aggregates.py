@@ -251,7 +251,7 @@ def load_errors(spark, sf):
     docs = table(spark, sf, "documents").select(
         "doc_id", "source", F.when(F.pmod("doc_id", F.lit(7)) == 0, F.lit(" ")).otherwise(F.col("text")).alias("page_content"))
     failed = with_load_errors(docs).filter(F.col("load_error").isNotNull())
-    return failed.select(F.to_json(F.struct("doc_id", "source")).alias("args"), "load_error")
+    return failed.select(F.to_json(F.struct("doc_id", "source")).alias("args"), "load_error").orderBy("args")
 
 
 @query("pca_variance")

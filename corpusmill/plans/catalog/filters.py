@@ -46,7 +46,7 @@ def filter_meta_value(spark, sf):
 
 @query("filter_meta_both", "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND lang IN ('fr', 'de') AND source LIKE 'src%1'")
 def filter_meta_both(spark, sf):
-    return filters.filter_store(described(spark, sf), metadata_rules=["b+note:n(fr|de)", "b+Source:src[0-9]?1$"]).select("doc_id")
+    return filters.filter_store(described(spark, sf), metadata_rules=["b+note:n(fr|de)", "b+Source:src[0-9]?1$"], allow_empty=True).select("doc_id")
 
 
 @query("filter_meta_both_neg", "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND lang <> 'en'")

@@ -8,7 +8,7 @@ from corpusmill.functions import text
 from corpusmill.operators import models
 from corpusmill.operators.documents import metadata_map
 from corpusmill.plans import summarize as Z
-from corpusmill.plans.catalog.chunks import numbered_turns
+from corpusmill.plans.catalog.chunks import UNITS_SQL, numbered_turns
 from corpusmill.registry import query, table
 from corpusmill.sinks import formats
 from corpusmill.sinks.outline import link_tags
@@ -64,7 +64,32 @@ def summary_header(spark, sf):
     return table(spark, sf, "documents").select("doc_id", header.alias("header"))
 
 
-@query("summarise_chunks")
+# chunks of 1024 tokens with 500 of overlap; a chunk's bullets leave out what the last ten lines before it said
+CLOSE_SQL = """list_transform(list_transform(list_filter(list_transform({0}, lambda x: replace(x, '****', '')), lambda x: regexp_matches(x, '\\p{{L}}')),
+  lambda x: x || CASE WHEN (length(x) - length(replace(x, '**', ''))) / 2 % 2 = 1 THEN '**' ELSE '' END),
+  lambda x: x || CASE WHEN (length(x) - length(replace(x, '*', ''))) % 2 = 1 THEN '*' ELSE '' END)"""
+SUMMARY_SQL = "WITH RECURSIVE " + UNITS_SQL + r""",
+p AS (SELECT doc_id, un, n, list_transform(range(0, n + 1), lambda i: coalesce(list_sum(s[1:i]), 0)::BIGINT) AS t FROM z),
+c AS (SELECT doc_id, un, n, t, 0 AS no, 0::BIGINT AS a, coalesce(list_filter(range(1, n), lambda e: t[e + 2] > t[1] + 1024)[1], n) AS b FROM p WHERE n > 0
+  UNION ALL SELECT doc_id, un, n, t, no + 1, a2, coalesce(list_filter(range(b + 1, n), lambda e: t[e + 2] > t[a2 + 1] + 1024)[1], n)
+  FROM (SELECT *, greatest(a, list_filter(range(0, b + 1), lambda j: t[b + 1] - t[j + 1] <= 500)[1]) AS a2 FROM c WHERE b < n)),
+sentences AS (SELECT doc_id, no, list_filter(string_split(regexp_replace(array_to_string(un[a + 1:b], ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
+  lambda x: regexp_matches(x, '\p{L}')) AS ss FROM c),
+bullets AS (SELECT doc_id, no, list_transform(ss, lambda x: '- ' || array_to_string(regexp_split_to_array(trim(x), '\s+')[1:6], ' ')) AS bs FROM sentences),
+once AS (SELECT doc_id, no, list_filter(bs, lambda x, i: list_position(bs, x) = i) AS bs FROM bullets),
+folded AS (SELECT doc_id, no, """ + CLOSE_SQL.format("bs") + """ AS ls FROM once WHERE no = 0
+  UNION ALL SELECT doc_id, no, """ + CLOSE_SQL.format("bs") + """ AS ls FROM (SELECT o.doc_id, o.no, list_filter(o.bs, lambda x: NOT list_contains(f.ls[-10:], x)) AS bs
+  FROM folded f JOIN once o ON o.doc_id = f.doc_id AND o.no = f.no + 1)),
+sized AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS k FROM folded),
+summed AS (SELECT doc_id, any_value(k) AS n_chunk, string_agg(CASE WHEN k = 1 THEN '' ELSE CASE WHEN no > 0 THEN '- ---' || chr(10) ELSE '' END
+  || '- Chunk ' || (no + 1) || '/' || k || chr(10) END || array_to_string(ls, chr(10)), chr(10) ORDER BY no) AS summary FROM sized GROUP BY doc_id)
+"""
+
+
+@query("summarise_chunks", SUMMARY_SQL + r"""SELECT d.doc_id, coalesce(n_chunk, 0)::INT AS n_chunk, coalesce(summary, '') AS summary,
+  CAST(ceil(length(coalesce(summary, '')) / 4.0) AS BIGINT) AS sum_tkn_length,
+  round(length(regexp_replace(coalesce(summary, ''), '[^\p{L}]', '', 'g')) / 6 / 250, 6) AS sum_reading_length
+FROM documents d LEFT JOIN summed USING (doc_id)""")
 def summarise_chunks(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     done = Z.summarize(docs, models.first_words_summary, context=2048)

@@ -198,11 +198,11 @@ def redundant_filter(spark, sf):
                                   "embedding": F.transform("embedding", lambda x: x + F.when(
                                       F.pmod("chunk_id", F.lit(2)) == 0, 0.002).otherwise(0.02).cast("float"))})
     # two rows in five lie close to one vector: a hot cell of the grid
-    first = stored.agg(F.min_by("embedding", "chunk_id").alias("first"))
+    first = F.array(*(F.lit(float(x)) for x in stored.agg(F.min_by("embedding", "chunk_id")).first()[0]))
 
     def around_first(add, noise):
-        moved = F.zip_with("first", "embedding", lambda a, x: (a.cast("double") + noise * x.cast("double")).cast("float"))
-        return stored.join(F.broadcast(first)).select((F.col("chunk_id") + add).alias("chunk_id"), moved.alias("embedding"), "label")
+        moved = F.zip_with(first, "embedding", lambda a, x: (a + noise * x.cast("double")).cast("float"))
+        return stored.select((F.col("chunk_id") + add).alias("chunk_id"), moved.alias("embedding"), "label")
 
     hot = [around_first(3_000_000, 0.03), around_first(4_000_000, 0.01)]
     everything = stored.unionByName(doubled).unionByName(shifted).unionByName(hot[0]).unionByName(hot[1])

@@ -31,13 +31,19 @@ def link_tags(text: Column, longer: Column, shorter: Column) -> Column:
     return F.array_join(F.transform(F.split(linked, "\n"), with_tags), "\n")
 
 
-def append_page(folder: str, name: str, body: str) -> Path:
-    """Add to a page file; when the page changed meanwhile, the text goes to a conflict file beside it."""
+def page_text(folder: str, name: str) -> str:
+    """What a page says now; to be kept while a text for it is made."""
     target = Path(folder) / f"{name}.md"
-    before = target.read_text() if target.exists() else ""
-    joined = f"{before.rstrip()}\n{body}\n" if before.strip() else f"{body}\n"
-    if target.exists() and target.read_text() != before:
+    return target.read_text() if target.exists() else ""
+
+
+def append_page(folder: str, name: str, body: str, known: str | None = None) -> Path:
+    """Add to a page file. ``known`` is what the page said when the text was made: if it says something
+    else now, the text goes to a conflict file beside it."""
+    target = Path(folder) / f"{name}.md"
+    before = page_text(folder, name)
+    if known is not None and before != known:
         target = target.with_suffix(".conflict.md")
-        joined = f"{body}\n"
-    target.write_text(joined)
+        before = page_text(folder, f"{name}.conflict")
+    target.write_text(f"{before.rstrip()}\n{body}\n" if before.strip() else f"{body}\n")
     return target

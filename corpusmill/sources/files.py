@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import io
 import math
+import posixpath
 import re
 import zipfile
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from itertools import accumulate
+from urllib.parse import unquote
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -176,48 +179,95 @@ def load_outline(spark: SparkSession, path: str, limit: int = 3072, overlap: int
         "load_error": F.when(F.col("unmatched") >= 0.5, "most blocks were not found in the chunks")}).drop("unmatched")
 
 
-def _zip_text(data: bytes, members: str, tags: str, breaks: str) -> str:
-    """Text of the xml members of an office file, in member order."""
-    def order(name: str) -> tuple:
-        return tuple(int(p) if p.isdigit() else p for p in re.split(r"(\d+)", name))
+def _by_number(name: str) -> tuple:
+    return tuple(int(p) if p.isdigit() else p for p in re.split(r"(\d+)", name))
 
-    parts = []
-    with zipfile.ZipFile(io.BytesIO(data)) as archive:
-        for name in sorted((n for n in archive.namelist() if re.fullmatch(members, n)), key=order):
-            xml = archive.read(name).decode("utf-8", "replace")
-            xml = re.sub(breaks, "\n", xml)
-            if tags:
-                xml = "".join(m.group(1) if m.group(1) is not None else "\n" for m in re.finditer(rf"<{tags}(?:\s[^>]*)?>([^<]*)</{tags}>|\n", xml))
-            parts.append(xml)
-    return "\n".join(parts)
 
+def _tagged(xml: str, tag: str, breaks: str) -> str:
+    """The text of all ``tag`` elements, with a line break at each of ``breaks``."""
+    xml = re.sub(breaks, "\n", xml)
+    return "".join(m.group(1) if m.group(1) is not None else "\n" for m in re.finditer(rf"<{tag}(?:\s[^>]*)?>([^<]*)</{tag}>|\n", xml))
+
+
+def _open_text(xml: str) -> str:
+    """The text of an OpenDocument body: paragraphs and headings are lines, runs of spaces are written out."""
+    body = re.sub(r"(?s)\A.*?<office:body\b[^>]*>|</office:body>.*\Z", "", xml)
+    body = re.sub(r'<text:s(?:\s+text:c="(\d+)")?\s*/>', lambda m: " " * int(m.group(1) or 1), body.replace("\n", " "))
+    body = re.sub(r"<text:tab\b[^>]*/>", "\t", body)
+    return re.sub(r"<[^>]*>", "", re.sub(r"</text:(?:p|h)>|<text:line-break\s*/>|<text:(?:p|h)\b[^>]*/>", "\n", body))
+
+
+def _chapters(archive: zipfile.ZipFile) -> list[str]:
+    """The chapters of a book in reading order: its spine, or all pages by name where it has none."""
+    pages = sorted((n for n in archive.namelist() if re.fullmatch(r"(?i).*\.x?html?", n)), key=_by_number)
+    try:
+        container = ElementTree.fromstring(archive.read("META-INF/container.xml"))
+        root = next(e.get("full-path") for e in container.iter() if e.tag.endswith("rootfile"))
+        package = ElementTree.fromstring(archive.read(root))
+    except (KeyError, StopIteration, ElementTree.ParseError):
+        return pages
+    folder = posixpath.dirname(root)
+    places = {e.get("id"): posixpath.normpath(posixpath.join(folder, unquote(e.get("href") or "")))
+              for e in package.iter() if e.tag.endswith("}item")}
+    spine = [places.get(e.get("idref")) for e in package.iter() if e.tag.endswith("}itemref")]
+    return [n for n in spine if n in set(archive.namelist())] or pages
+
+
+def _word_text(archive: zipfile.ZipFile) -> str:
+    if "content.xml" in archive.namelist():
+        return _open_text(archive.read("content.xml").decode("utf-8", "replace"))
+    return _tagged(archive.read("word/document.xml").decode("utf-8", "replace"), "w:t", r"</w:p>|<w:br\b[^>]*/>")
 
-def _zip_loader(spark: SparkSession, path: str, filetype: str, members: str, tags: str, breaks: str) -> DataFrame:
-    @F.pandas_udf("string")
-    def read(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda data: _zip_text(data, members, tags, breaks))
 
-    files = spark.read.format("binaryFile").load(path).select("path", read("content").alias("raw"), content_hash(F.col("content")).alias("file_hash"))
-    text = html_to_text(F.col("raw")) if not tags else F.regexp_replace(F.col("raw"), "\n{2,}", "\n")
-    decoded = F.replace(F.replace(F.replace(text, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+def _slides_text(archive: zipfile.ZipFile) -> str:
+    if "content.xml" in archive.namelist():
+        return _open_text(archive.read("content.xml").decode("utf-8", "replace"))
+    slides = sorted((n for n in archive.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=_by_number)
+    return "\n".join(_tagged(archive.read(n).decode("utf-8", "replace"), "a:t", r"</a:p>") for n in slides)
+
+
+def _book_text(archive: zipfile.ZipFile) -> str:
+    return "\n".join(archive.read(n).decode("utf-8", "replace").replace("\r\n", "\n") for n in _chapters(archive))
+
+
+def _zip_loader(spark: SparkSession, path: str, filetype: str, read: Callable[[zipfile.ZipFile], str], html: bool = False) -> DataFrame:
+    """One document per file; a file that is no such archive has no text and a ``load_error``."""
+    @F.pandas_udf("struct<text:string,error:string>")
+    def run(contents: pd.Series) -> pd.DataFrame:
+        found = []
+        for data in contents:
+            try:
+                with zipfile.ZipFile(io.BytesIO(data)) as archive:
+                    found.append((read(archive), None))
+            except (zipfile.BadZipFile, KeyError) as error:
+                found.append((None, f"not a {filetype} file: {error}"))
+        return pd.DataFrame(found, columns=["text", "error"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", run("content").alias("r"), content_hash(F.col("content")).alias("file_hash"))
+    text = html_to_text(F.col("r.text")) if html else F.regexp_replace("r.text", "\n{2,}", "\n")
+    decoded = text
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
     return files.select("path", strip(decoded).alias("page_content"), F.lit(filetype).alias("filetype"), "file_hash",
-                        F.expr("cast(map() as map<string,string>)").alias("metadata"))
+                        F.expr("cast(map() as map<string,string>)").alias("metadata"), F.col("r.error").alias("load_error"))
 
 
 @loader("word")
 def load_word(spark: SparkSession, path: str) -> DataFrame:
-    return _zip_loader(spark, path, "word", r"word/document\.xml", "w:t", r"</w:p>")
+    """Word and OpenDocument text files; old binary ones are reported, not read."""
+    return _zip_loader(spark, path, "word", _word_text)
 
 
 @loader("powerpoint")
 def load_powerpoint(spark: SparkSession, path: str) -> DataFrame:
-    return _zip_loader(spark, path, "powerpoint", r"ppt/slides/slide\d+\.xml", "a:t", r"</a:p>")
+    """Presentations, slide by slide."""
+    return _zip_loader(spark, path, "powerpoint", _slides_text)
 
 
 @loader("epub")
 def load_epub(spark: SparkSession, path: str) -> DataFrame:
-    """All chapters of a book as one document."""
-    return _zip_loader(spark, path, "epub", r".*\.x?html?", "", r"\r\n")
+    """All chapters of a book as one document, in reading order."""
+    return _zip_loader(spark, path, "epub", _book_text, html=True)
 
 
 # Pdf parsers are looked up by name; each is a function from bytes to text.
@@ -250,20 +300,18 @@ except ImportError:
     pass
 
 
-def parse_candidates(content: Column, parsers: list[str]) -> Column:
-    """Array of struct(name, content) with what each named parser made of a file; failures are left out."""
-    chosen = [(name, PDF_PARSERS[name]) for name in parsers]
+def parse_with(name: str, content: Column) -> Column:
+    """What one parser makes of each file, without blank pages; null where it fails or finds nothing."""
+    parse = PDF_PARSERS[name]
 
-    @F.pandas_udf("array<struct<name:string,content:string>>")
+    @F.pandas_udf("string")
     def run(files: pd.Series) -> pd.Series:
-        def one(data: bytes) -> list[dict]:
-            found = []
-            for name, parse in chosen:
-                try:
-                    found.append({"name": name, "content": parse(data)})
-                except Exception:  # noqa: BLE001 - a parser that fails is simply not a candidate
-                    continue
-            return found
+        def one(data: bytes) -> str | None:
+            try:
+                pages = [page for page in (parse(data) or "").split("\f") if page.strip()]
+            except Exception:  # noqa: BLE001 - a parser that fails is simply not a candidate
+                return None
+            return "\n".join(pages) or None
 
         return files.map(one)
 
@@ -272,23 +320,21 @@ def parse_candidates(content: Column, parsers: list[str]) -> Column:
 
 @loader("pdf")
 def load_pdf(spark: SparkSession, path: str, parsers: list[str] | None = None) -> DataFrame:
-    """Pdf files through every named parser; the likeliest prose wins."""
-    from corpusmill.operators.accounting import pick_best
+    """Pdf files through the named parsers in turn: a file whose text is sure to be prose, or that three
+    parsers could read, goes to no further one. The likeliest prose wins."""
+    from corpusmill.functions.text import repair_double_encoding
     from corpusmill.operators.documents import language_probability
+    from corpusmill.operators.staged import fall_through
 
     names = parsers or list(PDF_PARSERS)
     unknown = [n for n in names if n not in PDF_PARSERS]
     if unknown or not names:
         raise ValueError(f"no such pdf parser: {unknown}; available: {sorted(PDF_PARSERS)}")
     files = spark.read.format("binaryFile").load(path)
-    tried = files.select("path", content_hash(F.col("content")).alias("file_hash"), parse_candidates(F.col("content"), names).alias("_c"))
-    rated = tried.select("path", "file_hash", F.posexplode_outer("_c").alias("_i", "_p")).withColumn(
-        "prob", language_probability(F.col("_p.content")))
-    # one row per parser and file, and there are only so many parsers
-    candidate = F.struct(F.coalesce("_i", F.lit(0)).alias("i"), F.col("_p.name").alias("name"),
-                         F.col("_p.content").alias("content"), F.coalesce("prob", F.lit(0.0)).alias("prob"))
-    best = rated.groupBy("path", "file_hash").agg(F.array_sort(F.collect_list(candidate)).alias("_c")).withColumn(
-        "_b", pick_best(F.col("_c")))
-    return best.select("path", F.col("_b.content").alias("page_content"), F.lit("pdf").alias("filetype"), "file_hash",
-                       F.create_map(F.lit("pdf_loader_name"), F.col("_b.name")).alias("metadata"),
-                       F.when(F.col("_b").isNull(), "no parser succeeded").alias("load_error"))
+    found = fall_through(files.select("path", "content"), "path",
+                         [(n, lambda _, n=n: repair_double_encoding(parse_with(n, F.col("content")))) for n in names], language_probability)
+    known = files.select("path", content_hash(F.col("content")).alias("file_hash"))
+    return found.join(known, "path").select(
+        "path", F.col("content").alias("page_content"), F.lit("pdf").alias("filetype"), "file_hash",
+        F.create_map(F.lit("pdf_loader_name"), F.col("stage")).alias("metadata"),
+        F.when(F.col("stage").isNull(), "no parser succeeded").alias("load_error"))

@@ -78,3 +78,24 @@ def fetch(urls: DataFrame, call: Callable[[list[str]], list[str]], column: str =
         return pd.Series(call(list(batch)))
 
     return urls.withColumn(into, run(column))
+
+
+def staged_fetch(urls: DataFrame, ways: list[tuple[str, Callable[[list[str]], list[str]]]], column: str = "path",
+                 min_tokens: int = 20) -> DataFrame:
+    """Each distinct url with what the first way that passes the gate made of it: content, stage, calls.
+
+    A way is a name and a function of a batch of urls, which may give null; it is called only for urls that no
+    earlier way has settled.
+    """
+    from corpusmill.operators.staged import fall_through
+
+    def called(call):
+        @F.pandas_udf("string")
+        def run(batch: pd.Series) -> pd.Series:
+            return pd.Series(call(list(batch)), dtype="object")
+
+        return lambda _: run(column)
+
+    asked = urls.select(column).where(F.col(column).isNotNull()).distinct()
+    return fall_through(asked, column, [(name, called(call)) for name, call in ways],
+                        lambda text: F.when(passes_gate(text, min_tokens), 1.0).otherwise(0.0)).drop("rating")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from corpusmill.functions.text import content_hash
 from corpusmill.operators.dedup import merge_copies
 from corpusmill.operators.documents import finish, gate, merged_tag, merged_title
 from corpusmill.operators.lineage import checkpointed
-from corpusmill.sources.manifest import RECURSIVE_TYPES, expand, with_filetype
+from corpusmill.sources.manifest import ENTRY_FIELDS, RECURSIVE_TYPES, expand, with_filetype
 
 Step = Callable[[DataFrame], DataFrame]
 ENTRY = ("path", "filetype", "args")
@@ -41,6 +42,24 @@ def inherit(own, parent):
     return F.map_concat(F.map_filter(parent, lambda k, v: ~F.map_contains_key(own, k)), own)
 
 
+def reader(read: Callable[[str], str]) -> Step:
+    """A reader from a function of a path: what it raises becomes the entry's ``load_error``, and the job goes on."""
+    @F.pandas_udf("struct<page_content:string,load_error:string>")
+    def run(paths: pd.Series) -> pd.DataFrame:
+        found = []
+        for path in paths:
+            try:
+                found.append((read(path), None))
+            except Exception as error:  # noqa: BLE001 - reported with the entry
+                found.append((None, f"{type(error).__name__}: {error}"))
+        return pd.DataFrame(found, columns=["page_content", "load_error"])
+
+    def step(entries: DataFrame) -> DataFrame:
+        return entries.select("path", run("path").alias("r")).select("path", "r.page_content", "r.load_error")
+
+    return step
+
+
 def read_entries(entries: DataFrame, readers: Mapping[str, Step]) -> DataFrame:
     """Texts of all entries: path, filetype, args, page_content, title, metadata, load_error.
 
@@ -65,16 +84,29 @@ def read_entries(entries: DataFrame, readers: Mapping[str, Step]) -> DataFrame:
 
 
 def load_corpus(entries: DataFrame, expanders: Mapping[str, Step], readers: Mapping[str, Step],
-                min_language: float | None = None) -> tuple[DataFrame, DataFrame]:
+                min_language: float | None = None, arguments: str = "warn") -> tuple[DataFrame, DataFrame]:
     """(documents, failures) of a manifest.
 
+    ``arguments`` says what becomes of entries with unknown arguments: strict reports them as
+    failures, strip drops the arguments, warn keeps them.
+
     Documents: one row per distinct content, with the columns of its first entry by
     path and every source tag once; repaired, titled, sized and hashed. Failures:
     path, filetype and ``load_error`` of each entry that gave nothing: no loader, no text, or
     refused by the gate. Both come from one stored pass over the texts.
     """
     known = checkpointed(expanded(entries, expanders).dropDuplicates(["path", "filetype"]))
+    if arguments not in ("strict", "warn", "strip"):
+        raise ValueError("arguments are strict, warn or strip")
+    proper = lambda k: k.isin(*ENTRY_FIELDS)
+    if arguments == "strip":
+        known = known.withColumn("args", F.map_filter("args", lambda k, v: proper(k)))
+    strange = F.filter(F.map_keys("args"), lambda k: ~proper(k))
     texts = read_entries(known, readers)
+    if arguments == "strict":
+        texts = texts.withColumn("load_error", F.coalesce("load_error", F.when(F.size(strange) > 0, F.concat(
+            F.lit("unknown arguments: "), F.array_join(F.array_sort(strange), ", ")))))
+    texts = checkpointed(texts)
     given = texts.withColumns({
         "title": merged_title(F.col("title"), F.try_element_at("args", F.lit("title")), F.lit(None).cast("string"), F.col("path")),
         "source_tag": merged_tag(F.lit(None).cast("string"), F.try_element_at("args", F.lit("source_tag"))),
@@ -86,6 +118,6 @@ def load_corpus(entries: DataFrame, expanders: Mapping[str, Step], readers: Mapp
     reasons = (texts.select("path", "filetype", "load_error").join(gated, ["path", "filetype"], "left")
                .join(chunks.select("path", "filetype", F.lit(True).alias("_there")), ["path", "filetype"], "left"))
     error = F.coalesce("load_error", "refused", F.when(F.col("_there").isNull(), F.lit("empty document")))
-    failures = reasons.select("path", "filetype", error.alias("load_error")).filter("load_error IS NOT NULL")
+    failures = reasons.select("path", "filetype", error.alias("load_error")).filter("load_error IS NOT NULL").orderBy("path", "filetype")
     kept = chunks.join(gated.filter("refused IS NULL").select("path", "filetype"), ["path", "filetype"], "left_semi")
     return merge_copies(kept, "path", metadata="metadata"), failures

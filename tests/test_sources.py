@@ -419,3 +419,153 @@ def test_command_line():
     assert normalise(["--task=parse", "--filetype=txt", "a b"]) == {"task": "parse", "filetype": "txt", "path": "a b"}
     with pytest.raises(SystemExit):
         normalise(["nothing", "--x=1"])
+
+
+def zipped(path, members):
+    with zipfile.ZipFile(path, "w") as archive:
+        for name, text in members.items():
+            archive.writestr(name, text)
+    return str(path)
+
+
+def test_open_document_text(spark, tmp_path):
+    body = ('<office:document-content><office:styles><text:p>no</text:p></office:styles><office:body><office:text><text:h>Title &amp; more</text:h>'
+            '<text:p>one<text:s text:c="2"/>two <text:span>bold</text:span><text:tab/>x<text:line-break/>y</text:p><text:p/></office:text></office:body></x>')
+    row = files.load(spark, "word", zipped(tmp_path / "a.odt", {"content.xml": body})).first()
+    assert row["page_content"] == "Title & more\none  two bold\tx\ny" and row["load_error"] is None
+    assert files.load(spark, "powerpoint", zipped(tmp_path / "a.odp", {"content.xml": body})).first()["page_content"].startswith("Title & more")
+
+
+def test_old_word_files_are_rows(spark, tmp_path):
+    (tmp_path / "a.doc").write_bytes(b"\xd0\xcf\x11\xe0 binary")
+    zipped(tmp_path / "b.docx", {"other": "x"})
+    zipped(tmp_path / "c.docx", {"word/document.xml": "<w:p><w:t>fine</w:t></w:p>"})
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in files.load(spark, "word", str(tmp_path)).collect()}
+    assert rows["c.docx"]["page_content"] == "fine" and rows["c.docx"]["load_error"] is None
+    for name in ("a.doc", "b.docx"):
+        assert rows[name]["page_content"] is None and rows[name]["load_error"].startswith("not a word file")
+
+
+def test_books_in_reading_order(spark, tmp_path):
+    package = ('<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="i1" href="a%20b.xhtml"/><item id="i2" href="z.xhtml"/>'
+               '</manifest><spine><itemref idref="i2"/><itemref idref="i1"/></spine></package>')
+    pages = {"O/z.xhtml": "<p>first</p>", "O/a b.xhtml": "<p>second</p>", "O/cover.html": "<p>cover</p>", "O/p.opf": package}
+    container = {"META-INF/container.xml": '<c xmlns="urn:u"><rootfiles><rootfile full-path="O/p.opf"/></rootfiles></c>'}
+    text = files.load(spark, "epub", zipped(tmp_path / "b.epub", pages | container)).first()["page_content"]
+    assert text.split() == ["first", "second"]
+    text = files.load(spark, "epub", zipped(tmp_path / "a.epub", pages)).first()["page_content"]  # without a package: by name
+    assert text.split() == ["second", "cover", "first"]
+
+
+def test_pdf_parsers_stop_early(spark, tmp_path, monkeypatch):
+    prose = "This is a plain sentence about the house and the dog, and it is in English as all of them are. " * 3
+    monkeypatch.setitem(files.PDF_PARSERS, "good", lambda data: f"{prose}\f \f{data.decode()}")
+    monkeypatch.setitem(files.PDF_PARSERS, "fails", lambda data: 1 / 0)
+    monkeypatch.setitem(files.PDF_PARSERS, "never", lambda data: 1 / 0)
+    (tmp_path / "a.pdf").write_bytes(b"tail")
+    row = files.load(spark, "pdf", str(tmp_path / "a.pdf"), parsers=["fails", "good", "never"]).first()
+    assert row["metadata"] == {"pdf_loader_name": "good"} and row["page_content"].split("\n")[-1] == "tail" and row["load_error"] is None
+    row = files.load(spark, "pdf", str(tmp_path / "a.pdf"), parsers=["fails"]).first()
+    assert row["page_content"] is None and row["load_error"] == "no parser succeeded"
+
+
+def test_staged_fetch(spark):
+    from corpusmill.sources import media
+
+    urls = spark.createDataFrame([("u1",), ("u2",), ("u2",), ("u3",), (None,)], "path string")
+    long = "enough words to pass the gate of twenty tokens, surely so, as this sentence has more of them than that."
+    ways = [("reader", lambda us: [long if u == "u1" else "short" for u in us]), ("plain", lambda us: [long + u if u == "u2" else None for u in us])]
+    got = {r["path"]: (r["stage"], r["calls"], r["content"]) for r in media.staged_fetch(urls, ways).collect()}
+    assert got == {"u1": ("reader", 1, long), "u2": ("plain", 2, long + "u2"), "u3": (None, 2, None)}
+
+
+def test_bookmark_selectors(spark):
+    from corpusmill.sources.bookmarks import resolve_bookmarks, search_terms
+
+    text = '-"a phrase" #Tag list:"My List" is:fav word -is:link - "" -#x'
+    got = spark.range(1).select(search_terms(F.lit(text)).alias("t")).first()["t"]
+    assert [tuple(t) for t in got] == [(True, "word", "a phrase"), (False, "tag", "tag"), (False, "list", "my list"), (False, "is", "fav"),
+                                       (False, "word", "word"), (True, "is", "link"), (False, "word", "-"), (True, "tag", "x")]
+    rows = [("1", "Hello", "a Phrase here", ["x", "y"], ["l"], "text", True, False), ("2", None, None, None, None, "link", False, None)]
+    marks = spark.createDataFrame(rows, "id string, title string, text string, tags array<string>, lists array<string>, kind string, "
+                                        "favourited boolean, archived boolean").withColumn("url", F.lit("http://u"))
+
+    def ids(selector):
+        return sorted(r["id"] for r in resolve_bookmarks(marks, spark.createDataFrame([(selector,)], "selector string")).collect())
+
+    assert ids("library") == ["1", "2"] and ids("favourites") == ["1"] and ids("archived") == []
+    assert ids("tag:x") == ["1"] and ids("ids:1,2") == ["1", "2"] and ids("list:l") == ["1"] and ids("l") == ["1"]
+    assert ids('search:"a phrase" -#z') == ["1"] and ids("search:is:link") == ["2"] and ids("search:http") == ["1", "2"]
+    assert ids("search:is:nothing") == []
+    for wrong in ("tag:none", "ids:7", "list:none"):
+        with pytest.raises(ValueError, match="none|7"):
+            ids(wrong)
+    with pytest.raises(ValueError):
+        ids("ids:")
+
+
+def test_page_that_changed_meanwhile(tmp_path):
+    known = outline.page_text(str(tmp_path), "p")
+    outline.append_page(str(tmp_path), "p", "by hand")
+    assert outline.append_page(str(tmp_path), "p", "made", known).name == "p.conflict.md"
+    outline.append_page(str(tmp_path), "p", "more", known)
+    assert (tmp_path / "p.conflict.md").read_text() == "made\nmore\n" and outline.page_text(str(tmp_path), "p") == "by hand\n"
+    assert outline.append_page(str(tmp_path), "p", "made", outline.page_text(str(tmp_path), "p")).read_text() == "by hand\nmade\n"
+
+
+def test_readers_that_raise_and_strange_arguments(spark):
+    from corpusmill.sources.pipeline import load_corpus, reader
+
+    def read(path):
+        if path == "bad":
+            raise OSError("no such thing")
+        return f"This is the text of {path}, which is long enough to be kept by the gate, as it has many words in it. " * 6
+
+    entries = spark.createDataFrame([("good", {"title": "T"}), ("bad", {}), ("odd", {"colour": "red", "title": "U"})],
+                                    "path string, args map<string,string>").withColumn("filetype", F.lit("thing"))
+    for mode, failed in (("warn", {"bad": "OSError: no such thing"}), ("strip", {"bad": "OSError: no such thing"}),
+                         ("strict", {"bad": "OSError: no such thing", "odd": "unknown arguments: colour"})):
+        docs, failures = load_corpus(entries, {}, {"thing": reader(read)}, arguments=mode)
+        assert [(r["path"], r["load_error"]) for r in failures.collect()] == sorted(failed.items())
+        assert {r["path"] for r in docs.collect()} == {"good", "bad", "odd"} - set(failed)
+    with pytest.raises(ValueError):
+        load_corpus(entries, {}, {}, arguments="maybe")
+
+
+def test_wavefront_summaries(spark, monkeypatch):
+    """Each chunk is asked once, with the last lines of the summary before it, page and label cited."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def call(chunks, before):
+        seen.add(len(chunks))
+        return [f"- {c} after {len(b)} of {b[-1] if len(b) else 'none'}" for c, b in zip(chunks, before, strict=True)]
+
+    model = models.python_model(call, "string")
+    df = spark.createDataFrame([(1, ["a", "b", "c"], 7, None), (2, ["x"], None, None), (3, [], 1, None), (4, None, 1, None), (5, ["p", "q"], 9, "L")],
+                               "k int, chunks array<string>, page int, label string")
+    got = {r["k"]: r["s"] for r in Z.folded(df, "chunks", model, "s", page="page", label="label").collect()}
+    assert got[1] == ["- a after 0 of none [p.7]", "- b after 1 of - a after 0 of none [p.7]",
+                      "- c after 1 of - b after 1 of - a after 0 of none [p.7]"]
+    assert got[2] == ["- x after 0 of none"] and got[3] == [] and got[4] == [] and got[5][0] == "- p after 0 of none [p.9, L]"
+    assert seen.value == 6
+
+
+def test_tasks_from_the_command_line(spark, tmp_path):
+    from corpusmill import cli
+
+    (tmp_path / "a.txt").write_text("The fox is red and lives in the wood. The cat is grey.\nThe dog is brown.")
+    (tmp_path / "long.txt").write_text("\n".join(f"line {i} of a long text with many words in it" for i in range(2000)))
+    ask = {"path": str(tmp_path / "a.txt"), "query": "which fox is red", "cache": str(tmp_path / "cache")}
+    first, again = list(cli.query(spark, dict(ask))), list(cli.query(spark, dict(ask)))
+    assert "fox is red" in "\n".join(first) and first[-1] == "votes asked: 1, answers asked: 1"
+    assert again[:-1] == first[:-1] and again[-1] == "votes asked: 0, answers asked: 0"
+    assert any(line.startswith("found in") for line in cli.search(spark, dict(ask)))
+    whole = list(cli.parse(spark, {"path": str(tmp_path / "a.txt"), "format": "text"}))
+    assert whole == ["The fox is red and lives in the wood. The cat is grey.\nThe dog is brown."]
+    parts = list(cli.parse(spark, {"path": str(tmp_path / "long.txt"), "format": "split_text"}))
+    assert len(parts) > 3 and parts[0].startswith(f"Parsed documents:\nDoc #1/{len(parts)}\n")
+    said = list(cli.parse(spark, {"path": str(tmp_path / "long.txt"), "format": "xml", "out_file": str(tmp_path / "out.xml")}))
+    assert said == [f"{len(parts)} pieces written to {tmp_path / 'out.xml'}"]
+    (tmp_path / "nameless").write_bytes(b"%PDF-1.4 x")
+    with pytest.raises(ValueError, match="pdf"):
+        list(cli.parse(spark, {"path": str(tmp_path / "nameless")}))

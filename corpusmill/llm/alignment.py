@@ -26,7 +26,8 @@ from corpusmill.llm.stores import prepare, stored
 GROUPS = ("row bigint, doc_id bigint, groups array<struct<a: array<int>, b: array<int>, start: bigint, stop: bigint, "
           "overlaps: array<struct<first: int, last: int>>>>")
 DIGEST = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, slots binary, groups_sha256 string"
-CHARACTERS = 1_000_000
+CHARACTERS = 500_000
+WORDS = 150_000  # that each of the two encoders remembers, twice
 
 
 def gallop(short: np.ndarray, long: np.ndarray, guess: np.ndarray) -> np.ndarray:
@@ -148,8 +149,8 @@ class Aligner:
     """Two encoders of one worker and what is known of their vocabularies."""
 
     def __init__(self, vocabulary: str, model: str):
-        self.enc_a: ByWord = encoder(vocabulary, plain_specials=True)
-        self.enc_b: ByWord = pieces(model)
+        self.enc_a: ByWord = encoder(vocabulary, plain_specials=True, max_words=WORDS)
+        self.enc_b: ByWord = pieces(model, WORDS)
         self.a, self.b = Spelling(self.enc_a.spelling()), Spelling(self.enc_b.spelling())
         self.links = Links(self.a, self.b)
 

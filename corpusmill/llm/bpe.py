@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 _encoders: dict[tuple, ByWord] = {}
 # a space after which another white space follows, or that ends the text, belongs to a run
 _RUN = re.compile(r" (?=\s|\Z)")
-ROWS, CHARACTERS = 4096, 4_000_000
+ROWS, CHARACTERS = 4096, 2_000_000
 SPACE_MARK = "▁"
 
 
@@ -86,7 +86,7 @@ class ByWord:
     lead = ""       # what makes the first word like the others
     spaced: np.ndarray  # ids whose token starts with a space
 
-    def __init__(self, size: int, by_word: bool, dtype: str | None, max_words: int = 300_000):
+    def __init__(self, size: int, by_word: bool, dtype: str | None, max_words: int = 240_000):
         # two bytes an id where the vocabulary allows it
         self.dtype, self.by_word = np.dtype(dtype or ("<u2" if size <= 1 << 16 else "<u4")), by_word
         if size > np.iinfo(self.dtype).max + 1:
@@ -196,7 +196,7 @@ class Encoder(ByWord):
     headed, lead = True, " "
 
     def __init__(self, vocabulary: str, dtype: str | None = None, plain_specials: bool = False,
-                 max_words: int = 300_000):
+                 max_words: int = 240_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
@@ -242,7 +242,7 @@ class Pieces(ByWord):
     character. Texts with the mark itself, or where spaces form runs, are encoded whole.
     """
 
-    def __init__(self, model: str, dtype: str | None = None, max_words: int = 300_000):
+    def __init__(self, model: str, dtype: str | None = None, max_words: int = 240_000):
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_file=model)
@@ -266,16 +266,16 @@ class Pieces(ByWord):
         return super()._plain(text) and SPACE_MARK not in text and text[0] != " "
 
 
-def encoder(vocabulary: str, dtype: str | None = None, plain_specials: bool = False) -> Encoder:
+def encoder(vocabulary: str, dtype: str | None = None, plain_specials: bool = False, max_words: int = 240_000) -> Encoder:
     """The encoder of this worker process; it is built once and keeps its words."""
-    key = (vocabulary, dtype, plain_specials)
+    key = (vocabulary, dtype, plain_specials, max_words)
     if key not in _encoders:
-        _encoders[key] = Encoder(vocabulary, dtype, plain_specials)
+        _encoders[key] = Encoder(*key)
     return _encoders[key]
 
 
-def pieces(model: str) -> Pieces:
+def pieces(model: str, max_words: int = 240_000) -> Pieces:
     """The sentencepiece encoder of this worker process."""
-    if (model,) not in _encoders:
-        _encoders[(model,)] = Pieces(model)
-    return _encoders[(model,)]
+    if (model, max_words) not in _encoders:
+        _encoders[(model, max_words)] = Pieces(model, max_words=max_words)
+    return _encoders[(model, max_words)]

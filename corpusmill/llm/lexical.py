@@ -30,7 +30,7 @@ from corpusmill.llm.stores import prepare, stored
 from corpusmill.operators.topk import top_k
 
 BLOCK = 128
-SHARD_DOCS, SHARD_CHARACTERS = 1 << 15, 32_000_000
+SHARD_DOCS, SHARD_CHARACTERS = 1 << 15, 16_000_000
 WINDOW = 4096
 ITEMS = 64                      # questions that a shard answers at once
 DOCUMENTS = ""                  # no term: the row of a shard's document ids and lengths

@@ -120,10 +120,11 @@ def language_probability(text: Column) -> Column:
     return rate(text)
 
 
-def gate(chunks: DataFrame, keys: list[str], min_tokens: int = MIN_TOKENS, max_tokens: int = MAX_TOKENS,
-         min_minutes: float = MIN_READING_MINUTES, min_language: float | None = None) -> DataFrame:
+def gate(chunks: DataFrame, keys: list[str], min_tokens: int | None = MIN_TOKENS, max_tokens: int | None = MAX_TOKENS,
+         min_minutes: float | None = MIN_READING_MINUTES, min_language: float | None = None) -> DataFrame:
     """One row per loaded file with its totals and why it is refused, if it is.
 
+    The default limits are those of one file; a limit of None is not asked.
     Totals are combined on the map side, so a file with many chunks costs no more.
     """
     if min_language is not None:
@@ -133,11 +134,12 @@ def gate(chunks: DataFrame, keys: list[str], min_tokens: int = MIN_TOKENS, max_t
     if min_language is not None:
         parts.append(F.avg("_p").alias("language"))
     totals = chunks.groupBy(*keys).agg(*parts)
-    error = (F.when(F.col("tokens") <= min_tokens, "too few tokens")
-             .when(F.col("tokens") >= max_tokens, "too many tokens"))
-    if min_language is not None:
-        error = error.when(F.col("language") <= min_language, "unlikely language")
-    return totals.withColumn("load_error", error.when(F.round("minutes", 6) <= min_minutes, "too short to read"))
+    asked = [(min_tokens, lambda least: F.col("tokens") <= least, "too few tokens"),
+             (max_tokens, lambda most: F.col("tokens") >= most, "too many tokens"),
+             (min_language, lambda least: F.col("language") <= least, "unlikely language"),
+             (min_minutes, lambda least: F.round("minutes", 6) <= least, "too short to read")]
+    reasons = [F.when(fails(limit), reason) for limit, fails, reason in asked if limit is not None]
+    return totals.withColumn("load_error", F.coalesce(*reasons, F.lit(None).cast("string")))
 
 
 def refuse_all_failed(gated: DataFrame) -> None:

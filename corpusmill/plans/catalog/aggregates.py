@@ -237,7 +237,9 @@ def lang_prob(spark, sf):
 @query("lang_gate", "WITH " + LANGUAGE_SQL + """
 SELECT source, count(*) AS n_chunks, round(avg(prob), 6) AS language, CASE WHEN avg(prob) <= 0.5 THEN 'unlikely language' END AS load_error FROM p GROUP BY source""")
 def lang_gate(spark, sf):
-    gated = documents.gate(chunked(spark, sf), ["source"], min_language=documents.MIN_LANGUAGE_PROBABILITY)
+    # a source is no file: its size grows with the corpus and says nothing about its language
+    gated = documents.gate(chunked(spark, sf), ["source"], min_tokens=None, max_tokens=None, min_minutes=None,
+                           min_language=documents.MIN_LANGUAGE_PROBABILITY)
     return gated.select("source", "n_chunks", F.round("language", 6).alias("language"), "load_error")
 
 

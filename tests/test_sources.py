@@ -569,3 +569,25 @@ def test_tasks_from_the_command_line(spark, tmp_path):
     (tmp_path / "nameless").write_bytes(b"%PDF-1.4 x")
     with pytest.raises(ValueError, match="pdf"):
         list(cli.parse(spark, {"path": str(tmp_path / "nameless")}))
+
+
+GATE_TABLES = """CREATE TABLE documents AS SELECT i AS doc_id, 'large' AS source, 'en' AS lang, repeat('the of and ' || repeat('w', 50000) || ' ', 210) AS text FROM range(4) t(i)
+  UNION ALL SELECT 6, 'tiny', 'en', 'qq zz'"""
+
+
+def gate_against_sql(spark, tmp_path, name):
+    """A source of more tokens than a file may have, and one of a few words."""
+    import duckdb
+    from compare import rows_of
+    from corpusmill.plans.catalog import load
+
+    con = duckdb.connect()
+    con.execute(GATE_TABLES)
+    con.execute(f"COPY documents TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    queries, oracles = load()
+    got, want = queries[name](spark, str(tmp_path)), con.sql(oracles[name])
+    assert rows_of(got.columns, got.collect()) == rows_of(want.columns, want.fetchall())
+
+
+def test_language_gate_does_not_ask_for_size(spark, tmp_path):
+    gate_against_sql(spark, tmp_path, "lang_gate")

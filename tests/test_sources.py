@@ -591,3 +591,7 @@ def gate_against_sql(spark, tmp_path, name):
 
 def test_language_gate_does_not_ask_for_size(spark, tmp_path):
     gate_against_sql(spark, tmp_path, "lang_gate")
+
+
+def test_reading_gate_has_no_most_tokens(spark, tmp_path):
+    gate_against_sql(spark, tmp_path, "reading_gate")

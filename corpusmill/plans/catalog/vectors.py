@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import vectors as V
 from corpusmill.functions.let import let
+from corpusmill.functions.numbers import round_scaled
 from corpusmill.operators import batching, retrieval, similar, store
 from corpusmill.operators import search as S
 from corpusmill.operators.lineage import checkpointed
@@ -35,7 +36,7 @@ def questions(spark, sf):
 
 
 def rounded(df, *columns):
-    return df.select([F.round(c, 6).alias(c) if c in columns else F.col(c) for c in df.columns])
+    return df.select([round_scaled(F.col(c), 6).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 @query("knn_cosine", "WITH " + COS_SQL + """
@@ -274,7 +275,7 @@ def index_roundtrip(spark, sf):
     from corpusmill.operators.scratch import scratch_folder
 
     folder = scratch_folder(spark, "store")
-    store.save(store.build(table(spark, sf, "embeddings"), "compressed"), folder)
+    store.save(store.build(table(spark, sf, "embeddings"), "compressed"), folder, backend="compressed")
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
     return store.load(spark, folder).select("vec_id", "label", F.round(total, 6).alias("total"))
 

@@ -216,3 +216,19 @@ def test_closest_names(spark, seed, letters, longest):
     got = {r["i"]: r["name"] for r in closest_names(wanted, known).collect()}
     assert got == {i: meant(w, names) for i, w in enumerate(asked)}
     assert {r["name"] for r in closest_names(wanted, known.limit(0)).collect()} == {None}
+
+
+def test_staged_parse_rounds_and_falls_back_as_in_sql(spark, tmp_path):
+    """999 letters of 1,920 characters are 0.5203125, which doubles scale to just below the half; debris keeps its title."""
+    import duckdb
+    from compare import rows_of
+    from corpusmill.plans.catalog import load
+
+    pages = [(i, f"<h1>{'a' * k + '1' * (n - k)}</h1>") for i, (k, n) in enumerate([(999, 1920), (333, 640), (646, 1280), (1, 64), (2, 3)])]
+    pages += [(8, "<title>12345</title>"), (9, "123"), (10, "")]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    queries, oracles = load()
+    got, want = queries["staged_parse"](spark, str(tmp_path)), con.sql(oracles["staged_parse"])
+    assert rows_of(got.columns, got.collect()) == rows_of(want.columns, want.fetchall())

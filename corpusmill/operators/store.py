@@ -11,17 +11,16 @@ BACKENDS = ("flat", "compressed", "binary")
 
 
 def build(chunks: DataFrame, backend: str = "flat") -> DataFrame:
-    """Rows ready to be stored: unit vectors in double or (compressed) single precision, or packed sign bits (binary)."""
+    """Rows ready to be stored: unit vectors in double precision, or packed sign bits (binary)."""
     if backend not in BACKENDS:
         raise ValueError(f"backend is one of {BACKENDS}, got {backend!r}")
     if backend == "binary":
         return chunks.withColumn("bits", binarise(F.col("embedding"))).drop("embedding")
-    unit = l2_normalise(F.col("embedding"))
-    return chunks.withColumn("embedding", unit.cast("array<float>") if backend == "compressed" else unit)
+    return chunks.withColumn("embedding", l2_normalise(F.col("embedding")))
 
 
 def save(store: DataFrame, folder: str, mode: str = "errorifexists", backend: str = "flat") -> None:
-    """``compressed`` takes more time to write for smaller files."""
+    """``compressed`` takes more time to write for smaller files, and gives the same vectors back."""
     out = store.write.mode(mode).option("compression", "zstd")
     if backend == "compressed":
         out = out.option("parquet.compression.codec.zstd.level", "15")

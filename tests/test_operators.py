@@ -385,3 +385,11 @@ def test_python_model(spark):
 
 def test_tags_in(one):
     assert one(models.tags_in(F.lit("x <tags>\nlong tag\n\nab\n</tags>"))) == ["ab", "long tag"]
+
+
+def test_compressed_store_keeps_the_vectors(spark, tmp_path):
+    x = vectors_of(20) * 3
+    store.save(store.build(frame(spark, x), "compressed"), f"{tmp_path}/s", backend="compressed")
+    got = {r["chunk_id"]: r["embedding"] for r in store.load(spark, f"{tmp_path}/s").collect()}
+    flat = {r["chunk_id"]: r["embedding"] for r in store.build(frame(spark, x)).collect()}
+    assert got == flat

@@ -2,34 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Windows of PIECE characters are hashed; of each SPAN consecutive ones the smallest hash is kept.
 PIECE, SPAN = 12, 8
 KEPT_FROM = PIECE + SPAN - 1
+# Hashes a worker holds before it hands them on, besides those of one text.
+OUT_ROWS = 100_000
 
 
-def _kept_hashes(text: str) -> list[int]:
+def _kept_hashes(text: str) -> np.ndarray:
     """The smallest hash of each run of windows: what a text shares with every block of KEPT_FROM characters in it."""
     codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype("u8")
     if len(codes) < KEPT_FROM:
-        return []
+        return np.zeros(0, "i8")
     hashes = np.zeros(len(codes) - PIECE + 1, "u8")
     for i in range(PIECE):
         hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + codes[i:i + len(hashes)]
     hashes ^= hashes >> np.uint64(29)
-    return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, SPAN).min(axis=1)).view("i8").tolist()
+    return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, SPAN).min(axis=1)).view("i8")
+
 
+def _kept(rows: DataFrame, name: str, text: str) -> DataFrame:
+    """A row (``name``, ``_h``) for each kept hash of each text.
 
-def _kept(text: str) -> Column:
-    @F.pandas_udf("array<long>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(_kept_hashes)
+    Hashes leave as numbers in rows, a bounded number at a time, so a worker holds no
+    more than one batch of texts, whatever the table.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, texts = batch.column(0), batch.column(1)
+            at, found, held = [], [], 0
+            for i in range(len(texts)):
+                hashes = _kept_hashes(texts[i].as_py())
+                at.append(np.full(len(hashes), i, "i8"))
+                found.append(hashes)
+                held += len(hashes)
+                if held >= OUT_ROWS or i == len(texts) - 1:
+                    yield pa.RecordBatch.from_arrays(
+                        [names.take(pa.array(np.concatenate(at))), pa.array(np.concatenate(found))], [name, "_h"])
+                    at, found, held = [], [], 0
 
-    return run(F.col(text))
+    kind = rows.schema[name].dataType.simpleString()
+    return rows.select(name, text).mapInArrow(run, f"`{name}` {kind}, _h bigint")
 
 
 def contained_in(blocks: DataFrame, texts: DataFrame, block_id: str, text_id: str) -> DataFrame:
@@ -43,8 +63,8 @@ def contained_in(blocks: DataFrame, texts: DataFrame, block_id: str, text_id: st
     found = blocks.filter(F.length("text") > 0).select(block_id, F.col("text").alias("_block"))
     found = found.distinct().withColumn("_key", F.xxhash64("_block"))
     bodies = texts.filter(F.length("text") > 0).select(text_id, "text")
-    asked = found.filter(size >= KEPT_FROM).select("_block", "_key").distinct().select("_key", F.explode(_kept("_block")).alias("_h"))
-    windows = bodies.select(text_id, F.explode(_kept("text")).alias("_h"))
+    asked = _kept(found.filter(size >= KEPT_FROM).select("_key", "_block").distinct(), "_key", "_block")
+    windows = _kept(bodies, text_id, "text")
     usable = windows.join(asked.select("_h").distinct(), "_h", "left_semi")
     spread = usable.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
     # a hash no text has rules its block out, and is the cheapest of all

@@ -393,3 +393,19 @@ def test_compressed_store_keeps_the_vectors(spark, tmp_path):
     got = {r["chunk_id"]: r["embedding"] for r in store.load(spark, f"{tmp_path}/s").collect()}
     flat = {r["chunk_id"]: r["embedding"] for r in store.build(frame(spark, x)).collect()}
     assert got == flat
+
+
+def test_kept_hashes_leave_a_worker_in_bounded_batches(spark, monkeypatch):
+    """Whatever a batch of texts gives, no list of all its hashes is made."""
+    import pyarrow as pa
+
+    text = "".join(chr(c) for c in np.random.default_rng(0).integers(97, 123, 3000))
+    batch = pa.record_batch({"id": pa.array(range(40)), "text": pa.array([text[i:] for i in range(40)])})
+    made = {}
+    rows = spark.createDataFrame([(1, "a")], "id long, text string")
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, run, schema: made.setdefault("run", run))
+    monkeypatch.setattr(containment, "OUT_ROWS", 1_000)
+    out = list(made["run"](iter([batch]))) if containment._kept(rows, "id", "text") else []
+    longest = len(containment._kept_hashes(text))
+    assert len(out) > 5 and max(b.num_rows for b in out) <= 1_000 + longest
+    assert sum(b.num_rows for b in out) == sum(len(containment._kept_hashes(text[i:])) for i in range(40))

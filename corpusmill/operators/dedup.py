@@ -24,8 +24,9 @@ def merge_copies(docs: DataFrame, order: str, key: str = "content_hash", tag: st
                                       F.array_join(tags, " ").alias("_tags"))
     rest = [c for c in docs.columns if c not in (key, tag, order, metadata)]
     if rest:
-        firsts = docs.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_first"))
-        merged = merged.join(firsts, key).select(key, order, "n_copies", "_tags", "_first.*")
+        # a column at a time, all from one row; what the caller leaves out, a text above all, is not moved
+        firsts = docs.groupBy(key).agg(*(F.min_by(c, order).alias(c) for c in rest))
+        merged = merged.join(firsts, key).select(key, order, "n_copies", "_tags", *rest)
     if metadata is not None:
         entries = docs.select(key, order, F.explode(metadata).alias("_k", "_v"))
         per_key = entries.groupBy(key, "_k").agg(F.min_by("_v", order).alias("_v"))

@@ -115,8 +115,8 @@ def load_corpus(entries: DataFrame, expanders: Mapping[str, Step], readers: Mapp
                     content_hash(F.concat("path", F.lit("\n"), "filetype")))
     chunks = checkpointed(chunks.drop("args", "load_error"))
     gated = gate(chunks, ["path", "filetype"], min_language=min_language).select("path", "filetype", F.col("load_error").alias("refused"))
-    reasons = (texts.select("path", "filetype", "load_error").join(gated, ["path", "filetype"], "left")
-               .join(chunks.select("path", "filetype", F.lit(True).alias("_there")), ["path", "filetype"], "left"))
+    # every entry with a text has a row of the gate
+    reasons = texts.select("path", "filetype", "load_error").join(gated.withColumn("_there", F.lit(True)), ["path", "filetype"], "left")
     error = F.coalesce("load_error", "refused", F.when(F.col("_there").isNull(), F.lit("empty document")))
     failures = reasons.select("path", "filetype", error.alias("load_error")).filter("load_error IS NOT NULL").orderBy("path", "filetype")
     kept = chunks.join(gated.filter("refused IS NULL").select("path", "filetype"), ["path", "filetype"], "left_semi")

@@ -409,3 +409,13 @@ def test_kept_hashes_leave_a_worker_in_bounded_batches(spark, monkeypatch):
     longest = len(containment._kept_hashes(text))
     assert len(out) > 5 and max(b.num_rows for b in out) <= 1_000 + longest
     assert sum(b.num_rows for b in out) == sum(len(containment._kept_hashes(text[i:])) for i in range(40))
+
+
+def test_merge_copies_moves_only_columns_asked_for(spark):
+    docs = spark.createDataFrame([("h", "b", "t1", "text", None), ("h", "a", "t2", "text", 5), ("g", "c", "t1", "more", None)],
+                                 "content_hash string, path string, source_tag string, page_content string, n int")
+    merged = dedup.merge_copies(docs, "path")
+    assert sorted(tuple(r) for r in merged.select("path", "n_copies", "source_tag", "page_content", "n").collect()) == [
+        ("a", 2, "t2 t1", "text", 5), ("c", 1, "t1", "more", None)]
+    plan = merged.select("path", "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert "page_content" not in plan.split("LogicalRDD")[0]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.vectors import dot, l2_normalise
+from corpusmill.operators.bounded import fits
 from corpusmill.operators.lineage import checkpointed
 
 # Directions the grid is laid along: the first ones for all vectors, the others where cells are full.
@@ -15,6 +16,9 @@ AXES, MORE_AXES = 3, 3
 # Width of a cell in reaches: wider cells make fewer border copies.
 WIDTH = 4
 CELL_ROWS = 1_024
+# Vectors a crowded cell is held against first, and the most cells whose table is shipped to the vectors.
+PIVOTS = 32
+SHIPPED_CELLS = 100_000
 
 
 def _share(vector: Column, axis: int, axes: int) -> Column:
@@ -34,6 +38,11 @@ def _touched(share: Column, reach: float) -> Column:
     return F.sequence(low, high)
 
 
+def _shipped(cells: DataFrame) -> DataFrame:
+    """A stored table of cells, marked to be shipped if it is small: its estimated size says nothing."""
+    return F.broadcast(cells) if fits(cells, SHIPPED_CELLS) else cells
+
+
 def redundant_ids(vectors: DataFrame, threshold: float = 0.999, id_col: str = "chunk_id",
                   keys: tuple[str, ...] = ()) -> DataFrame:
     """Ids whose vector has cosine above ``threshold`` with one of a smaller id.
@@ -42,27 +51,27 @@ def redundant_ids(vectors: DataFrame, threshold: float = 0.999, id_col: str = "c
     by at most one reach along any fixed direction, so a vector meets those of its grid cell, into
     which vectors within reach of its borders are copied. Cells are counted; full ones are cut
     along further directions. In cells that are still full, as vectors lie close together, all
-    are held against the one of smallest id first, which settles most; what is left is compared in
+    are held against some of small id first, which settles most; what is left is compared in
     tiles of bounded size. No pairs are listed: a semi-join stops at the first partner.
+    The border copies are made where they are used and not stored, and the tables of cells go to the vectors.
     """
     reach = math.sqrt(max(2.0 - 2.0 * threshold, 1e-12)) * (1 + 1e-9)
     # keys as one text, so that null keys are like others
     group = F.to_json(F.struct(*keys)) if keys else F.lit("")
     named, keys = keys, ("_k",)
     unit = vectors.select(*named, group.alias("_k"), F.col(id_col).alias("_id"), l2_normalise(F.col("embedding")).alias("_v"))
-    folded = checkpointed(unit.groupBy(*keys, "_v").agg(F.min("_id").alias("_first")))
-    copies = unit.join(folded, [*keys, "_v"]).filter(F.col("_id") > F.col("_first")).select(*keys, "_id")
-
+    folded = unit.groupBy(*keys, "_v").agg(F.min("_id").alias("_first"))
     axes = AXES + MORE_AXES
-    shared = folded.withColumn("_shares", F.array(*(_share(F.col("_v"), a, axes) for a in range(axes))))
+    shared = checkpointed(folded.withColumn("_shares", F.array(*(_share(F.col("_v"), a, axes) for a in range(axes)))))
+    copies = unit.join(shared.drop("_shares"), [*keys, "_v"]).filter(F.col("_id") > F.col("_first")).select(*keys, "_id")
     left = shared.withColumn("_cell", F.array(*(_own(F.col("_shares")[a], reach) for a in range(AXES))))
     counts = left.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
-    full = checkpointed(counts.where(F.col("_n") > CELL_ROWS).drop("_n").withColumn("_full", F.lit(True)))
+    full = _shipped(checkpointed(counts.where(F.col("_n") > CELL_ROWS).drop("_n").withColumn("_full", F.lit(True))))
     around = shared
     for a in range(AXES):
         around = around.withColumn(f"_t{a}", F.explode(_touched(F.col("_shares")[a], reach)))
     around = around.withColumn("_cell", F.array(*(F.col(f"_t{a}") for a in range(AXES))))
-    around = around.join(left.select(*keys, "_cell").distinct(), [*keys, "_cell"], "left_semi")
+    around = around.join(_shipped(checkpointed(left.select(*keys, "_cell").distinct())), [*keys, "_cell"], "left_semi")
     finer = F.array(*(_own(F.col("_shares")[a], reach) for a in range(AXES, axes)))
     left = left.join(full, [*keys, "_cell"], "left").withColumn(
         "_cell", F.when(F.col("_full"), F.concat("_cell", finer)).otherwise(F.col("_cell")))
@@ -74,17 +83,24 @@ def redundant_ids(vectors: DataFrame, threshold: float = 0.999, id_col: str = "c
         *(F.col(f"_t{a}") for a in range(AXES, axes))))).otherwise(F.col("_cell")))
     cell = [*keys, "_cell"]
     left = checkpointed(left.select(*cell, "_first", "_v"))
-    around = checkpointed(around.select(*cell, F.col("_first").alias("_other"), F.col("_v").alias("_w")))
+    around = around.select(*cell, F.col("_first").alias("_other"), F.col("_v").alias("_w"))
+
+    def tiles_of(rows: Column) -> Column:
+        return F.ceil(rows / CELL_ROWS).cast("int")
 
-    sizes = left.groupBy(*cell).agg(F.count("*").alias("_l")).join(around.groupBy(*cell).agg(F.count("*").alias("_a")), cell)
-    tiles = checkpointed(sizes.select(*cell, F.ceil(F.col("_l") / CELL_ROWS).cast("int").alias("_rows"),
-                                      F.ceil(F.col("_a") / CELL_ROWS).cast("int").alias("_columns")))
-    crowded = tiles.where((F.col("_rows") > 1) | (F.col("_columns") > 1)).select(*cell)
-    pivots = around.join(crowded, cell, "left_semi").groupBy(*cell).agg(
+    copied = checkpointed(around.groupBy(*cell).agg(F.count("*").alias("_a")))
+    sizes = left.groupBy(*cell).agg(F.count("*").alias("_l")).join(copied, cell)
+    crowded = _shipped(checkpointed(sizes.where((F.col("_l") > CELL_ROWS) | (F.col("_a") > CELL_ROWS)).select(*cell)))
+    some = F.pmod(F.xxhash64("_other"), F.lit(PIVOTS)).alias("_some")
+    pivots = around.join(crowded, cell, "left_semi").groupBy(*cell, some).agg(
         F.min_by("_w", "_other").alias("_w"), F.min("_other").alias("_other"))
     near = (F.col("_other") < F.col("_first")) & (dot(F.col("_v"), F.col("_w")) > threshold)
     settled = checkpointed(left.join(pivots, cell).where(near).select(*keys, "_first").distinct())
     open_ = left.join(settled, [*keys, "_first"], "left_anti")
+    open_ = checkpointed(open_)
+    # cut by what is still open, so that settled rows multiply nothing
+    tiles = _shipped(checkpointed(open_.groupBy(*cell).agg(F.count("*").alias("_l")).join(copied, cell).select(
+        *cell, tiles_of(F.col("_l")).alias("_rows"), tiles_of(F.col("_a")).alias("_columns"))))
     tiled_left = open_.join(tiles, cell).withColumn("_i", F.pmod(F.xxhash64("_first"), F.col("_rows")).cast("int")).withColumn(
         "_j", F.explode(F.sequence(F.lit(0), F.col("_columns") - 1))).drop("_rows", "_columns")
     tiled_right = around.join(tiles, cell).withColumn("_j", F.pmod(F.xxhash64("_other"), F.col("_columns")).cast("int")).withColumn(

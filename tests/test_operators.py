@@ -419,3 +419,21 @@ def test_merge_copies_moves_only_columns_asked_for(spark):
         ("a", 2, "t2 t1", "text", 5), ("c", 1, "t1", "more", None)]
     plan = merged.select("path", "n")._jdf.queryExecution().optimizedPlan().toString()
     assert "page_content" not in plan.split("LogicalRDD")[0]
+
+
+def test_border_copies_of_vectors_are_not_stored(spark, monkeypatch):
+    x = vectors_of(200)
+    stored = []
+
+    def counted(df):
+        out = plain(df)
+        if {"_v", "_w"} & set(out.columns):
+            stored.append(out.count())
+        return out
+
+    plain = similar.checkpointed
+    monkeypatch.setattr(similar, "checkpointed", counted)
+    monkeypatch.setattr(similar, "CELL_ROWS", 8)
+    got = {r["chunk_id"] for r in similar.redundant_ids(frame(spark, x), 0.9).collect()}
+    assert got == {i for i in range(200) if (x[i] @ x[:i].T > 0.9).any()} and got
+    assert stored and max(stored) <= 200

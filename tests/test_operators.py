@@ -437,3 +437,43 @@ def test_border_copies_of_vectors_are_not_stored(spark, monkeypatch):
     got = {r["chunk_id"] for r in similar.redundant_ids(frame(spark, x), 0.9).collect()}
     assert got == {i for i in range(200) if (x[i] @ x[:i].T > 0.9).any()} and got
     assert stored and max(stored) <= 200
+
+
+def test_vectors_without_partner_are_not_stored(spark, monkeypatch):
+    stored = []
+
+    def counted(df):
+        out = plain(df)
+        stored.append(out.count() if any(kind.startswith("array") for _, kind in out.dtypes) else 0)
+        return out
+
+    plain = similar.checkpointed
+    monkeypatch.setattr(similar, "checkpointed", counted)
+    x = np.vstack([vectors_of(200, 32), 2 * vectors_of(50, 32)])
+    assert {r["chunk_id"] for r in similar.redundant_ids(frame(spark, x)).collect()} == set(range(200, 250))
+    assert stored and max(stored) == 0
+
+
+def test_redundant_ids_of_crowded_cells_against_all_pairs(spark, monkeypatch):
+    for name, most in (("CUT_ROWS", 6), ("CELL_ROWS", 4), ("SKETCH_ROWS", 8), ("ALIKE_ROWS", 3), ("PIVOTS", 2),
+                       ("SHIPPED_CELLS", 1), ("SHIPPED_PIVOTS", 1), ("SHIPPED_ROWS", 1)):
+        monkeypatch.setattr(similar, name, most)
+    rng = np.random.default_rng(5)
+    x = vectors_of(60, 24, seed=5)
+    # a crowd about one vector, pairs about the threshold, and three copies of some
+    x = np.vstack([x, x[3] + 0.012 * rng.normal(size=(60, 24)), x[:20] + 0.009 * rng.normal(size=(20, 24)), x[10:15], 4 * x[10:15]])
+    rows = [(int(i), [float(v) for v in row], None if i % 5 == 0 else f"k{i % 2}") for i, row in zip(rng.permutation(len(x)), x, strict=True)]
+    rows += [(1000, None, "k0"), (None, rows[0][1], "k1"), (1001, [0.0] * 24, "k0"), (1002, [1.0, None], "k1"), (1003, [None, 1.0], "k1"),
+             (1004, [1.0, None], "k1"), (1005, [-0.0] * 24, "k0"), rows[7], (rows[9][0], rows[11][1], rows[9][2])]
+
+    def near(a, b):
+        if any(v is None for v in a + b) or len(a) != len(b):
+            return a == b
+        a, b = np.array(a), np.array(b)
+        return (a == b).all() or a @ b > 0.999 * np.linalg.norm(a) * np.linalg.norm(b)
+
+    want = {(i, k) for i, v, k in rows for j, w, m in rows
+            if None not in (i, v, j, w) and j < i and k == m and near(v, w)}
+    frame_ = spark.createDataFrame(rows, "chunk_id long, embedding array<double>, kind string")
+    got = [tuple(r) for r in similar.redundant_ids(frame_, keys=("kind",)).select("chunk_id", "kind").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {1004, 1005} <= {i for i, _ in got}
